@@ -17,6 +17,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TARGET_ROWS = 1_000_000
 MAX_BUCKETS = 10_000
@@ -66,3 +67,56 @@ def order_buckets(
     base = _bucketize(base, "__k", "__s", sub_splits)
     sub = F.when(F.col("__o").isin(hot), F.col("__s")).otherwise(F.lit(0))
     return base.withColumn(out, F.col("__b") * (MAX_BUCKETS + 1) + sub).drop("__o", "__b", "__k", "__s")
+
+
+def value_buckets(df: DataFrame, columns: list[str], target_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``<name>__b`` per numeric column, an order-preserving bucket of its value.
+
+    Returns the frame and the number of bucket ids in use; small tables have
+    one. A value filling several buckets gets one of its own, where grouping by
+    value leaves a single row of it.
+    """
+    target = target_rows or TARGET_ROWS
+    n = df.count()
+    k = min(MAX_BUCKETS, math.ceil(n / target)) if n else 1
+    if k <= 1 or not columns:
+        for c in columns:
+            df = df.withColumn(c + "__b", F.lit(0).cast("long"))
+        return df, 1
+    probs = [i / k for i in range(1, k)]
+    row = df.agg(
+        *[F.percentile_approx(F.col(f"`{c}`").cast("double"), probs, max(10_000, 10 * k)).alias(f"e{i}") for i, c in enumerate(columns)]
+    ).first()
+    ids = 1
+    for i, c in enumerate(columns):
+        splits, _ = _splits([float(e) for e in (row[f"e{i}"] or [])])
+        ids = max(ids, len(splits))
+        df = df.withColumn("__v", F.col(f"`{c}`").cast("double"))
+        df = _bucketize(df, "__v", c + "__b", splits).drop("__v")
+    return df, ids
+
+
+def running_totals(
+    counts: DataFrame, groups: list[str], value: str, bucket: str, measures: list[str], split: bool = True
+) -> DataFrame:
+    """Add ``upto_<measure>``: the total up to and including the value, within each group.
+
+    ``counts`` has one row per (group, value). The window runs inside a bucket;
+    totals of the earlier buckets come from a table with one row per group and
+    bucket. With ``split=False`` there is a single bucket and that step is left out.
+    """
+    inner = Window.partitionBy(*groups, bucket).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = counts
+    for m in measures:
+        local = local.withColumn(f"upto_{m}", F.sum(m).over(inner))
+    if not split:
+        return local
+    outer = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*groups, bucket).agg(*[F.sum(m).alias(f"t_{m}") for m in measures])
+    before = totals.select(
+        *groups, bucket, *[F.coalesce(F.sum(f"t_{m}").over(outer), F.lit(0)).alias(f"before_{m}") for m in measures]
+    )
+    joined = local.join(before, [*groups, bucket])
+    for m in measures:
+        joined = joined.withColumn(f"upto_{m}", F.col(f"upto_{m}") + F.col(f"before_{m}")).drop(f"before_{m}")
+    return joined

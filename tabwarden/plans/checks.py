@@ -68,8 +68,8 @@ def guarded(validator: str, check: str, column: str | None, build: Callable[[],
         built = build()
         return built if isinstance(built, list) else [built]
     except (PySparkException, ValueError, KeyError, TypeError) as e:
-        first_line = str(e).splitlines()[0] if str(e) else type(e).__name__
-        return [note(validator, check, column, "critical", True, f"{type(e).__name__}: {first_line}")]
+        condition = e.getCondition() if isinstance(e, PySparkException) else None
+        return [note(validator, check, column, "error", True, condition or f"{type(e).__name__}: {e}")]
 
 
 def _result(check: Check, violations: Column, total: Column) -> Column:
