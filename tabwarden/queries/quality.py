@@ -100,7 +100,7 @@ def _(t):
        SELECT code, event_type, count(*) AS n FROM events JOIN c USING (event_type) GROUP BY ALL""",
 )
 def _(t):
-    from tabwarden.operators.target import label_codes
+    from tabwarden.functions.labels import label_codes
 
     return label_codes(t.events, "event_type", "code").groupBy("code", "event_type").agg(F.count("*").alias("n"))
 
