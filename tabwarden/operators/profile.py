@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabwarden.functions.expr import fingerprint, md5_order, pair_count, pearson, ratio, value_identity
+from tabwarden.functions.expr import fingerprint, md5_order, ratio, value_identity
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import (
     as_double,
@@ -26,7 +26,6 @@ from tabwarden.plans.schemas import DEFAULTS
 
 BINS = 20
 QUARTILES = (0.25, 0.5, 0.75)
-PAIRS_PER_SCAN = 60
 
 # Fixed widths in bytes used for the logical table size.
 WIDTHS = {
@@ -118,35 +117,31 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Per numeric column: moments, quartiles, corrected skewness and kurtosis, IQR outliers.
 
     Quartiles come first (a few numbers per column); everything else, the
-    outlier count included, is then one fused scan.
+    outlier count included, is then one grouped aggregate over all columns.
     """
     names = list(columns or numeric_columns(df))
     v = {c: as_double(df, c) for c in names}
     quart = exact_quantiles(df, v, QUARTILES)
     names = [c for c in names if quart[c] is not None]
-    aggs, rows = [], []
+    if not names:
+        schema = "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double, skewness double, kurtosis double, outliers_count long"
+        return df.sparkSession.createDataFrame([], schema)
+    entries = []
     for i, c in enumerate(names):
-        q1, q2, q3 = quart[c]
+        q1, _, q3 = quart[c]
         spread = q3 - q1
         outside = (v[c] < F.lit(q1 - 1.5 * spread)) | (v[c] > F.lit(q3 + 1.5 * spread))
-        parts = {
-            "count": F.count(v[c]), "mean": F.avg(v[c]), "std": F.coalesce(F.stddev_samp(v[c]), F.lit(0.0)),
-            "min": F.min(v[c]), "max": F.max(v[c]), "skewness": corrected_skewness(v[c]),
-            "kurtosis": corrected_kurtosis(v[c]), "outliers_count": F.count_if(outside),
-        }
-        aggs += [a.alias(f"{k}_{i}") for k, a in parts.items()]
-        at = {k: F.col(f"{k}_{i}") for k in parts}
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column"), at["count"].alias("count"), at["mean"].alias("mean"), at["std"].alias("std"),
-                at["min"].alias("min"), F.lit(q1).alias("p25"), F.lit(q2).alias("p50"), F.lit(q3).alias("p75"), at["max"].alias("max"),
-                at["skewness"].alias("skewness"), at["kurtosis"].alias("kurtosis"), at["outliers_count"].alias("outliers_count"),
-            )
-        )
-    if not rows:
-        schema = "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double, skewness double, kurtosis double, outliers_count long"
-        return df.sparkSession.createDataFrame([], schema)
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+        entries.append(F.struct(F.lit(i).alias("i"), v[c].alias("v"), outside.alias("outside")))
+    x = F.col("v")
+    grouped = df.select(F.inline(F.array(*entries))).where("v is not null").groupBy("i").agg(
+        F.count("*").alias("count"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"),
+        F.min(x).alias("min"), F.max(x).alias("max"), corrected_skewness(x).alias("skewness"),
+        corrected_kurtosis(x).alias("kurtosis"), F.count_if("outside").alias("outliers_count"),
+    )
+    known = df.sparkSession.createDataFrame([(i, c, *quart[c]) for i, c in enumerate(names)], "i int, column string, p25 double, p50 double, p75 double")
+    return grouped.join(F.broadcast(known), "i").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis", "outliers_count"
+    )
 
 
 def bin_edges(low: float, high: float, bins: int = BINS) -> list[float]:
@@ -228,20 +223,34 @@ def category_histogram(df: DataFrame, columns: Sequence[str] | None = None, k: i
     )
 
 
+def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], values: dict[str, Column]) -> DataFrame:
+    """(feature_a, feature_b, n, value): Pearson over the complete rows of each pair.
+
+    All pairs go through one grouped aggregate over (pair, x, y) entries: the
+    code stays small however many pairs there are, and the partial aggregate of
+    each task is one row per pair. ``value`` is NULL without spread.
+    """
+    schema = "feature_a string, feature_b string, n long, value double"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], schema)
+    entries = [F.struct(F.lit(i).alias("p"), values[a].alias("x"), values[b].alias("y")) for i, (a, b) in enumerate(pairs)]
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    grouped = (
+        df.select(F.inline(F.array(*entries)))
+        .where("x is not null and y is not null")
+        .groupBy("p")
+        .agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), spread).alias("value"))
+    )
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, feature_a string, feature_b string")
+    joined = F.broadcast(names).join(grouped, "p", "left")
+    return joined.select("feature_a", "feature_b", F.coalesce("n", F.lit(0)).alias("n"), "value")
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, fill: float | None = 0.0) -> DataFrame:
-    """(feature_a, feature_b, value) for a < b in column order, all pairs per scan of 60."""
+    """(feature_a, feature_b, value) for a < b in column order."""
     names = list(columns or numeric_columns(df))
-    v = {c: as_double(df, c) for c in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[at : at + PAIRS_PER_SCAN]
-        aggs = [pearson(v[a], v[b]).alias(f"r{i}") for i, (a, b) in enumerate(chunk)]
-        rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("value")) for i, (a, b) in enumerate(chunk)]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, value double")
-    out = reduce(DataFrame.unionByName, parts)
+    out = pair_moments(df, pairs, {c: as_double(df, c) for c in names}).drop("n")
     return out if fill is None else out.fillna(fill, ["value"])
 
 
@@ -330,19 +339,13 @@ def target_values(df: DataFrame, target: str) -> Column | None:
 
 def target_correlations(df: DataFrame, target: str, min_pairs: int = DEFAULTS["min_pairs"]) -> DataFrame:
     """abs correlation of each numeric feature with the target, strongest first."""
-    schema = "feature string, correlation double"
     y = target_values(df, target) if target in df.columns else None
     names = numeric_columns(df, [target])
-    if y is None or not names:
-        return df.sparkSession.createDataFrame([], schema)
-    parts = []
-    for at in range(0, len(names), PAIRS_PER_SCAN):
-        chunk = names[at : at + PAIRS_PER_SCAN]
-        aggs = [a for i, c in enumerate(chunk) for a in (pearson(as_double(df, c), y).alias(f"r{i}"), pair_count(as_double(df, c), y).alias(f"n{i}"))]
-        rows = [F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.abs(F.col(f"r{i}")).alias("correlation")) for i, c in enumerate(chunk)]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    out = reduce(DataFrame.unionByName, parts).where((F.col("n") >= min_pairs) & F.col("correlation").isNotNull())
-    return out.select("feature", F.round("correlation", 4).alias("correlation")).orderBy(F.desc("correlation"), "feature")
+    if y is None:
+        names = []
+    values = {c: as_double(df, c) for c in names} | {target: y}
+    out = pair_moments(df, [(c, target) for c in names], values).where((F.col("n") >= min_pairs) & F.col("value").isNotNull())
+    return out.select(F.col("feature_a").alias("feature"), F.round(F.abs("value"), 4).alias("correlation")).orderBy(F.desc("correlation"), "feature")
 
 
 def full_profile(df: DataFrame) -> DataFrame:

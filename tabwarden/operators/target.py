@@ -1,12 +1,91 @@
-"""Label encoding and feature-target association."""
+"""Features that encode the target: correlation and mutual information."""
+
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tabwarden.functions.expr import ratio
+from tabwarden.functions.selection import exact_quantiles
+from tabwarden.functions.types import as_double, clean, numeric_columns
+from tabwarden.operators import leakage
+from tabwarden.operators.profile import bin_of, target_correlations
+from tabwarden.plans.schemas import DEFAULTS
+
+DETECTOR = "target"
+MI_BINS = 10
+# A numeric target with more distinct values than this is binned.
+MAX_CLASSES = 10
+
+
+def quantile_bin(v: Column, inner: Sequence[float]) -> Column:
+    """Bin by distinct inner quantile borders; a missing value is bin -1."""
+    cuts = sorted(set(inner))
+    return F.when(v.isNull(), F.lit(-1)).otherwise(bin_of(v, [0.0, *cuts, 0.0]))
+
+
+def target_classes(df: DataFrame, target: str, bins: int = MI_BINS) -> Column:
+    """Class label of a row's target as text; continuous targets become quantile bins."""
+    if target in numeric_columns(df):
+        distinct = df.select(clean(df, target).alias("v")).where("v is not null").distinct().limit(MAX_CLASSES + 1).count()
+        if distinct > MAX_CLASSES:
+            v = as_double(df, target)
+            cuts = exact_quantiles(df, {target: v}, [i / bins for i in range(1, bins)])[target]
+            return quantile_bin(v, cuts or []).cast("string")
+    return F.coalesce(clean(df, target).cast("string"), F.lit("<missing>"))
+
+
+def mutual_information(df: DataFrame, target: str, columns: Sequence[str] | None = None, bins: int = MI_BINS) -> DataFrame:
+    """(feature, mi, target_share, normalized) from decile bins of each feature.
 
-from tabwarden.functions.types import clean
+    ``target_share`` is MI divided by the target's entropy: 1 when the feature
+    determines the target. ``normalized`` divides by the largest MI, so the
+    best feature always has 1. The joint table has bins x classes rows per feature.
+    """
+    names = [c for c in (columns or numeric_columns(df, [target])) if c != target]
+    v = {c: F.coalesce(as_double(df, c), F.lit(0.0)) for c in names}
+    cuts = exact_quantiles(df, v, [i / bins for i in range(1, bins)])
+    entries = [F.struct(F.lit(c).alias("feature"), quantile_bin(v[c], cuts[c] or []).alias("x")) for c in names]
+    joint = df.select(target_classes(df, target, bins).alias("y"), F.array(*entries).alias("e")).select("y", F.inline("e")).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
+    by = lambda *k: Window.partitionBy("feature", *k)
+    n, nx, ny, total = F.col("n"), F.sum("n").over(by("x")), F.sum("n").over(by("y")), F.sum("n").over(by())
+    cells = joint.select("feature", "n", nx.alias("nx"), ny.alias("ny"), total.alias("total"))
+    p = n / F.col("total")
+    mi = F.sum(p * F.log(n.cast("double") * F.col("total") / (F.col("nx").cast("double") * F.col("ny"))))
+    h = -F.sum(p * F.log(F.col("ny") / F.col("total")))
+    per = cells.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"), h.alias("h"))
+    top = F.max("mi").over(Window.partitionBy(F.lit(0)))  # one row per feature
+    return per.select(
+        "feature", "mi", F.coalesce(ratio(F.col("mi"), F.col("h")), F.lit(0.0)).alias("target_share"), F.coalesce(ratio(F.col("mi"), top), F.lit(0.0)).alias("normalized")
+    )
 
 
-def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    v = clean(df, column)
-    return df
+def detect(
+    train: DataFrame, target: str | None, correlation_threshold: float = DEFAULTS["target_correlation"],
+    mi_threshold: float = DEFAULTS["mutual_info"],
+) -> DataFrame:
+    spark = train.sparkSession
+    if target is None:
+        return leakage.rows(spark, [leakage.skipped(DETECTOR, "no target column")])
+    if target not in train.columns:
+        return leakage.rows(spark, [leakage.failed(DETECTOR, f"target column '{target}' not found")])
+    high = target_correlations(train, target).where(F.col("correlation") >= correlation_threshold)
+    parts = [
+        leakage.rows(spark, [leakage.checked(spark, DETECTOR)]),
+        leakage.finding(
+            high, DETECTOR, "target_leakage", "critical", F.format_string("Investigate if '%s' contains future/target information", "feature"),
+            feature=F.col("feature"), score=F.col("correlation"), threshold=correlation_threshold,
+        ),
+    ]
+    if numeric_columns(train, [target]):
+        known = mutual_information(train, target).where(F.col("target_share") >= mi_threshold)
+        parts.append(
+            leakage.finding(
+                known, DETECTOR, "potential_target_leakage", "warning", F.format_string("Review feature '%s' for potential target leakage", "feature"),
+                feature=F.col("feature"), score=F.round("target_share", 4), threshold=mi_threshold,
+            )
+        )
+    return leakage.union(parts)

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.operators import accuracy, completeness, consistency, contract, rules, timeliness
+from tabwarden.operators import accuracy, completeness, consistency, contract, leakage, rules, timeliness
 from tabwarden.plans import checks
 from tabwarden.plans.checks import Check, guarded
 from tabwarden.plans.schemas import CHECK_RESULTS, DEFAULTS
@@ -79,3 +79,70 @@ def quality_run(df: DataFrame, cfg: QualityConfig) -> DataFrame:
         if any(r["status"] in ("failed", "warning") for r in rows):
             break
     return reduce(DataFrame.unionByName, done)
+
+
+@dataclass(frozen=True)
+class LeakageConfig:
+    """What a leakage run covers. ``custom`` are (name, (train, test, target) -> findings) plug-ins."""
+
+    run: Sequence[str] = ("contamination", "target", "feature", "temporal")  # "drift" is opt-in
+    target: str | None = None
+    time_column: str | None = None
+    sequence: str | None = None
+    columns: Sequence[str] | None = None
+    check_importance: bool = True
+    fail_fast: bool = False
+    custom: Sequence[tuple[str, Callable[[DataFrame, DataFrame | None, str | None], DataFrame]]] = field(default_factory=tuple)
+
+
+def drift_findings(train: DataFrame, test: DataFrame | None, target: str | None) -> DataFrame:
+    """One warning per drifted feature, numeric or categorical."""
+    from tabwarden.operators import drift
+
+    spark = train.sparkSession
+    if test is None:
+        return leakage.rows(spark, [leakage.skipped("drift", "no test data")])
+    numeric = drift.numeric_drift(train, test, target=target).where("has_drift").select("feature", F.col("psi").alias("score"))
+    shared = [c for c in drift.common_columns(train, test, target=target) if c in drift.categorical_columns(train) and c in drift.categorical_columns(test)]
+    parts = [numeric]
+    if shared:
+        parts.append(drift.chi2_drift(train, test, shared).where("has_drift").select("feature", F.col("chi2").alias("score")))
+    drifted = reduce(DataFrame.unionByName, parts)
+    return leakage.union([
+        leakage.rows(spark, [leakage.checked(spark, "drift")]),
+        leakage.finding(drifted, "drift", "data_drift", "warning", "Review distribution changes and consider retraining model", feature=F.col("feature"), score=F.col("score")),
+    ])
+
+
+def leakage_run(train: DataFrame, test: DataFrame | None, cfg: LeakageConfig) -> DataFrame:
+    """Findings of all configured detectors; one that cannot be planned becomes an error row."""
+    from pyspark.errors import PySparkException
+
+    from tabwarden.operators import contamination, feature, target, temporal
+
+    detectors: dict[str, Callable[[], DataFrame]] = {
+        "contamination": lambda: contamination.detect(train, test, cfg.target, cfg.columns),
+        "target": lambda: target.detect(train, cfg.target),
+        "feature": lambda: feature.detect(train, cfg.target, check_importance=cfg.check_importance),
+        "temporal": lambda: temporal.detect(train, test, cfg.time_column, sequence=cfg.sequence),
+        "drift": lambda: drift_findings(train, test, cfg.target),
+    }
+    for name, find in cfg.custom:
+        detectors[name] = lambda f=find: f(train, test, cfg.target)
+    done: list[DataFrame] = []
+    for name, find in detectors.items():
+        if name not in cfg.run and name not in dict(cfg.custom):
+            continue
+        try:
+            found = find()
+        except (PySparkException, ValueError, KeyError, TypeError) as e:
+            found = leakage.rows(train.sparkSession, [leakage.failed(name, type(e).__name__)])
+        done.append(found)
+        if cfg.fail_fast and not leakage.detector_status(found).where("status = 'detected'").isEmpty():
+            break
+    return leakage.union(done)
+
+
+def quick_check(train: DataFrame, test: DataFrame | None, cfg: LeakageConfig) -> bool:
+    """Whether any detector finds leakage."""
+    return not leakage.detector_status(leakage_run(train, test, cfg)).where("status = 'detected'").isEmpty()

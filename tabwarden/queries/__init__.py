@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "profile")
+MODULES = ("quality", "profile", "drift", "leakage")
 
 
 def load_all() -> None:
