@@ -12,89 +12,99 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Most distinct values one aggregation buffer or one ordered group may hold.
 MAX_DISTINCT = 200_000
-SKETCH_ACCURACY = 10_000
+SKETCH_SIZE = 2_000
+SLACK = 0.004  # rank distance kept around the sketch's answer
 MAX_ROUNDS = 8
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Bracket:
+    """Values low..high of one column; None is unbounded. ``below`` and ``inside`` are exact counts."""
+
     name: str
     ranks: tuple[int, ...]
+    below: int
+    inside: int
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    inside: int = 0
-    distinct: int = 0
-    slack: float = 4.0 / SKETCH_ACCURACY
+    slack: float = SLACK
+
+    def holds(self, rank: int) -> bool:
+        return self.below <= rank < self.below + self.inside
 
 
 def _inside(value: Column, b: _Bracket) -> Column:
-    cond = value.isNotNull()
-    if b.low is not None:
-        cond = cond & (value >= F.lit(b.low))
-    if b.high is not None:
-        cond = cond & (value <= F.lit(b.high))
-    return cond
-
-
-def _measure(df: DataFrame, cols: dict[str, Column], brackets: list[_Bracket]) -> None:
-    aggs = []
-    for i, b in enumerate(brackets):
-        v, cond = cols[b.name], _inside(cols[b.name], b)
-        below = F.count_if(v < F.lit(b.low)) if b.low is not None else F.lit(0).cast("long")
-        aggs += [
-            below.alias(f"below{i}"),
-            F.count_if(cond).alias(f"in{i}"),
-            F.approx_count_distinct(F.when(cond, v)).alias(f"nd{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    for i, b in enumerate(brackets):
-        b.below, b.inside, b.distinct = row[f"below{i}"], row[f"in{i}"], row[f"nd{i}"]
-
-
-def _narrow(df: DataFrame, cols: dict[str, Column], brackets: list[_Bracket]) -> list[_Bracket]:
-    """Split each wide bracket into one narrower bracket per wanted rank."""
-    parts, aggs = [], []
-    for b in brackets:
-        for r in b.ranks:
-            at = (r - b.below) / max(b.inside - 1, 1)
-            probs = [max(at - b.slack, 0.0), min(at + b.slack, 1.0)]
-            parts.append((b, r))
-            aggs.append(
-                F.percentile_approx(
-                    F.when(_inside(cols[b.name], b), cols[b.name]), probs, SKETCH_ACCURACY
-                ).alias(f"q{len(parts) - 1}")
-            )
+    if b.low is None:
+        return value.isNotNull()
+    return (value >= F.lit(b.low)) & (value <= F.lit(b.high))
+
+
+def _sketch(value: Column, integral: bool) -> Column:
+    return F.kll_sketch_agg_bigint(value, SKETCH_SIZE) if integral else F.kll_sketch_agg_double(value, SKETCH_SIZE)
+
+
+def _at(sketch: Column, probs: Sequence[float], integral: bool) -> Column:
+    get = F.kll_sketch_get_quantile_bigint if integral else F.kll_sketch_get_quantile_double
+    return get(sketch, F.array(*[F.lit(float(p)) for p in probs]))
+
+
+def _integral(df: DataFrame, cols: dict[str, Column]) -> set[str]:
+    fields = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols.values())]).schema.fields
+    return {n for n, f in zip(cols, fields) if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
+
+
+def _around(b: _Bracket, rank: int) -> list[float]:
+    at = (rank - b.below) / max(b.inside - 1, 1)
+    return [max(at - b.slack, 0.0), min(at + b.slack, 1.0)]
+
+
+def _count(df: DataFrame, cols: dict[str, Column], parents: list[_Bracket], proposed: list[_Bracket], extra: Sequence[Column] = ()):
+    """Count the proposed brackets exactly; one that lost its rank reverts to its wider parent."""
+    aggs = list(extra)
+    for i, b in enumerate(proposed):
+        v = cols[b.name]
+        aggs += [F.count_if(v < F.lit(b.low)).alias(f"below{i}"), F.count_if(_inside(v, b)).alias(f"in{i}")]
     row = df.agg(*aggs).first()
     out = []
-    for i, (b, r) in enumerate(parts):
-        low, high = row[f"q{i}"]
-        out.append(_Bracket(b.name, (r,), low, high, slack=b.slack))
-    _measure(df, cols, out)
-    for (parent, _), b in zip(parts, out):
-        if not b.below <= b.ranks[0] < b.below + b.inside:
-            b.low, b.high = parent.low, parent.high
-            b.below, b.inside, b.distinct = parent.below, parent.inside, parent.distinct
-            b.slack = parent.slack * 16
-    return out
+    for i, (p, b) in enumerate(zip(parents, proposed)):
+        b = replace(b, below=row[f"below{i}"], inside=row[f"in{i}"])
+        out.append(b if b.holds(b.ranks[0]) else replace(p, ranks=b.ranks, slack=p.slack * 16))
+    return out, row
+
+
+def _narrow(df: DataFrame, cols: dict[str, Column], integral: set[str], brackets: list[_Bracket]) -> list[_Bracket]:
+    parents = [replace(b, ranks=(r,)) for b in brackets for r in b.ranks]
+    row = df.agg(
+        *[
+            _at(_sketch(F.when(_inside(cols[b.name], b), cols[b.name]), b.name in integral), _around(b, b.ranks[0]), b.name in integral).alias(f"q{i}")
+            for i, b in enumerate(parents)
+        ]
+    ).first()
+    proposed = [replace(b, low=row[f"q{i}"][0], high=row[f"q{i}"][1]) for i, b in enumerate(parents)]
+    return _count(df, cols, parents, proposed)[0]
 
 
 def _pick(df: DataFrame, cols: dict[str, Column], brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
     """Exact values at the wanted ranks of brackets known to be small."""
-    entries = [
-        F.when(_inside(cols[b.name], b), F.struct(F.lit(i).alias("b"), cols[b.name].alias("v")))
-        for i, b in enumerate(brackets)
-    ]
+    out = {(b.name, r): b.low for b in brackets if b.low is not None and b.low == b.high for r in b.ranks}
+    brackets = [b for b in brackets if b.low is None or b.low != b.high]
+    if not brackets:
+        return out
+    hits = [_inside(cols[b.name], b) for b in brackets]
+    entries = [F.when(h, F.struct(F.lit(i).alias("b"), cols[b.name].alias("v"))) for i, (h, b) in enumerate(zip(hits, brackets))]
     counts = (
-        df.select(F.explode(F.array(*entries)).alias("e"))
+        df.where(reduce(lambda x, y: x | y, hits))
+        .select(F.explode(F.array(*entries)).alias("e"))
         .where("e is not null")
         .groupBy("e.b", "e.v")
         .agg(F.count("*").alias("n"))
@@ -110,7 +120,23 @@ def _pick(df: DataFrame, cols: dict[str, Column], brackets: list[_Bracket]) -> d
         ]
     )
     rows = {row["b"]: row for row in found.collect()}  # one row per bracket
-    return {(b.name, r): rows[i][f"r{i}_{j}"] for i, j, b, r in wanted if i in rows}
+    out.update({(b.name, r): rows[i][f"r{i}_{j}"] for i, j, b, r in wanted if i in rows})
+    return out
+
+
+def _select(
+    df: DataFrame, cols: dict[str, Column], integral: set[str], brackets: list[_Bracket], limit: int
+) -> dict[tuple[str, int], float]:
+    ready: list[_Bracket] = []
+    for _ in range(MAX_ROUNDS):
+        small = lambda b: b.inside <= limit or (b.low is not None and b.low == b.high)
+        ready += [b for b in brackets if small(b)]
+        brackets = [b for b in brackets if not small(b)]
+        if not brackets:
+            break
+        brackets = _narrow(df, cols, integral, brackets)
+    # Whatever is still wide is exact too, only ordered in a larger group.
+    return _pick(df, cols, ready + brackets)
 
 
 def order_statistics(
@@ -120,20 +146,13 @@ def order_statistics(
     max_distinct: int | None = None,
 ) -> dict[tuple[str, int], float]:
     """Exact value at each 0-based rank of each column's ascending non-null values."""
-    limit = max_distinct or MAX_DISTINCT
-    open_brackets = [_Bracket(n, tuple(sorted(set(r)))) for n, r in ranks.items() if len(r)]
-    if not open_brackets:
+    wanted = {n: tuple(sorted(set(r))) for n, r in ranks.items() if len(r)}
+    if not wanted:
         return {}
-    _measure(df, cols, open_brackets)
-    ready: list[_Bracket] = []
-    for _ in range(MAX_ROUNDS):
-        ready += [b for b in open_brackets if b.distinct <= limit or b.low == b.high is not None]
-        open_brackets = [b for b in open_brackets if b not in ready]
-        if not open_brackets:
-            break
-        open_brackets = _narrow(df, cols, open_brackets)
-    # Whatever is still wide is exact too, only ordered in a larger group.
-    return _pick(df, cols, ready + open_brackets)
+    names = list(wanted)
+    sizes = df.agg(*[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    whole = [_Bracket(n, wanted[n], 0, sizes[f"n{i}"]) for i, n in enumerate(names)]
+    return _select(df, cols, _integral(df, {n: cols[n] for n in names}), whole, max_distinct or MAX_DISTINCT)
 
 
 def rank_positions(n: int, prob: float) -> tuple[int, int, float]:
@@ -153,39 +172,53 @@ def exact_quantiles(
 
     Columns with few distinct values go through one built-in ``percentile``
     aggregate, whose buffer holds one entry per distinct value and is therefore
-    small; the others are selected by bracket.
+    small; the others are selected by bracket. Three scans in all: sizes and
+    sketches, small columns and bracket counts, bracket contents.
     """
     limit = max_distinct or MAX_DISTINCT
     if not cols:
         return {}
     names = list(cols)
+    integral = _integral(df, cols)
+    steps = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-SLACK, SLACK)})
     sizes = df.agg(
         *[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)],
         *[F.approx_count_distinct(cols[n]).alias(f"d{i}") for i, n in enumerate(names)],
-    ).first()
+        *[_sketch(cols[n], n in integral).alias(f"s{i}") for i, n in enumerate(names)],
+    )
+    sizes = sizes.select("*", *[F.when(F.col(f"n{i}") > 0, _at(F.col(f"s{i}"), steps, n in integral)).alias(f"q{i}") for i, n in enumerate(names)])
+    row = sizes.drop(*[f"s{i}" for i in range(len(names))]).first()
     out: dict[str, list[float] | None] = {}
-    small, large = [], {}
+    small, parents, proposed = [], [], []
     for i, n in enumerate(names):
-        if sizes[f"n{i}"] == 0:
+        count = row[f"n{i}"]
+        if count == 0:
             out[n] = None
-        elif sizes[f"d{i}"] <= limit:
+        elif row[f"d{i}"] <= limit:
             small.append(n)
         else:
-            large[n] = sizes[f"n{i}"]
-    if small:
-        row = df.agg(
-            *[F.percentile(cols[n], [float(p) for p in probs]).alias(f"q{i}") for i, n in enumerate(small)]
-        ).first()
-        for i, n in enumerate(small):
-            out[n] = [float(v) for v in row[f"q{i}"]]
-    if large:
-        want = {n: [r for p in probs for r in rank_positions(c, p)[:2]] for n, c in large.items()}
-        at = order_statistics(df, {n: cols[n] for n in large}, want, limit)
-        for n, c in large.items():
-            vals = []
             for p in probs:
-                lo, hi, w = rank_positions(c, p)
+                ranks = tuple(sorted(set(rank_positions(count, p)[:2])))
+                near = [row[f"q{i}"][steps.index(min(max(p + d, 0.0), 1.0))] for d in (-SLACK, SLACK)]
+                whole = _Bracket(n, ranks, 0, count)
+                parents.append(whole)
+                proposed.append(replace(whole, low=near[0], high=near[1]))
+    exact = [F.percentile(cols[n], [float(p) for p in probs]).alias(f"p{i}") for i, n in enumerate(small)]
+    if not exact and not proposed:
+        return out
+    counted, values = _count(df, cols, parents, proposed, exact)
+    for i, n in enumerate(small):
+        out[n] = [float(v) for v in values[f"p{i}"]]
+    if counted:
+        # The upper of the two ranks may lie just outside; such a bracket reverts as well.
+        counted = [b if all(map(b.holds, b.ranks)) else replace(p, slack=p.slack * 16) for p, b in zip(parents, counted)]
+        at = _select(df, cols, integral, counted, limit)
+        for i, n in enumerate(names):
+            if n in out:
+                continue
+            out[n] = []
+            for p in probs:
+                lo, hi, w = rank_positions(row[f"n{i}"], p)
                 a, b = float(at[n, lo]), float(at[n, hi])
-                vals.append(a + (b - a) * w)
-            out[n] = vals
+                out[n].append(a + (b - a) * w)
     return out
