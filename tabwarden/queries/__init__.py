@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "profile", "drift", "leakage")
+MODULES = ("quality", "profile", "drift", "leakage", "risk")
 
 
 def load_all() -> None:

@@ -81,7 +81,8 @@ def _(t):
 def _(t):
     ref, cur = periods(t)
     ks = drift.ks_statistic(ref, cur, [*NUMS, "l_orderkey"])
-    return ks.select("feature", "n0", "n1", F.round("ks", 8).alias("ks"), F.round(drift.ks_p_value(F.col("ks"), F.col("n0"), F.col("n1")), 6).alias("p_value"))
+    ks = ks.withColumn("p_value", F.round(drift.ks_p_value(F.col("ks"), F.col("n0"), F.col("n1")), 6))
+    return ks.withColumn("ks", F.round("ks", 8))
 
 
 _CHI = """(WITH c AS (SELECT x, count(*) FILTER (WHERE s = 0) AS a, count(*) FILTER (WHERE s = 1) AS b FROM (SELECT {c} AS x, 0 AS s FROM {ref} UNION ALL SELECT {c}, 1 FROM {cur}) GROUP BY x),
