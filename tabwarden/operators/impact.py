@@ -64,11 +64,12 @@ def roc_auc(predictions: DataFrame, label: str = "label", score: str = "score",
     return run.agg(ratio(F.sum(wins), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
-def _model(kind: str, width: int) -> Pipeline:
+def _model(kind: str, width: int, rows: int) -> Pipeline:
     if kind == "random_forest":
         last = RandomForestClassifier(numTrees=100, maxDepth=10, seed=SEED, featuresCol="scaled")
     elif kind == "logistic":
-        last = LogisticRegression(maxIter=1000, featuresCol="scaled")
+        # One unit of L2 penalty against the summed loss; Spark averages the loss over rows.
+        last = LogisticRegression(maxIter=1000, regParam=1.0 / max(rows, 1), tol=1e-4, featuresCol="scaled")
     else:
         raise ValueError(f"unknown model type: {kind}")
     return Pipeline(
@@ -94,7 +95,7 @@ def _prepared(df: DataFrame, columns: Sequence[str], target: str, key: str) -> D
 def evaluate(prepared: DataFrame, width: int, kind: str = "random_forest", folds: int = FOLDS) -> dict[str, float]:
     """Metrics of a model on the test side and its cross-validated accuracy on the train side."""
     train, test = prepared.where("side = 'train'"), prepared.where("side = 'test'")
-    model = _model(kind, width)
+    model = _model(kind, width, train.count())
     predicted = model.fit(train).transform(test).withColumn("score", vector_to_array("probability")[1])
     out = classification_metrics(predicted).first().asDict()
     out["roc_auc"] = roc_auc(predicted).first()[0]

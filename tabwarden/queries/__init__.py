@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("quality", "profile", "drift", "leakage", "risk")
+MODULES = ("quality", "profile", "drift", "leakage", "risk", "history", "sources")
 
 
 def load_all() -> None:
