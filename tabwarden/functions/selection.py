@@ -1,20 +1,23 @@
 """Exact order statistics without sorting the table.
 
 A global sort, or an exact ``percentile`` over a column of mostly distinct
-values, would put the column into one task. Instead a sketch proposes a narrow
-bracket around each wanted rank, one pass counts exactly how many rows lie
-below and inside it, and only the values inside the bracket are counted and
-ordered. The counts make the result exact: the sketch only decides how much is
-left to look at, and a bracket that misses its rank is widened again.
+values, would put the column into one task. Instead the value range of each
+column is cut at a few edges and the rows of every class - equal to an edge,
+or strictly between two edges - are counted. A wanted rank lies in exactly one
+class. If that is an edge the value is known; if the class is small its values
+are counted and ordered; if it is large a sketch of it proposes new edges
+around the rank. The counts are exact, so the result is; the sketch only
+decides how little is left to look at.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
-from functools import reduce
+from itertools import accumulate
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,136 +26,162 @@ from pyspark.sql.window import Window
 # Most distinct values one aggregation buffer or one ordered group may hold.
 MAX_DISTINCT = 200_000
 SKETCH_SIZE = 2_000
-SLACK = 0.004  # rank distance kept around the sketch's answer
+SLACK = 0.004  # rank distance kept on both sides of the sketch's answer
+GRID = 500  # quantiles read from a sketch
 MAX_ROUNDS = 8
+_EXACT = float(2**53)
+
+
+class _Columns:
+    """The columns as c0, c1, ... of one type: long if all are integral, else double."""
+
+    def __init__(self, df: DataFrame, cols: dict[str, Column]) -> None:
+        flat = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols.values())])
+        whole = all(isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) for f in flat.schema.fields)
+        self.integral = whole
+        kind = "long" if whole else "double"
+        self.names = list(cols)
+        self.flat = flat.select(*[F.col(f"c{i}").cast(kind).alias(f"c{i}") for i in range(len(cols))])
+
+    def rows(self, edges: dict[int, list[float]]) -> DataFrame:
+        """(g, p, v): column number, class and value of every non-null value of the columns in ``edges``."""
+        flat, entries = self.flat, []
+        for g, e in edges.items():
+            flat = _classified(flat, f"c{g}", f"p{g}", e)
+            entries.append(F.struct(F.lit(g).alias("g"), F.col(f"p{g}").alias("p"), F.col(f"c{g}").alias("v")))
+        return flat.select(F.inline(F.array(*entries))).where("v is not null")
+
+    def sketch(self, value: str) -> Column:
+        return (F.kll_sketch_agg_bigint if self.integral else F.kll_sketch_agg_double)(value, SKETCH_SIZE)
+
+    def read(self, sketch: str) -> Column:
+        get = F.kll_sketch_get_quantile_bigint if self.integral else F.kll_sketch_get_quantile_double
+        return get(sketch, F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+
+    def fixed(self, edge: float) -> bool:
+        """Whether the class of an edge holds this one value; beyond 2^53 longs share a double."""
+        return not self.integral or abs(edge) < _EXACT
+
+
+def _classified(df: DataFrame, source: str, out: str, edges: list[float]) -> DataFrame:
+    """Adds the class 0..2k of a value among k edges; odd classes equal an edge."""
+    if not edges:
+        return df.withColumn(out, F.lit(0))
+    splits = [-math.inf, *[s for e in edges for s in (e, math.nextafter(e, math.inf))], math.inf]
+    cut = Bucketizer(splits=splits, inputCol=out + "_d", outputCol=out + "_b", handleInvalid="keep")
+    df = cut.transform(df.withColumn(out + "_d", F.col(source).cast("double")))
+    return df.withColumn(out, F.col(out + "_b").cast("int")).drop(out + "_d", out + "_b")
+
+
+def _merged(old: list[float], new: Sequence[float]) -> list[float]:
+    """Sorted distinct finite edges, no two of them adjacent doubles."""
+    out: list[float] = []
+    for e in sorted({float(x) for x in (*old, *new) if math.isfinite(x)}):
+        if not out or e > math.nextafter(out[-1], math.inf):
+            out.append(e)
+    return out
 
 
-@dataclass(frozen=True)
-class _Bracket:
-    """Values low..high of one column; None is unbounded. ``below`` and ``inside`` are exact counts."""
-
-    name: str
-    ranks: tuple[int, ...]
-    below: int
-    inside: int
-    low: float | None = None
-    high: float | None = None
-    slack: float = SLACK
-
-    def holds(self, rank: int) -> bool:
-        return self.below <= rank < self.below + self.inside
-
-
-def _inside(value: Column, b: _Bracket) -> Column:
-    if b.low is None:
-        return value.isNotNull()
-    return (value >= F.lit(b.low)) & (value <= F.lit(b.high))
-
-
-def _sketch(value: Column, integral: bool) -> Column:
-    return F.kll_sketch_agg_bigint(value, SKETCH_SIZE) if integral else F.kll_sketch_agg_double(value, SKETCH_SIZE)
-
-
-def _at(sketch: Column, probs: Sequence[float], integral: bool) -> Column:
-    get = F.kll_sketch_get_quantile_bigint if integral else F.kll_sketch_get_quantile_double
-    return get(sketch, F.array(*[F.lit(float(p)) for p in probs]))
-
-
-def _integral(df: DataFrame, cols: dict[str, Column]) -> set[str]:
-    fields = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols.values())]).schema.fields
-    return {n for n, f in zip(cols, fields) if isinstance(f.dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))}
+def _around(grid: Sequence[float], at: float) -> list[float]:
+    """Edges below and above the relative rank, from the quantiles of a sketch."""
+    lo = max(math.floor((at - SLACK) * GRID), 0)
+    hi = min(math.ceil((at + SLACK) * GRID), GRID)
+    return [grid[lo], grid[hi]]
 
 
-def _around(b: _Bracket, rank: int) -> list[float]:
-    at = (rank - b.below) / max(b.inside - 1, 1)
-    return [max(at - b.slack, 0.0), min(at + b.slack, 1.0)]
+def _select(cols: _Columns, sizes: dict[int, int], ranks: dict[int, list[int]], edges: dict[int, list[float]], limit: int):
+    """{(g, rank): value}. ``edges`` may hold first proposals; they are counted here."""
+    counts = {g: [sizes[g]] for g in ranks}
+    fresh = {g: e for g, e in edges.items() if e}
+    found: dict[tuple[int, int], float] = {}
+    pending: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for _ in range(MAX_ROUNDS):
+        if fresh:
+            got = {(r["g"], r["p"]): r["n"] for r in cols.rows(fresh).groupBy("g", "p").agg(F.count("*").alias("n")).collect()}
+            for g, e in fresh.items():
+                counts[g] = [got.get((g, p), 0) for p in range(2 * len(e) + 1)]
+        pending, wide = {}, {}
+        for g, wanted in ranks.items():
+            ends = list(accumulate(counts[g]))
+            for r in wanted:
+                p = bisect_right(ends, r)
+                e = edges.get(g, [])
+                if p % 2 and cols.fixed(e[p // 2]):
+                    found[g, r] = e[p // 2]
+                    continue
+                before = ends[p] - counts[g][p]
+                target = pending if counts[g][p] <= limit else wide
+                target.setdefault((g, p), []).append((r, r - before))
+        if not wide:
+            break
+        fresh = _narrowed(cols, wide, counts, edges)
+        if not fresh:
+            break
+    found.update(_picked(cols, pending | wide, edges))
+    return found
 
 
-def _count(df: DataFrame, cols: dict[str, Column], parents: list[_Bracket], proposed: list[_Bracket], extra: Sequence[Column] = ()):
-    """Count the proposed brackets exactly; one that lost its rank reverts to its wider parent."""
-    aggs = list(extra)
-    for i, b in enumerate(proposed):
-        v = cols[b.name]
-        aggs += [F.count_if(v < F.lit(b.low)).alias(f"below{i}"), F.count_if(_inside(v, b)).alias(f"in{i}")]
-    row = df.agg(*aggs).first()
-    out = []
-    for i, (p, b) in enumerate(zip(parents, proposed)):
-        b = replace(b, below=row[f"below{i}"], inside=row[f"in{i}"])
-        out.append(b if b.holds(b.ranks[0]) else replace(p, ranks=b.ranks, slack=p.slack * 16))
-    return out, row
+def _wanted_table(cols: _Columns, keys) -> DataFrame:
+    return cols.flat.sparkSession.createDataFrame(list(keys), "g int, p int")
 
 
-def _narrow(df: DataFrame, cols: dict[str, Column], integral: set[str], brackets: list[_Bracket]) -> list[_Bracket]:
-    parents = [replace(b, ranks=(r,)) for b in brackets for r in b.ranks]
-    row = df.agg(
-        *[
-            _at(_sketch(F.when(_inside(cols[b.name], b), cols[b.name]), b.name in integral), _around(b, b.ranks[0]), b.name in integral).alias(f"q{i}")
-            for i, b in enumerate(parents)
-        ]
-    ).first()
-    proposed = [replace(b, low=row[f"q{i}"][0], high=row[f"q{i}"][1]) for i, b in enumerate(parents)]
-    return _count(df, cols, parents, proposed)[0]
+def _narrowed(cols: _Columns, wide, counts, edges) -> dict[int, list[float]]:
+    """New edges around the ranks in large classes; columns without progress are left out."""
+    rows = cols.rows({g: edges.get(g, []) for g, _ in wide})
+    sketched = rows.join(F.broadcast(_wanted_table(cols, wide)), ["g", "p"], "left_semi").groupBy("g", "p").agg(cols.sketch("v").alias("s"))
+    fresh = {}
+    for row in sketched.select("g", "p", cols.read("s").alias("q")).collect():
+        g, p = row["g"], row["p"]
+        size = counts[g][p]
+        new = [x for _, offset in wide[g, p] for x in _around(row["q"], offset / max(size - 1, 1))]
+        better = _merged(edges.get(g, []), new)
+        if better != edges.get(g, []):
+            edges[g] = fresh[g] = better
+    return fresh
 
 
-def _pick(df: DataFrame, cols: dict[str, Column], brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
-    """Exact values at the wanted ranks of brackets known to be small."""
-    out = {(b.name, r): b.low for b in brackets if b.low is not None and b.low == b.high for r in b.ranks}
-    brackets = [b for b in brackets if b.low is None or b.low != b.high]
-    if not brackets:
-        return out
-    hits = [_inside(cols[b.name], b) for b in brackets]
-    entries = [F.when(h, F.struct(F.lit(i).alias("b"), cols[b.name].alias("v"))) for i, (h, b) in enumerate(zip(hits, brackets))]
-    counts = (
-        df.where(reduce(lambda x, y: x | y, hits))
-        .select(F.explode(F.array(*entries)).alias("e"))
-        .where("e is not null")
-        .groupBy("e.b", "e.v")
-        .agg(F.count("*").alias("n"))
-    )
-    running = counts.withColumn(
-        "upto", F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    )
-    wanted = [(i, j, b, r) for i, b in enumerate(brackets) for j, r in enumerate(b.ranks)]
-    found = running.groupBy("b").agg(
-        *[
-            F.min(F.when((F.col("b") == i) & (F.col("upto") > r - b.below), F.col("v"))).alias(f"r{i}_{j}")
-            for i, j, b, r in wanted
-        ]
+def _picked(cols: _Columns, pending, edges) -> dict[tuple[int, int], float]:
+    """Values at the wanted offsets inside small classes: value counts, ordered per class."""
+    if not pending:
+        return {}
+    rows = cols.rows({g: edges.get(g, []) for g in {g for g, _ in pending}})
+    offsets = [(g, p, r, o) for (g, p), at in pending.items() for r, o in at]
+    wanted = F.broadcast(cols.flat.sparkSession.createDataFrame(offsets, "g int, p int, r long, o long"))
+    inside = rows.join(F.broadcast(_wanted_table(cols, pending)), ["g", "p"], "left_semi")
+    running = inside.groupBy("g", "p", "v").agg(F.count("*").alias("n")).withColumn(
+        "upto", F.sum("n").over(Window.partitionBy("g", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     )
-    rows = {row["b"]: row for row in found.collect()}  # one row per bracket
-    out.update({(b.name, r): rows[i][f"r{i}_{j}"] for i, j, b, r in wanted if i in rows})
-    return out
+    hits = running.join(wanted, ["g", "p"]).where((F.col("upto") > F.col("o")) & (F.col("upto") - F.col("n") <= F.col("o")))
+    return {(row["g"], row["r"]): row["v"] for row in hits.select("g", "r", "v").collect()}  # one row per wanted rank
 
 
-def _select(
-    df: DataFrame, cols: dict[str, Column], integral: set[str], brackets: list[_Bracket], limit: int
-) -> dict[tuple[str, int], float]:
-    ready: list[_Bracket] = []
-    for _ in range(MAX_ROUNDS):
-        small = lambda b: b.inside <= limit or (b.low is not None and b.low == b.high)
-        ready += [b for b in brackets if small(b)]
-        brackets = [b for b in brackets if not small(b)]
-        if not brackets:
-            break
-        brackets = _narrow(df, cols, integral, brackets)
-    # Whatever is still wide is exact too, only ordered in a larger group.
-    return _pick(df, cols, ready + brackets)
+def class_counts(df: DataFrame, cols: dict[str, Column], values: dict[str, Sequence[float]]) -> dict[str, dict[float, tuple[int, int]]]:
+    """Per column and given value: rows below it and rows equal to it, one scan."""
+    c = _Columns(df, cols)
+    edges = {g: sorted({float(v) for v in values[n]}) for g, n in enumerate(c.names) if values.get(n)}
+    if not edges:
+        return {}
+    got = {(r["g"], r["p"]): r["n"] for r in c.rows(edges).groupBy("g", "p").agg(F.count("*").alias("n")).collect()}
+    out: dict[str, dict[float, tuple[int, int]]] = {}
+    for g, e in edges.items():
+        counts = [got.get((g, p), 0) for p in range(2 * len(e) + 1)]
+        ends = list(accumulate(counts))
+        out[c.names[g]] = {v: (ends[2 * i], counts[2 * i + 1]) for i, v in enumerate(e)}
+    return out
 
 
 def order_statistics(
-    df: DataFrame,
-    cols: dict[str, Column],
-    ranks: dict[str, Sequence[int]],
-    max_distinct: int | None = None,
+    df: DataFrame, cols: dict[str, Column], ranks: dict[str, Sequence[int]], max_distinct: int | None = None
 ) -> dict[tuple[str, int], float]:
     """Exact value at each 0-based rank of each column's ascending non-null values."""
-    wanted = {n: tuple(sorted(set(r))) for n, r in ranks.items() if len(r)}
+    wanted = {n: sorted(set(r)) for n, r in ranks.items() if len(r)}
     if not wanted:
         return {}
-    names = list(wanted)
-    sizes = df.agg(*[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    whole = [_Bracket(n, wanted[n], 0, sizes[f"n{i}"]) for i, n in enumerate(names)]
-    return _select(df, cols, _integral(df, {n: cols[n] for n in names}), whole, max_distinct or MAX_DISTINCT)
+    c = _Columns(df, {n: cols[n] for n in wanted})
+    sizes = {r["g"]: r["n"] for r in c.rows({g: [] for g in range(len(c.names))}).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    by_g = {g: wanted[n] for g, n in enumerate(c.names) if sizes.get(g)}
+    found = _select(c, sizes, by_g, {}, max_distinct or MAX_DISTINCT)
+    return {(c.names[g], r): v for (g, r), v in found.items()}
 
 
 def rank_positions(n: int, prob: float) -> tuple[int, int, float]:
@@ -163,62 +192,38 @@ def rank_positions(n: int, prob: float) -> tuple[int, int, float]:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    cols: dict[str, Column],
-    probs: Sequence[float],
-    max_distinct: int | None = None,
+    df: DataFrame, cols: dict[str, Column], probs: Sequence[float], max_distinct: int | None = None
 ) -> dict[str, list[float] | None]:
     """Exact linear-interpolated quantiles per column; None for an all-null column.
 
-    Columns with few distinct values go through one built-in ``percentile``
-    aggregate, whose buffer holds one entry per distinct value and is therefore
-    small; the others are selected by bracket. Three scans in all: sizes and
-    sketches, small columns and bracket counts, bracket contents.
+    Columns with few distinct values go through the built-in ``percentile``,
+    whose buffer holds one entry per distinct value and is therefore small; the
+    others are selected by class counts. All columns share each scan.
     """
     limit = max_distinct or MAX_DISTINCT
     if not cols:
         return {}
-    names = list(cols)
-    integral = _integral(df, cols)
-    steps = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-SLACK, SLACK)})
-    sizes = df.agg(
-        *[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.approx_count_distinct(cols[n]).alias(f"d{i}") for i, n in enumerate(names)],
-        *[_sketch(cols[n], n in integral).alias(f"s{i}") for i, n in enumerate(names)],
-    )
-    sizes = sizes.select("*", *[F.when(F.col(f"n{i}") > 0, _at(F.col(f"s{i}"), steps, n in integral)).alias(f"q{i}") for i, n in enumerate(names)])
-    row = sizes.drop(*[f"s{i}" for i in range(len(names))]).first()
-    out: dict[str, list[float] | None] = {}
-    small, parents, proposed = [], [], []
-    for i, n in enumerate(names):
-        count = row[f"n{i}"]
-        if count == 0:
-            out[n] = None
-        elif row[f"d{i}"] <= limit:
-            small.append(n)
-        else:
-            for p in probs:
-                ranks = tuple(sorted(set(rank_positions(count, p)[:2])))
-                near = [row[f"q{i}"][steps.index(min(max(p + d, 0.0), 1.0))] for d in (-SLACK, SLACK)]
-                whole = _Bracket(n, ranks, 0, count)
-                parents.append(whole)
-                proposed.append(replace(whole, low=near[0], high=near[1]))
-    exact = [F.percentile(cols[n], [float(p) for p in probs]).alias(f"p{i}") for i, n in enumerate(small)]
-    if not exact and not proposed:
-        return out
-    counted, values = _count(df, cols, parents, proposed, exact)
-    for i, n in enumerate(small):
-        out[n] = [float(v) for v in values[f"p{i}"]]
-    if counted:
-        # The upper of the two ranks may lie just outside; such a bracket reverts as well.
-        counted = [b if all(map(b.holds, b.ranks)) else replace(p, slack=p.slack * 16) for p, b in zip(parents, counted)]
-        at = _select(df, cols, integral, counted, limit)
-        for i, n in enumerate(names):
-            if n in out:
-                continue
-            out[n] = []
+    c = _Columns(df, cols)
+    rows = c.rows({g: [] for g in range(len(c.names))})
+    first = rows.groupBy("g").agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("d"), c.sketch("v").alias("s"))
+    info = {r["g"]: r for r in first.select("g", "n", "d", c.read("s").alias("q")).collect()}
+    out: dict[str, list[float] | None] = {n: None for n in c.names}
+    small = [g for g, r in info.items() if r["d"] <= limit]
+    if small:
+        entries = [F.struct(F.lit(g).alias("g"), F.col(f"c{g}").alias("v")) for g in small]
+        got = c.flat.select(F.inline(F.array(*entries))).where("v is not null").groupBy("g").agg(F.percentile("v", [float(p) for p in probs]).alias("q"))
+        for r in got.collect():
+            out[c.names[r["g"]]] = [float(v) for v in r["q"]]
+    large = {g: r["n"] for g, r in info.items() if g not in small}
+    if large:
+        ranks = {g: sorted({x for p in probs for x in rank_positions(n, p)[:2]}) for g, n in large.items()}
+        edges = {g: _merged([], [x for p in probs for x in _around(info[g]["q"], p)]) for g in large}
+        at = _select(c, large, ranks, edges, limit)
+        for g, n in large.items():
+            values = []
             for p in probs:
-                lo, hi, w = rank_positions(row[f"n{i}"], p)
-                a, b = float(at[n, lo]), float(at[n, hi])
-                out[n].append(a + (b - a) * w)
+                lo, hi, w = rank_positions(n, p)
+                a, b = float(at[g, lo]), float(at[g, hi])
+                values.append(a + (b - a) * w)
+            out[c.names[g]] = values
     return out

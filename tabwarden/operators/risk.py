@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tabwarden.functions.expr import ratio, unranked, worst
 from tabwarden.functions.labels import numeric_target
 from tabwarden.functions.ordering import order_buckets
-from tabwarden.functions.selection import order_statistics
+from tabwarden.functions.selection import class_counts, order_statistics
 from tabwarden.functions.types import as_double, as_timestamp, clean, col, micros, numeric_columns
 from tabwarden.operators.profile import column_base, pair_moments
 from tabwarden.plans.schemas import DEFAULTS, RISK_RANK
@@ -74,22 +74,24 @@ def rank_bins(df: DataFrame, values: dict[str, Column], key: str, bins: int = BI
     sizes = df.agg(*[F.count(values[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
     cuts = {n: [(b + 1) * (sizes[f"n{i}"] - 1) // bins for b in range(bins - 1)] for i, n in enumerate(names) if sizes[f"n{i}"] > 1}
     at = order_statistics(df, {n: values[n] for n in cuts}, cuts)
-    spots = [(n, c, at[n, c]) for n in cuts for c in sorted(set(cuts[n]))]
-    distinct = sorted({(n, v) for n, _, v in spots})
-    index = {nv: i for i, nv in enumerate(distinct)}
-    below = df.agg(*[F.count_if(values[n] < F.lit(v)).alias(f"b{i}") for (n, v), i in index.items()]).first() if index else {}
-    tied = {f"{i}": F.when(values[n] == F.lit(v), k) for (n, v), i in index.items()}
-    wanted: dict[str, list[int]] = {}
-    for n, c, v in spots:
-        wanted.setdefault(str(index[n, v]), []).append(c - below[f"b{index[n, v]}"])
+    below = class_counts(df, {n: values[n] for n in cuts}, {n: [at[n, c] for c in cuts[n]] for n in cuts})
+    # Only cut values shared by several rows need the key; it is selected among those rows.
+    shared = sorted({(n, at[n, c]) for n in cuts for c in cuts[n] if below[n][at[n, c]][1] > 1})
+    tied = {f"{n}={v!r}": F.when(values[n] == F.lit(v), k) for n, v in shared}
+    wanted: dict[str, list[int]] = {name: [] for name in tied}
+    for n in cuts:
+        for c in cuts[n]:
+            if (n, at[n, c]) in shared:
+                wanted[f"{n}={at[n, c]!r}"].append(c - below[n][at[n, c]][0])
     keys = order_statistics(df, tied, wanted)
     out = {}
     for n in names:
         number = F.lit(0)
         for c in cuts.get(n, []):
             v = at[n, c]
-            last = keys[str(index[n, v]), c - below[f"b{index[n, v]}"]]
-            after = (values[n] > F.lit(v)) | ((values[n] == F.lit(v)) & (k > F.lit(last)))
+            after = values[n] > F.lit(v)
+            if (n, v) in shared:
+                after = after | ((values[n] == F.lit(v)) & (k > F.lit(keys[f"{n}={v!r}", c - below[n][v][0]])))
             number = number + after.cast("int")
         out[n] = F.when(values[n].isNotNull(), number)
     return out
