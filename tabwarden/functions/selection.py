@@ -17,12 +17,13 @@ from bisect import bisect_right
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabwarden.functions.longform import long_values, with_class
+
 # Most distinct values one aggregation buffer or one ordered group may hold.
 MAX_DISTINCT = 200_000
 SKETCH_SIZE = 2_000
@@ -45,11 +46,9 @@ class _Columns:
 
     def rows(self, edges: dict[int, list[float]]) -> DataFrame:
         """(g, p, v): column number, class and value of every non-null value of the columns in ``edges``."""
-        flat, entries = self.flat, []
-        for g, e in edges.items():
-            flat = _classified(flat, f"c{g}", f"p{g}", e)
-            entries.append(F.struct(F.lit(g).alias("g"), F.col(f"p{g}").alias("p"), F.col(f"c{g}").alias("v")))
-        return flat.select(F.inline(F.array(*entries))).where("v is not null")
+        width = len(self.names)
+        values = [F.col(f"c{g}") if g in edges else F.lit(None) for g in range(width)]
+        return with_class(long_values(self.flat, values), edges)
 
     def sketch(self, value: str) -> Column:
         return (F.kll_sketch_agg_bigint if self.integral else F.kll_sketch_agg_double)(value, SKETCH_SIZE)
@@ -63,23 +62,9 @@ class _Columns:
         return not self.integral or abs(edge) < _EXACT
 
 
-def _classified(df: DataFrame, source: str, out: str, edges: list[float]) -> DataFrame:
-    """Adds the class 0..2k of a value among k edges; odd classes equal an edge."""
-    if not edges:
-        return df.withColumn(out, F.lit(0))
-    splits = [-math.inf, *[s for e in edges for s in (e, math.nextafter(e, math.inf))], math.inf]
-    cut = Bucketizer(splits=splits, inputCol=out + "_d", outputCol=out + "_b", handleInvalid="keep")
-    df = cut.transform(df.withColumn(out + "_d", F.col(source).cast("double")))
-    return df.withColumn(out, F.col(out + "_b").cast("int")).drop(out + "_d", out + "_b")
-
-
 def _merged(old: list[float], new: Sequence[float]) -> list[float]:
-    """Sorted distinct finite edges, no two of them adjacent doubles."""
-    out: list[float] = []
-    for e in sorted({float(x) for x in (*old, *new) if math.isfinite(x)}):
-        if not out or e > math.nextafter(out[-1], math.inf):
-            out.append(e)
-    return out
+    """Sorted distinct edges."""
+    return sorted({float(x) for x in (*old, *new)})
 
 
 def _around(grid: Sequence[float], at: float) -> list[float]:
@@ -210,8 +195,7 @@ def exact_quantiles(
     out: dict[str, list[float] | None] = {n: None for n in c.names}
     small = [g for g, r in info.items() if r["d"] <= limit]
     if small:
-        entries = [F.struct(F.lit(g).alias("g"), F.col(f"c{g}").alias("v")) for g in small]
-        got = c.flat.select(F.inline(F.array(*entries))).where("v is not null").groupBy("g").agg(F.percentile("v", [float(p) for p in probs]).alias("q"))
+        got = c.rows({g: [] for g in small}).groupBy("g").agg(F.percentile("v", [float(p) for p in probs]).alias("q"))
         for r in got.collect():
             out[c.names[r["g"]]] = [float(v) for v in r["q"]]
     large = {g: r["n"] for g, r in info.items() if g not in small}

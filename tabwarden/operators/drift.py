@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabwarden.functions.expr import ratio
+from tabwarden.functions.longform import long_values, names_table, with_bin
 from tabwarden.functions.ordering import running_totals, value_buckets
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import as_double, categorical_columns, clean, common_columns, numeric_columns
-from tabwarden.operators.profile import bin_edges, bin_of
+from tabwarden.operators.profile import bin_edges, bounds
 from tabwarden.plans.schemas import DEFAULTS
 
 # Fixed values of the index: number of quantile bins and smallest share.
@@ -37,11 +38,17 @@ def two_sided(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFra
     return one(ref, 0).unionByName(one(cur, 1))
 
 
-def _counts_by_bin(both: DataFrame, bins: dict[int, Column]) -> DataFrame:
-    """(f, bin, n0, n1); NULL bins are left out."""
-    entries = [F.struct(F.lit(i).alias("f"), b.alias("bin"), F.col("side")) for i, b in bins.items()]
+def _counts_by_bin(both: DataFrame, edges: dict[int, Sequence[float]], closed: bool = False) -> DataFrame:
+    """(f, bin, n0, n1) by inner edges; with ``closed`` the first and last edge also bound the values."""
+    width = max(edges) + 1
+    rows = long_values(both, [F.col(f"c{i}") if i in edges else F.lit(None).cast("double") for i in range(width)], [F.col("side")])
+    inner = {i: e[1:-1] for i, e in edges.items()}
+    binned = with_bin(rows, inner)
+    if closed:
+        ends = F.broadcast(both.sparkSession.createDataFrame([(i, float(e[0]), float(e[-1])) for i, e in edges.items()], "g int, low double, high double"))
+        binned = binned.join(ends, "g").where("v >= low and v <= high")
     n = lambda s: F.count_if(F.col("side") == s)
-    return both.select(F.inline(F.array(*entries))).where("bin is not null").groupBy("f", "bin").agg(n(0).alias("n0"), n(1).alias("n1"))
+    return binned.groupBy(F.col("g").alias("f"), "bin").agg(n(0).alias("n0"), n(1).alias("n1"))
 
 
 def _name_table(df: DataFrame, names: Sequence[str], sizes: dict[int, int]) -> DataFrame:
@@ -60,7 +67,9 @@ def psi_open(ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None = Non
     borders = exact_quantiles(ref, {c: as_double(ref, c) for c in names}, [i / bins for i in range(1, bins)])
     both = two_sided(ref, cur, names)
     # An unbounded first and last edge: only the inner borders are compared.
-    inside = {i: F.when(F.col(f"c{i}").isNotNull(), bin_of(F.col(f"c{i}"), [0.0, *borders[c], 0.0])) for i, c in enumerate(names) if borders[c]}
+    inside = {i: [-math.inf, *borders[c], math.inf] for i, c in enumerate(names) if borders[c]}
+    if not inside:
+        return ref.sparkSession.createDataFrame([], "feature string, psi double")
     counts = _counts_by_bin(both, inside)
     filled = F.broadcast(_name_table(ref, names, {i: bins for i in inside})).join(counts, ["f", "bin"], "left").fillna(0, ["n0", "n1"])
     w = Window.partitionBy("f")
@@ -84,14 +93,13 @@ def psi_closed(ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None = N
     for i, c in enumerate(names):
         e = edges.get(c, [])
         if len(e) >= 2:
-            v = F.col(f"c{i}")
-            inside[i] = F.when((v >= F.lit(e[0])) & (v <= F.lit(e[-1])), bin_of(v, e))
+            inside[i] = e
             sizes[i] = len(e) - 1
     flat = [(c, 0.0) for c in names if 0 < len(edges.get(c, [])) < 2]
     zero = ref.sparkSession.createDataFrame(flat, "feature string, psi double")
     if not inside:
         return zero
-    counts = _counts_by_bin(both, inside)
+    counts = _counts_by_bin(both, inside, closed=True)
     filled = F.broadcast(_name_table(ref, names, sizes)).join(counts, ["f", "bin"], "left").fillna(0, ["n0", "n1"])
     w = Window.partitionBy("f")
     k = F.count(F.lit(1)).over(w)
@@ -110,8 +118,12 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None =
     """
     names = list(columns or shared_numeric(ref, cur))
     both, ids = value_buckets(two_sided(ref, cur, names), [f"c{i}" for i in range(len(names))], target_rows)
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("v"), F.col(f"c{i}__b").alias("b"), F.col("side")) for i, c in enumerate(names)]
-    rows = both.select(F.inline(F.array(*entries))).where("v is not null")
+    if ids == 1:
+        rows = long_values(both, [F.col(f"c{i}") for i in range(len(names))], [F.col("side")]).withColumn("b", F.lit(0))
+    else:
+        entries = [F.struct(F.col(f"c{i}").alias("v"), F.col(f"c{i}__b").alias("b")) for i in range(len(names))]
+        rows = long_values(both, entries, [F.col("side")]).select("side", "g", "v.*").where("v is not null")
+    rows = rows.join(F.broadcast(names_table(ref, names)), "g").drop("g")
     n0, n1 = F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")
     if ids == 1:
         counts = rows.groupBy("feature", "b", "v").agg(n0, n1)
@@ -232,9 +244,9 @@ def density_histograms(ref: DataFrame, cur: DataFrame, columns: Sequence[str] |
     """(feature, bin, reference, current): densities over shared equal-width bins."""
     names = list(columns or shared_numeric(ref, cur))
     both = two_sided(ref, cur, names)
-    row = both.agg(*[f(f"c{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    edges = {i: bin_edges(row[f"lo{i}"], row[f"hi{i}"], bins) for i in range(len(names)) if row[f"lo{i}"] is not None}
-    counts = _counts_by_bin(both, {i: F.when(F.col(f"c{i}").isNotNull(), bin_of(F.col(f"c{i}"), e)) for i, e in edges.items()})
+    found = bounds(both, {str(i): F.col(f"c{i}") for i in range(len(names))})
+    edges = {int(i): bin_edges(lo, hi, bins) for i, (lo, hi) in found.items()}
+    counts = _counts_by_bin(both, edges)
     table = ref.sparkSession.createDataFrame(
         [(i, names[i], b, e[b + 1] - e[b]) for i, e in edges.items() for b in range(bins)], "f int, feature string, bin int, width double"
     )
@@ -274,9 +286,9 @@ def numeric_drift(
     """
     names = list(columns or shared_numeric(ref, cur, target=target))
     both = two_sided(ref, cur, names)
-    entries = [F.struct(F.lit(c).alias("feature"), F.col("side"), F.col(f"c{i}").alias("v")) for i, c in enumerate(names)]
+    rows = long_values(both, [F.col(f"c{i}") for i in range(len(names))], [F.col("side")]).join(F.broadcast(names_table(ref, names)), "g")
     at = lambda s: F.when(F.col("side") == s, F.col("v"))
-    moments = both.select(F.inline(F.array(*entries))).where("v is not null").groupBy("feature").agg(
+    moments = rows.groupBy("feature").agg(
         F.avg(at(0)).alias("train_mean"), F.avg(at(1)).alias("test_mean"),
         F.stddev_samp(at(0)).alias("train_std"), F.stddev_samp(at(1)).alias("test_std"),
         (F.min(at(0)) < F.max(at(0))).alias("varies0"), (F.min(at(1)) < F.max(at(1))).alias("varies1"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabwarden.functions.expr import fingerprint, md5_order, ratio, value_identity
+from tabwarden.functions.longform import long_values, names_table, with_bin
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import (
     as_double,
@@ -94,16 +95,21 @@ def column_base(df: DataFrame, columns: Sequence[str] | None = None, approximate
         rows = [F.struct(F.lit(c).alias("column"), F.lit(fams[c]).alias("type"), F.col(f"c{i}").alias("count"), F.col(f"u{i}").alias("unique_count"), F.col("total")) for i, c in enumerate(names)]
         per = df.agg(*aggs).select(F.inline(F.array(*rows)))
     else:
-        entries = [
-            F.struct(F.lit(c).alias("column"), F.lit(fams[c]).alias("type"), clean(df, c).isNotNull().alias("present"), value_identity(clean(df, c), fams[c] == "string").alias("v"))
-            for c in names
-        ]
-        by_value = df.select(F.inline(F.array(*entries))).groupBy("column", "type", "present", "v").agg(F.count("*").alias("n"))
-        per = by_value.groupBy("column", "type").agg(
-            F.coalesce(F.sum(F.when(F.col("present"), F.col("n"))), F.lit(0)).alias("count"),
-            F.count_if("present").alias("unique_count"),
-            F.sum("n").alias("total"),
-        )
+        parts = []
+        for text in (False, True):
+            mine = [c for c in names if (fams[c] == "string") == text]
+            if mine:
+                ids = [F.when(clean(df, c).isNotNull(), value_identity(clean(df, c), text)) for c in mine]
+                by_value = long_values(df, ids, nulls=True).groupBy("g", "v").agg(F.count("*").alias("n"))
+                counted = by_value.groupBy("g").agg(
+                    F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),
+                    F.count_if(F.col("v").isNotNull()).alias("unique_count"),
+                    F.sum("n").alias("total"),
+                )
+                table = df.sparkSession.createDataFrame([(i, c, fams[c]) for i, c in enumerate(mine)], "g int, column string, type string")
+                zero = F.lit(0).cast("long")  # an empty table has no rows for a column
+                parts.append(F.broadcast(table).join(counted, "g", "left").select("column", "type", *[F.coalesce(F.col(x), zero).alias(x) for x in ("count", "unique_count", "total")]))
+        per = reduce(DataFrame.unionByName, parts)
     missing = F.col("total") - F.col("count")
     return per.select(
         "column", "type", "count", missing.alias("missing_count"),
@@ -126,20 +132,19 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     if not names:
         schema = "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double, skewness double, kurtosis double, outliers_count long"
         return df.sparkSession.createDataFrame([], schema)
-    entries = []
+    known = []
     for i, c in enumerate(names):
         q1, _, q3 = quart[c]
-        spread = q3 - q1
-        outside = (v[c] < F.lit(q1 - 1.5 * spread)) | (v[c] > F.lit(q3 + 1.5 * spread))
-        entries.append(F.struct(F.lit(i).alias("i"), v[c].alias("v"), outside.alias("outside")))
+        known.append((i, c, *quart[c], q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
+    table = F.broadcast(df.sparkSession.createDataFrame(known, "g int, column string, p25 double, p50 double, p75 double, low double, high double"))
     x = F.col("v")
-    grouped = df.select(F.inline(F.array(*entries))).where("v is not null").groupBy("i").agg(
+    rows = long_values(df, [v[c] for c in names]).join(table.select("g", "low", "high"), "g")
+    grouped = rows.groupBy("g").agg(
         F.count("*").alias("count"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"), corrected_skewness(x).alias("skewness"),
-        corrected_kurtosis(x).alias("kurtosis"), F.count_if("outside").alias("outliers_count"),
+        corrected_kurtosis(x).alias("kurtosis"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outliers_count"),
     )
-    known = df.sparkSession.createDataFrame([(i, c, *quart[c]) for i, c in enumerate(names)], "i int, column string, p25 double, p50 double, p75 double")
-    return grouped.join(F.broadcast(known), "i").select(
+    return grouped.join(table, "g").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "skewness", "kurtosis", "outliers_count"
     )
 
@@ -156,21 +161,6 @@ def bin_of(v: Column, edges: Sequence[float]) -> Column:
     return reduce(lambda a, b: a + b, [(v >= F.lit(e)).cast("int") for e in edges[1:-1]], F.lit(0))
 
 
-def binned_counts(df: DataFrame, values: dict[str, Column], edges: dict[str, Sequence[float]], extra: Sequence[Column] = ()) -> DataFrame:
-    """(feature, bin, n) over all features at once, plus any extra grouping columns."""
-    entries = [
-        F.when(values[c].isNotNull(), F.struct(F.lit(c).alias("feature"), bin_of(values[c], edges[c]).alias("bin")))
-        for c in values
-    ]
-    names = [df.select(e).columns[0] for e in extra]
-    return (
-        df.select(*extra, F.explode(F.array(*entries)).alias("e"))
-        .where("e is not null")
-        .groupBy(*[f"`{n}`" for n in names], "e.feature", "e.bin")
-        .agg(F.count("*").alias("n"))
-    )
-
-
 def edge_table(df: DataFrame, edges: dict[str, Sequence[float]]) -> DataFrame:
     """(feature, bin, low, high) for every bin: columns x bins rows."""
     rows = [(c, i, float(e[i]), float(e[i + 1])) for c, e in edges.items() for i in range(len(e) - 1)]
@@ -178,16 +168,20 @@ def edge_table(df: DataFrame, edges: dict[str, Sequence[float]]) -> DataFrame:
 
 
 def bounds(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[float, float]]:
-    aggs = [f(v).alias(f"{k}{i}") for i, v in enumerate(values.values()) for k, f in (("lo", F.min), ("hi", F.max))]
-    row = df.agg(*aggs).first()
-    return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(values) if row[f"lo{i}"] is not None}
+    """Smallest and largest value of each column that has any."""
+    rows = long_values(df, list(values.values())).groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    names = list(values)
+    return {names[r["g"]]: (r["lo"], r["hi"]) for r in rows}
 
 
 def numeric_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = BINS) -> DataFrame:
     """(feature, bin, low, high, n), empty bins included; the last bin is closed."""
     values = {c: as_double(df, c) for c in (columns or numeric_columns(df))}
     edges = {c: bin_edges(lo, hi, bins) for c, (lo, hi) in bounds(df, values).items()}
-    counts = binned_counts(df, {c: values[c] for c in edges}, edges)
+    names = list(edges)
+    inner = {g: edges[c][1:-1] for g, c in enumerate(names)}
+    counts = with_bin(long_values(df, [values[c] for c in names]), inner).groupBy("g", "bin").agg(F.count("*").alias("n"))
+    counts = counts.join(F.broadcast(names_table(df, names)), "g").drop("g")
     return edge_table(df, edges).join(counts, ["feature", "bin"], "left").select("feature", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tabwarden.functions.expr import ratio, unranked, worst
 from tabwarden.functions.labels import numeric_target
+from tabwarden.functions.longform import long_values
 from tabwarden.functions.ordering import order_buckets
 from tabwarden.functions.selection import class_counts, order_statistics
 from tabwarden.functions.types import as_double, as_timestamp, clean, col, micros, numeric_columns
@@ -61,21 +62,19 @@ def tie_key(df: DataFrame, key: str) -> Column:
     return col(key).cast("long") if key in numeric_columns(df) else key_hash(key)
 
 
-def rank_bins(df: DataFrame, values: dict[str, Column], key: str, bins: int = BINS) -> dict[str, Column]:
-    """Bin 0..bins-1 of each value by its rank, ties ordered by key; NULL for a missing value.
+def rank_cuts(df: DataFrame, values: dict[str, Column], key: str, bins: int = BINS) -> dict[str, list[tuple[float, int | None]]]:
+    """Per column the (value, key) pairs that end bins 0..bins-2 in (value, key) order.
 
     The rank of a row is never computed. The value at each cut rank is selected
     exactly; where several rows share it, the key at the remaining rank among
-    them is selected too. A row's bin is then the number of (value, key) cuts
-    below it: plain comparisons, no sort and no window.
+    them is selected too, else the key is None.
     """
     k = tie_key(df, key)
     names = list(values)
-    sizes = df.agg(*[F.count(values[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    cuts = {n: [(b + 1) * (sizes[f"n{i}"] - 1) // bins for b in range(bins - 1)] for i, n in enumerate(names) if sizes[f"n{i}"] > 1}
-    at = order_statistics(df, {n: values[n] for n in cuts}, cuts)
-    below = class_counts(df, {n: values[n] for n in cuts}, {n: [at[n, c] for c in cuts[n]] for n in cuts})
-    # Only cut values shared by several rows need the key; it is selected among those rows.
+    sizes = {r["g"]: r["n"] for r in long_values(df, [v.cast("double") for v in values.values()]).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    cuts = {n: [(b + 1) * (sizes[i] - 1) // bins for b in range(bins - 1)] for i, n in enumerate(names) if sizes.get(i, 0) > 1}
+    at = order_statistics(df, {n: values[n].cast("double") for n in cuts}, cuts)
+    below = class_counts(df, {n: values[n].cast("double") for n in cuts}, {n: [at[n, c] for c in cuts[n]] for n in cuts})
     shared = sorted({(n, at[n, c]) for n in cuts for c in cuts[n] if below[n][at[n, c]][1] > 1})
     tied = {f"{n}={v!r}": F.when(values[n] == F.lit(v), k) for n, v in shared}
     wanted: dict[str, list[int]] = {name: [] for name in tied}
@@ -84,30 +83,50 @@ def rank_bins(df: DataFrame, values: dict[str, Column], key: str, bins: int = BI
             if (n, at[n, c]) in shared:
                 wanted[f"{n}={at[n, c]!r}"].append(c - below[n][at[n, c]][0])
     keys = order_statistics(df, tied, wanted)
-    out = {}
-    for n in names:
-        number = F.lit(0)
-        for c in cuts.get(n, []):
-            v = at[n, c]
-            after = values[n] > F.lit(v)
-            if (n, v) in shared:
-                after = after | ((values[n] == F.lit(v)) & (k > F.lit(keys[f"{n}={v!r}", c - below[n][v][0]])))
-            number = number + after.cast("int")
-        out[n] = F.when(values[n].isNotNull(), number)
-    return out
+    return {
+        n: [(at[n, c], keys.get((f"{n}={at[n, c]!r}", c - below[n][at[n, c]][0]))) for c in cuts.get(n, [])]
+        for n in names
+    }
+
+
+def rank_bin(value: Column, key: Column, cuts: Sequence[tuple[float, int | None]]) -> Column:
+    """Bin of one value: the number of (value, key) cuts below it; NULL for a missing value."""
+    number = F.lit(0)
+    for v, k in cuts:
+        after = value > F.lit(v)
+        if k is not None:
+            after = after | ((value == F.lit(v)) & (key > F.lit(k)))
+        number = number + after.cast("int")
+    return F.when(value.isNotNull(), number)
+
+
+def rank_bins(df: DataFrame, values: dict[str, Column], key: str, bins: int = BINS) -> dict[str, Column]:
+    """Bin 0..bins-1 of each column by the rank of its value, ties ordered by key."""
+    cuts = rank_cuts(df, values, key, bins)
+    return {n: rank_bin(values[n], tie_key(df, key), cuts[n]) for n in values}
 
 
 def contingency(df: DataFrame, target: str, key: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """(feature, bin, cls, n): rank bins of each feature against the target's bins or classes."""
+    """(feature, bin, cls, n): rank bins of each feature against the target's bins or classes.
+
+    The cuts are joined to the rows as data, nine pairs per feature.
+    """
     names = [c for c in (columns or numeric_columns(df, [target])) if c != target]
     values = {c: as_double(df, c) for c in names}
     numeric = target in numeric_columns(df)
     coded, y = (df, None) if numeric else numeric_target(df, target)
-    binned = rank_bins(coded, values | ({target: as_double(df, target)} if numeric else {}), key)
-    cls = binned[target] if numeric else y.cast("int")
-    entries = [F.struct(F.lit(c).alias("feature"), binned[c].alias("bin")) for c in names]
-    rows = coded.select(cls.alias("cls"), F.array(*entries).alias("e")).select("cls", F.inline("e"))
-    return rows.where("bin is not null and cls is not null").groupBy("feature", "bin", "cls").agg(F.count("*").alias("n"))
+    cuts = rank_cuts(coded, values | ({target: as_double(df, target)} if numeric else {}), key)
+    cls = rank_bin(as_double(df, target), tie_key(df, key), cuts[target]) if numeric else y.cast("int")
+    rows = long_values(coded, [values[c] for c in names], [cls.alias("cls"), tie_key(df, key).alias("k")])
+    width = BINS - 1
+    table = [(g, c, *[x for v, k in (cuts[c] or [(None, None)] * width) for x in (v, k)]) for g, c in enumerate(names)]
+    fields = "g int, feature string, " + ", ".join(f"v{j} double, k{j} long" for j in range(width))
+    joined = rows.join(F.broadcast(df.sparkSession.createDataFrame(table, fields)), "g")
+    number = F.lit(0)
+    for j in range(width):
+        after = (F.col("v") > F.col(f"v{j}")) | ((F.col("v") == F.col(f"v{j}")) & (F.col("k") > F.col(f"k{j}")))
+        number = number + F.coalesce(after.cast("int"), F.lit(0))
+    return joined.withColumn("bin", number).where("cls is not null").groupBy("feature", "bin", "cls").agg(F.count("*").alias("n"))
 
 
 def association(table: DataFrame, rows: Column | int) -> DataFrame:

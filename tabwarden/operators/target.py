@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabwarden.functions.expr import ratio
+from tabwarden.functions.longform import long_values, names_table, with_bin
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import as_double, clean, numeric_columns
 from tabwarden.operators import leakage
@@ -48,8 +49,9 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str] | None
     names = [c for c in (columns or numeric_columns(df, [target])) if c != target]
     v = {c: F.coalesce(as_double(df, c), F.lit(0.0)) for c in names}
     cuts = exact_quantiles(df, v, [i / bins for i in range(1, bins)])
-    entries = [F.struct(F.lit(c).alias("feature"), quantile_bin(v[c], cuts[c] or []).alias("x")) for c in names]
-    joint = df.select(target_classes(df, target, bins).alias("y"), F.array(*entries).alias("e")).select("y", F.inline("e")).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
+    edges = {g: sorted(set(cuts[c] or [])) for g, c in enumerate(names)}
+    rows = with_bin(long_values(df, [v[c] for c in names], [target_classes(df, target, bins).alias("y")]), edges, "x")
+    joint = rows.groupBy("g", "x", "y").agg(F.count("*").alias("n")).join(F.broadcast(names_table(df, names)), "g")
     by = lambda *k: Window.partitionBy("feature", *k)
     n, nx, ny, total = F.col("n"), F.sum("n").over(by("x")), F.sum("n").over(by("y")), F.sum("n").over(by())
     cells = joint.select("feature", "n", nx.alias("nx"), ny.alias("ny"), total.alias("total"))
