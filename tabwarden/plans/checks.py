@@ -8,6 +8,7 @@ shuffle, whatever the number of checks. Checks that must shuffle by value
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -67,7 +68,7 @@ def guarded(validator: str, check: str, column: str | None, build: Callable[[],
     try:
         built = build()
         return built if isinstance(built, list) else [built]
-    except (PySparkException, ValueError, KeyError, TypeError) as e:
+    except (PySparkException, re.error, ValueError, KeyError, TypeError) as e:
         condition = e.getCondition() if isinstance(e, PySparkException) else None
         return [note(validator, check, column, "error", True, condition or f"{type(e).__name__}: {e}")]
 

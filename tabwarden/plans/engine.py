@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 from typing import Any
 
@@ -48,7 +48,7 @@ def size_guards(df: DataFrame) -> DataFrame:
 
 def plan_checks(df: DataFrame, cfg: QualityConfig) -> list[tuple[str, list[Check]]]:
     """Checks per validator; one failing to plan becomes a failed row of its own."""
-    when = cfg.reference_time or datetime.utcnow()
+    when = cfg.reference_time or datetime.now(timezone.utc).replace(tzinfo=None)
     builders: dict[str, Callable[[], list[Check]]] = {
         "schema": lambda: contract.contract_checks(df, cfg.contract),
         "completeness": lambda: completeness.completeness_checks(df, cfg.missing_threshold),
