@@ -39,21 +39,24 @@ def _bucketize(df: DataFrame, source: str, out: str, splits: list[float]) -> Dat
 
 
 def order_buckets(
-    df: DataFrame, order: str, key: str | None = None, target_rows: int | None = None, out: str = "bucket"
+    df: DataFrame, order: str, key: str | None = None, target_rows: int | None = None, out: str = "bucket", source: DataFrame | None = None
 ) -> DataFrame:
     """Add a long ``out`` column that rises with (order, key); rows with NULL order are dropped.
 
     ``order`` must be numeric (use microseconds for time). ``key`` breaks ties
-    and, when numeric, splits values that fill more than one bucket.
+    and, when numeric, splits values that fill more than one bucket. ``source``
+    is a cheaper frame with the same order column to take the cut points from,
+    such as the rows before a grouping.
     """
     target = target_rows or TARGET_ROWS
     base = df.where(F.col(order).isNotNull()).withColumn("__o", F.col(order).cast("double"))
-    n = base.count()
+    measured = base if source is None else source.where(F.col(order).isNotNull()).withColumn("__o", F.col(order).cast("double"))
+    n = measured.count()
     k = min(MAX_BUCKETS, math.ceil(n / target)) if n else 1
     if k <= 1:
         return base.withColumn(out, F.lit(0).cast("long")).drop("__o")
     probs = [i / k for i in range(1, k)]
-    edges = [float(e) for e in base.agg(F.percentile_approx("__o", probs, max(10_000, 10 * k))).first()[0]]
+    edges = [float(e) for e in measured.agg(F.percentile_approx("__o", probs, max(10_000, 10 * k))).first()[0]]
     splits, hot = _splits(edges)
     base = _bucketize(base, "__o", "__b", splits)
     numeric_key = key is not None and dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint", "double", "float")

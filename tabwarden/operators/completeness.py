@@ -60,9 +60,8 @@ def completeness_checks(
         missing = is_missing(df, c, sentinels=sentinels)
         out.append(
             Check(
-                VALIDATOR, "missing", c,
-                lambda share: F.when(share > DEFAULTS["missing_error_ratio"], "error").otherwise("warning"),
-                F.count_if(missing), threshold=limits.get(c, threshold), row_predicate=missing,
+                VALIDATOR, "missing", c, "warning", F.count_if(missing), threshold=limits.get(c, threshold),
+                error_above=DEFAULTS["missing_error_ratio"], row_predicate=missing,
                 message="missing values above threshold",
             )
         )

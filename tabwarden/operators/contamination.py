@@ -16,7 +16,7 @@ from tabwarden.plans.schemas import DEFAULTS
 DETECTOR = "contamination"
 # Train vectors compared in one join group before the group is salted.
 GROUP_ROWS = 50_000
-MAX_GRID_DIMS = 6
+MIN_GRID_DIMS = 3
 
 
 def check_columns(
@@ -118,15 +118,11 @@ def near_duplicate_rows(
     matched = te.join(occupied, "cell", "left_semi").select("unit", "n")
     rest = te.join(occupied, "cell", "left_anti").select("unit", "n")
 
-    spread = tr.agg(*[F.stddev_pop(F.col("unit")[i]).alias(f"s{i}") for i in range(d)]).first()
+    # Any choice of coordinates is exact; more of them make smaller cells but more neighbours.
+    raw = train.select(_unit_vector(train, columns).alias("unit"))
+    spread = raw.agg(F.count("unit").alias("n"), *[F.stddev_pop(F.col("unit")[i]).alias(f"s{i}") for i in range(d)]).first()
     by_spread = sorted(range(d), key=lambda i: -(spread[f"s{i}"] or 0.0))
-    dims = by_spread[: min(3, d)]
-    while len(dims) < min(MAX_GRID_DIMS, d):
-        largest = tr.groupBy(_cell(F.col("unit"), r, dims).alias("g")).count().agg(F.max("count")).first()[0] or 0
-        if largest <= group_rows:
-            break
-        dims = by_spread[: len(dims) + 1]
-
+    dims = by_spread[: min(d, MIN_GRID_DIMS + (spread["n"] > 10**7) + (spread["n"] > 10**10))]
     train_cells = tr.withColumn("g", _cell(F.col("unit"), r, dims))
     salts = train_cells.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(group_rows))).alias("salts"))
     train_cells = train_cells.join(salts, "g").withColumn("salt", F.pmod(F.xxhash64("unit"), F.col("salts"))).select("g", "salt", F.col("unit").alias("other"))

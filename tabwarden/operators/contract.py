@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabwarden.functions.expr import value_identity
 from tabwarden.functions.types import FAMILY_ALIASES, as_double, clean, col, families
+from tabwarden.operators.profile import column_base
 from tabwarden.plans.checks import Check, note, row_check, skip
 
 VALIDATOR = "schema"
@@ -45,36 +46,10 @@ class TableContract:
 
 
 def infer_contract(df: DataFrame) -> DataFrame:
-    """Per column: type family, has nulls, all non-null values distinct.
-
-    Distinct values are counted by fixed-width identity, one row per value and
-    partition after the map-side combine.
-    """
-    fams = families(df)
-    entries = [
-        F.struct(
-            F.lit(n).alias("column"),
-            F.lit(i).alias("position"),
-            F.lit(fams[n]).alias("dtype"),
-            clean(df, n).isNull().alias("missing"),
-            value_identity(clean(df, n), fams[n] == "string").alias("v"),
-        )
-        for i, n in enumerate(df.columns)
-    ]
-    by_value = (
-        df.select(F.inline(F.array(*entries))).groupBy("column", "position", "dtype", "missing", "v").agg(F.count("*").alias("n"))
-    )
-    present = ~F.col("missing")
-    return by_value.groupBy("column", "position", "dtype").agg(
-        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("non_null"),
-        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count_if(present).alias("distinct_values"),
-    ).select(
-        "column",
-        "position",
-        "dtype",
-        (F.col("nulls") > 0).alias("nullable"),
-        (F.col("distinct_values") == F.col("non_null")).alias("unique"),
+    """Per column: position, type family, has nulls, all non-null values distinct."""
+    places = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "column string, position int")
+    return column_base(df).join(F.broadcast(places), "column").select(
+        "column", "position", F.col("type").alias("dtype"), (F.col("missing_count") > 0).alias("nullable"), (F.col("unique_count") == F.col("count")).alias("unique")
     )
 
 
@@ -89,7 +64,10 @@ def duplicate_frame(df: DataFrame, name: str, keep_first: bool = False) -> DataF
     With ``keep_first`` only the second and later copies count. Grouping
     combines on the map side, so one very frequent value is one row per task.
     """
-    groups = df.groupBy(clean(df, name).alias("v")).agg(F.count("*").alias("n"))
+    v = clean(df, name)
+    if families(df)[name] == "string":
+        v = F.when(v.isNotNull(), value_identity(v, True))  # long text travels as 16 bytes
+    groups = df.groupBy(v.alias("v")).agg(F.count("*").alias("n"))
     bad = F.col("n") - 1 if keep_first else F.when(F.col("n") > 1, F.col("n")).otherwise(F.lit(0))
     return groups.agg(
         F.coalesce(F.sum(bad), F.lit(0)).alias("violations"),

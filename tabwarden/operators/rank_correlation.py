@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from tabwarden.functions.ordering import running_totals, value_buckets
 from tabwarden.functions.types import as_double, numeric_columns
+from tabwarden.operators.profile import correlation_pairs, pair_moments
+
+# Distinct values up to which a rank table (16 bytes a row) is broadcast.
+MAX_BROADCAST = 200_000
 
 
 def _joint_counts(df: DataFrame, columns: Sequence[str] | None, target_rows: int | None) -> tuple[DataFrame, int]:
@@ -42,15 +46,48 @@ def _joint_counts(df: DataFrame, columns: Sequence[str] | None, target_rows: int
     return joint, buckets
 
 
+def _value_ranks(df: DataFrame, column: str, out: str, target_rows: int | None) -> tuple[DataFrame, int]:
+    """(value, rank) with average ranks, and the number of distinct values."""
+    flat, buckets = value_buckets(df.select(column), [column], target_rows)
+    counts = flat.groupBy(F.lit(0).alias("one"), F.col(column).alias(column), F.col(column + "__b").alias("b")).agg(F.count("*").alias("m"))
+    ranked = running_totals(counts, ["one"], column, "b", ["m"], split=buckets > 1)
+    distinct = df.agg(F.approx_count_distinct(column)).first()[0]
+    # Average rank of a tied value: rows before it, plus half of its own and a half.
+    return ranked.select(column, (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(out)), distinct
+
+
+def _spearman_complete(flat: DataFrame, names: Sequence[str], target_rows: int | None) -> DataFrame:
+    """Pairs of columns without missing values: each column is ranked once.
+
+    A rank table is broadcast only when the column has few distinct values;
+    otherwise it is joined by value, where a frequent value is one row.
+    """
+    out = flat
+    for i in range(len(names)):
+        ranks, distinct = _value_ranks(flat, f"c{i}", f"r{i}", target_rows)
+        out = out.join(F.broadcast(ranks) if distinct <= MAX_BROADCAST else ranks, f"c{i}")
+    values = {n: F.col(f"r{i}") for i, n in enumerate(names)}
+    return pair_moments(out, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]], values).drop("n").fillna(0.0, ["value"])
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None, target_rows: int | None = None) -> DataFrame:
     """Pearson of average ranks, per pair over its complete rows."""
+    names = list(columns or numeric_columns(df))
+    flat = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    missing = flat.agg(*[F.count_if(F.col(f"c{i}").isNull()).alias(f"n{i}") for i in range(len(names))]).first()
+    if not any(missing):
+        return _spearman_complete(flat, names, target_rows)
+    return _spearman_with_missing(df, names, target_rows)
+
+
+def _spearman_with_missing(df: DataFrame, columns: Sequence[str], target_rows: int | None) -> DataFrame:
+    """Each pair is ranked over its own complete rows, from its joint value counts."""
     joint, buckets = _joint_counts(df, columns, target_rows)
     pair = ["feature_a", "feature_b"]
     ranked = joint
     for v, b, r in (("x", "xb", "rx"), ("y", "yb", "ry")):
         marginal = joint.groupBy(*pair, v, b).agg(F.sum("n").alias("m"))
         totals = running_totals(marginal, pair, v, b, ["m"], split=buckets > 1)
-        # Average rank of a tied value: rows before it, plus half of its own and a half.
         ranks = totals.select(*pair, v, (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(r))
         ranked = ranked.join(ranks, [*pair, v])
     middle = joint.groupBy(*pair).agg(((F.sum("n") + 1) / 2.0).alias("mid"))
@@ -130,8 +167,6 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str] | None = None, target_ro
 
 def correlation_matrix(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
     """(feature_a, feature_b, value) for each pair of numeric columns."""
-    from tabwarden.operators.profile import correlation_pairs
-
     if method == "pearson":
         return correlation_pairs(df, columns)
     if method == "spearman":

@@ -17,7 +17,7 @@ from tabwarden.functions.labels import numeric_target
 from tabwarden.functions.longform import long_values
 from tabwarden.functions.ordering import order_buckets
 from tabwarden.functions.selection import class_counts, order_statistics
-from tabwarden.functions.types import as_double, as_timestamp, clean, col, micros, numeric_columns
+from tabwarden.functions.types import as_double, as_timestamp, col, micros, numeric_columns
 from tabwarden.operators.profile import column_base, pair_moments
 from tabwarden.plans.schemas import DEFAULTS, RISK_RANK
 from tabwarden.sources.sampling import key_hash

@@ -50,12 +50,12 @@ def time_order(df: DataFrame, time_column: str, sequence: str, target_rows: int
     Rows sharing a sequence value are one step with a range of times. Steps are
     compared inside sequence buckets; borders are compared on one row per bucket.
     """
+    rows = df.select(col(sequence).alias("seq"), micros(as_timestamp(df, time_column)).alias("t")).where("seq is not null and t is not null")
     steps = (
-        df.select(col(sequence).alias("seq"), micros(as_timestamp(df, time_column)).alias("t"))
-        .where("seq is not null and t is not null").groupBy("seq").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+        rows.groupBy("seq").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
     )
     w = Window.partitionBy("bucket").orderBy("seq")
-    local = order_buckets(steps, "seq", target_rows=target_rows).withColumn("p_lo", F.lag("lo").over(w)).withColumn("p_hi", F.lag("hi").over(w))
+    local = order_buckets(steps, "seq", target_rows=target_rows, source=rows).withColumn("p_lo", F.lag("lo").over(w)).withColumn("p_hi", F.lag("hi").over(w))
     down, up = F.col("lo") < F.col("p_hi"), F.col("hi") > F.col("p_lo")
     per = local.groupBy("bucket").agg(
         F.count_if(down).alias("down"), F.count_if(up).alias("up"), F.sum("n").alias("n"),

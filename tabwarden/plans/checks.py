@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -28,17 +28,19 @@ class Check:
     """One measured expectation.
 
     ``violations`` is an aggregate (usually ``count_if``) and ``total`` the
-    aggregate it is measured against. The check is raised when the ratio is
-    strictly above ``threshold``; ``severity`` may depend on that ratio.
+    aggregate it is measured against (default: all rows). The check is raised
+    when the ratio is strictly above ``threshold``; above ``error_above`` its
+    severity becomes error.
     """
 
     validator: str
     check: str
     column: str | None
-    severity: str | Callable[[Column], Column]
+    severity: str
     violations: Column | None = None
     total: Column | None = None
     threshold: float = 0.0
+    error_above: float | None = None
     message: str = ""
     frame: DataFrame | None = None  # one row: violations, total
     row_predicate: Column | None = None  # for listing violating rows
@@ -73,52 +75,49 @@ def guarded(validator: str, check: str, column: str | None, build: Callable[[],
         return [note(validator, check, column, "error", True, condition or f"{type(e).__name__}: {e}")]
 
 
-def _result(check: Check, violations: Column, total: Column) -> Column:
-    share = F.coalesce(F.try_divide(violations.cast("double"), total.cast("double")), F.lit(0.0))
-    raised = share > F.lit(float(check.threshold))
-    severity = F.lit(check.severity) if isinstance(check.severity, str) else check.severity(share)
-    status = (
-        F.when(F.lit(check.skipped), "skipped")
-        .when(~raised | (severity == "info"), "passed")
-        .when(severity == "warning", "warning")
-        .otherwise("failed")
-    )
-    return F.struct(
-        F.lit(check.validator).alias("validator"),
-        F.lit(check.check).alias("check"),
-        F.lit(check.column).cast("string").alias("column"),
-        severity.cast("string").alias("severity"),
-        status.alias("status"),
-        F.when(raised, violations).otherwise(F.lit(0)).cast("long").alias("violations"),
-        total.cast("long").alias("total"),
-        share.alias("ratio"),
-        F.lit(float(check.threshold)).alias("threshold"),
-        F.lit(check.message).alias("message"),
-    )
+# What is known of a check before any data is read; joined to its counts.
+_FACTS = "i int, validator string, check string, column string, severity string, threshold double, error_above double, message string, skipped boolean"
 
 
-def _fused(df: DataFrame, checks: list[Check]) -> DataFrame:
+def _fused(df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame:
+    """(i, violations, total) of checks that are plain aggregates: one scan."""
     aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(checks):
-        aggs.append(c.violations.alias(f"v{i}"))
+    for i, c in checks:
+        aggs.append(c.violations.cast("long").alias(f"v{i}"))
         if c.total is not None:
-            aggs.append(c.total.alias(f"t{i}"))
-    structs = [
-        _result(c, F.col(f"v{i}"), F.col(f"t{i}") if c.total is not None else F.col("n"))
-        for i, c in enumerate(checks)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+            aggs.append(c.total.cast("long").alias(f"t{i}"))
+    counts = [F.struct(F.col(f"v{i}").alias("violations"), F.col(f"t{i}" if c.total is not None else "n").alias("total")) for i, c in checks]
+    numbers = F.array(*[F.lit(i) for i, _ in checks])
+    pairs = F.arrays_zip(numbers.alias("i"), F.array(*counts).alias("m"))
+    return df.agg(*aggs).select(F.explode(pairs).alias("x")).select("x.i", "x.m.violations", "x.m.total")
 
 
 def run(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
     """CHECK_RESULTS of all checks: one scan for the fused ones, one shuffle for each frame."""
-    checks = list(checks)
-    plain = [c for c in checks if c.frame is None]
-    parts = [_fused(df, plain[i : i + MAX_AGGREGATES]) for i in range(0, len(plain), MAX_AGGREGATES)]
-    parts += [c.frame.select(F.inline(F.array(_result(c, F.col("violations"), F.col("total"))))) for c in checks if c.frame is not None]
-    if not parts:
+    numbered = list(enumerate(checks))
+    if not numbered:
         return df.sparkSession.createDataFrame([], CHECK_RESULTS)
-    return reduce(DataFrame.unionByName, parts)
+    plain = [(i, c) for i, c in numbered if c.frame is None]
+    parts = [_fused(df, plain[at : at + MAX_AGGREGATES]) for at in range(0, len(plain), MAX_AGGREGATES)]
+    for i, c in numbered:
+        if c.frame is not None:
+            parts.append(c.frame.select(F.lit(i).alias("i"), F.col("violations").cast("long").alias("violations"), F.col("total").cast("long").alias("total")))
+    facts = [(i, c.validator, c.check, c.column, c.severity, float(c.threshold), c.error_above, c.message, c.skipped) for i, c in numbered]
+    known = df.sparkSession.createDataFrame(facts, _FACTS)
+    share = F.coalesce(F.try_divide(F.col("violations").cast("double"), F.col("total").cast("double")), F.lit(0.0))
+    measured = reduce(DataFrame.unionByName, parts).join(F.broadcast(known), "i").withColumn("ratio", share)
+    raised = F.col("ratio") > F.col("threshold")
+    severity = F.when(F.col("ratio") > F.col("error_above"), "error").otherwise(F.col("severity"))
+    status = (
+        F.when(F.col("skipped"), "skipped")
+        .when(~raised | (severity == "info"), "passed")
+        .when(severity == "warning", "warning")
+        .otherwise("failed")
+    )
+    return measured.select(
+        "validator", "check", "column", severity.alias("severity"), status.alias("status"),
+        F.when(raised, F.col("violations")).otherwise(F.lit(0)).cast("long").alias("violations"), "total", "ratio", "threshold", "message",
+    )
 
 
 def issues(results: DataFrame) -> DataFrame:
@@ -159,7 +158,3 @@ def violating_rows(df: DataFrame, checks: Iterable[Check], key_cols: list[str],
         .where(F.col("rn") <= limit)
         .drop("rn")
     )
-
-
-def renamed(check: Check, **kw) -> Check:
-    return replace(check, **kw)
