@@ -181,9 +181,9 @@ def exact_quantiles(
 ) -> dict[str, list[float] | None]:
     """Exact linear-interpolated quantiles per column; None for an all-null column.
 
-    Columns with few distinct values go through the built-in ``percentile``,
-    whose buffer holds one entry per distinct value and is therefore small; the
-    others are selected by class counts. All columns share each scan.
+    Columns with few distinct values are counted by value and go through the
+    built-in ``percentile``, whose buffer then holds few entries; the others are
+    selected by class counts. All columns share each scan.
     """
     limit = max_distinct or MAX_DISTINCT
     if not cols:
@@ -195,7 +195,8 @@ def exact_quantiles(
     out: dict[str, list[float] | None] = {n: None for n in c.names}
     small = [g for g, r in info.items() if r["d"] <= limit]
     if small:
-        got = c.rows({g: [] for g in small}).groupBy("g").agg(F.percentile("v", [float(p) for p in probs]).alias("q"))
+        counted = c.rows({g: [] for g in small}).groupBy("g", "v").agg(F.count("*").alias("n"))
+        got = counted.groupBy("g").agg(F.percentile("v", [float(p) for p in probs], F.col("n")).alias("q"))
         for r in got.collect():
             out[c.names[r["g"]]] = [float(v) for v in r["q"]]
     large = {g: r["n"] for g, r in info.items() if g not in small}

@@ -20,9 +20,6 @@ SENTINELS = (
     "-", "--", ".", "?", "#N/A", "#NA", "#VALUE!", "#REF!", "(blank)", "(empty)",
 )
 
-# Column pairs aggregated directly; above this the bitmask form is used.
-MAX_DIRECT_PAIRS = 120
-
 
 def is_missing(df: DataFrame, name: str, blank: bool = True, sentinels: Sequence[Any] | str | None = None) -> Column:
     """NULL or NaN; for text also blank; optionally a listed sentinel."""
@@ -166,30 +163,18 @@ def co_missing_pairs(
     flags = [clean(df, c).isNull().alias(f"f{i}") for i, c in enumerate(known)]
     masks = df.select(*flags).groupBy(*[f"f{i}" for i in range(len(known))]).agg(F.count("*").alias("n"))
     pairs = [(i, j) for i in range(len(known)) for j in range(i + 1, len(known))]
-    parts = []
-    for at in range(0, len(pairs), MAX_DIRECT_PAIRS):
-        aggs, rows = [F.sum("n").alias("n")], []
-        for k, (i, j) in enumerate(pairs[at : at + MAX_DIRECT_PAIRS]):
-            a, b = F.col(f"f{i}"), F.col(f"f{j}")
-            aggs += [
-                F.sum(F.when(a & b, F.col("n")).otherwise(0)).alias(f"b{k}"),
-                F.sum(F.when(a | b, F.col("n")).otherwise(0)).alias(f"e{k}"),
-                F.sum(F.when(a, F.col("n")).otherwise(0)).alias(f"x{k}"),
-                F.sum(F.when(b, F.col("n")).otherwise(0)).alias(f"y{k}"),
-            ]
-            rows.append(
-                F.struct(
-                    F.lit(known[i]).alias("column_a"), F.lit(known[j]).alias("column_b"),
-                    F.col(f"b{k}").alias("both_missing"), F.col(f"e{k}").alias("either_missing"),
-                    ((F.col(f"x{k}") > 0) & (F.col(f"y{k}") > 0) & (F.col("n") >= min_rows)).alias("eligible"),
-                )
-            )
-        parts.append(masks.agg(*aggs).select(F.inline(F.array(*rows))))
-    if not parts:
+    if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, both_missing long, either_missing long, jaccard double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    entries = F.array(*[F.struct(F.col(f"f{i}").alias("a"), F.col(f"f{j}").alias("b")) for i, j in pairs])
+    rows = masks.select("n", F.posexplode(entries).alias("g", "e")).select("n", "g", "e.a", "e.b")
+    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    a, b = F.col("a"), F.col("b")
+    per = rows.groupBy("g").agg(
+        count(a & b).alias("both_missing"), count(a | b).alias("either_missing"),
+        ((count(a) > 0) & (count(b) > 0) & (F.sum("n") >= min_rows)).alias("eligible"),
+    )
+    table = df.sparkSession.createDataFrame([(g, known[i], known[j]) for g, (i, j) in enumerate(pairs)], "g int, column_a string, column_b string")
+    out = per.join(F.broadcast(table), "g")
     jaccard = F.try_divide(F.col("both_missing").cast("double"), F.col("either_missing").cast("double"))
     return out.where("eligible").select("column_a", "column_b", "both_missing", "either_missing", F.round(jaccard, 4).alias("jaccard"), jaccard.alias("j")).where(
         F.col("j") > threshold
