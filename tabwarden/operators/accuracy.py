@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.functions.longform import long_values
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import as_double, clean, numeric_columns
 from tabwarden.operators.contract import pattern_checks
@@ -79,17 +80,14 @@ def outlier_masks(
         return out
     if method == "zscore":
         t = threshold if threshold is not None else DEFAULTS["zscore_threshold"]
-        row = df.agg(
-            *[F.count(v[n]).alias(f"n{i}") for i, n in enumerate(names)],
-            *[F.avg(v[n]).alias(f"m{i}") for i, n in enumerate(names)],
-            *[F.stddev_pop(v[n]).alias(f"s{i}") for i, n in enumerate(names)],
-        ).first()
-        for i, n in enumerate(names):
-            if row[f"n{i}"] >= MIN_VALUES and row[f"s{i}"]:
-                out[n] = F.abs((v[n] - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"])) > F.lit(float(t))
+        rows = long_values(df, [v[n] for n in names]).groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+        for r in rows.collect():  # one row per column
+            if r["n"] >= MIN_VALUES and r["s"]:
+                n = names[r["g"]]
+                out[n] = F.abs((v[n] - F.lit(r["m"])) / F.lit(r["s"])) > F.lit(float(t))
         return out
-    counts = df.agg(*[F.count(v[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    names = [n for i, n in enumerate(names) if counts[f"n{i}"] >= MIN_VALUES]
+    counts = {r["g"]: r["n"] for r in long_values(df, [v[n] for n in names]).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    names = [n for i, n in enumerate(names) if counts.get(i, 0) >= MIN_VALUES]
     if method == "iqr":
         t = threshold if threshold is not None else DEFAULTS["iqr_multiplier"]
         for n, q in exact_quantiles(df, {n: v[n] for n in names}, [0.25, 0.75]).items():

@@ -142,6 +142,7 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None =
     up, down = ratio(F.col("n0"), F.col("N0_")), ratio(F.col("n1"), F.col("N1_"))
     t = t.withColumn("edge", F.abs(left + up - down)).withColumn("reach", F.greatest(F.abs(left + up), F.abs(left - down)))
     t = t.withColumn("best", F.max("edge").over(everything))
+    t = ref.sparkSession.createDataFrame(t.collect(), t.schema)  # one row per feature and bucket, used three times
     open_ = t.where(F.col("reach") > F.col("best")).select("feature", "b", "p0", "p1", "N0_", "N1_")
     inner = Window.partitionBy("feature", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     fine = (
