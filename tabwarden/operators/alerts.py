@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 # Score limits of the severities.
 CRITICAL, ERROR, WARNING = 0.8, 0.6, 0.4
@@ -138,8 +137,3 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
 def retained(alerts: DataFrame, n: int) -> DataFrame:
     """The n newest alerts."""
     return alerts.orderBy(F.desc("created_at"), F.desc("alert_id")).limit(n)
-
-
-def numbered(alerts: DataFrame) -> DataFrame:
-    """Position of each alert within its type, newest first."""
-    return alerts.withColumn("position", F.row_number().over(Window.partitionBy("alert_type").orderBy(F.desc("created_at"), "alert_id")))

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwarden.functions.expr import ratio
-
 RECENT, TREND, TIMELINE_DAYS = 5, 7, 30
 
 
@@ -56,7 +54,3 @@ def quality_trend(scans: DataFrame, n: int = TREND) -> DataFrame:
     last = scans.where("scan_type = 'quality'").orderBy(F.desc("timestamp"), F.desc("scan_id")).limit(n)
     position = F.row_number().over(Window.orderBy("timestamp", "scan_id"))  # n rows
     return last.select(F.concat(F.lit("#"), position.cast("string")).alias("name"), F.coalesce("quality_score", F.lit(0.0)).alias("value"))
-
-
-def pass_rate(scans: DataFrame) -> DataFrame:
-    return scans.groupBy("dataset_name").agg(ratio(F.count_if(F.col("status") == "passed"), F.count("*")).alias("pass_rate"))

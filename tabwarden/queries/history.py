@@ -292,3 +292,15 @@ def _(t):
 def _(t):
     df = t.labelled.select("doc_id", "quality", "toxic")
     return narrative.fallback(profile.findings(df), "offline")
+
+
+@query(
+    "s15_problem_examples",
+    """SELECT event_type AS dataset, CASE WHEN abs(skewness(value)) > 2.0 THEN 'feature_skew' ELSE 'healthy' END AS problem,
+       'Dataset ' || event_type || ' (' || count(*) || ' rows, health 100.0/100): ' || CASE WHEN abs(skewness(value)) > 2.0 THEN 'column ''value'' is strongly skewed.' ELSE 'all columns look fine, ''value'' included.' END AS narrative,
+       [CASE WHEN abs(skewness(value)) > 2.0 THEN 'A few large values dominate averages and linear models' ELSE 'No critical risks' END] AS top_risks FROM events GROUP BY 1""",
+)
+def _(t):
+    """Texts written from the event profiles, read back by the response parser."""
+    made = narrative.problem_examples(profile_rows(t), dataset_rows(t))
+    return narrative.parse_responses(made, "output").select("dataset", "problem", "narrative", "top_risks")

@@ -46,6 +46,11 @@ def retained_alerts(spark: SparkSession, path: str, n: int = history.MAX_ALERTS)
     return alerts.retained(spark.read.parquet(path).drop("day"), n)
 
 
+def retained_regressions(spark: SparkSession, path: str, n: int = history.MAX_SCAN_ALERTS) -> DataFrame:
+    """The n newest regression alerts of a history table."""
+    return alerts.retained(spark.read.parquet(path).drop("day"), n)
+
+
 def compact(spark: SparkSession, path: str, into: str, n: int, time_column: str, tie: str) -> None:
     """Rewrite the n newest rows of a history table to a new path."""
     kept = spark.read.parquet(path).drop("day").orderBy(F.desc(time_column), F.desc(tie)).limit(n)

@@ -178,3 +178,14 @@ def test_response_without_sections_and_empty(spark):
     empty, plain, part = narrative.parse_responses(df).collect()
     assert empty["narrative"] == narrative.NO_NARRATIVE and plain["narrative"] == "just text..."
     assert part["top_risks"] == ["a", "b"] and part["executive_summary"] == "fine" and part["recommendations"] == []
+
+
+def test_problem_examples(spark):
+    profiles = spark.createDataFrame(
+        [("a", 0, "x", "float", 0.5, 3, 1.0, 1.0, 0.1, 0.2), ("b", 0, "x", "float", 0.0, 3, 1.0, 1.0, 0.1, 0.99), ("b", 1, "y", "float", 0.6, 3, 1.0, 1.0, 9.0, 0.0), ("c", 0, "x", "string", 0.0, 3, None, None, None, None), ("d", 0, "x", "string", 0.0, 3, None, None, None, None)],
+        "dataset string, position int, column string, type string, missing_pct double, unique_count long, mean double, std double, skewness double, target_correlation double",
+    )
+    datasets = spark.createDataFrame([(d, 10, 2, 0.1, 0, 0.2 if d == "d" else 0.0, 90.0, ["r"]) for d in "abcd"], "dataset string, rows int, columns int, memory_mb double, duplicate_rows int, duplicate_pct double, health_score double, risks array<string>")
+    got = {r["dataset"]: r for r in narrative.problem_examples(profiles, datasets).collect()}
+    assert {d: r["problem"] for d, r in got.items()} == {"a": "high_missingness", "b": "multi_issue", "c": "healthy", "d": "duplicate_contamination"}
+    assert "'x'" in got["b"]["output"] and got["a"]["input"].startswith("Dataset Name: a\n") and "50.0% missing" in got["a"]["input"]
