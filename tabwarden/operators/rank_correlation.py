@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.functions.longform import long_values
 from tabwarden.functions.ordering import running_totals, value_buckets
 from tabwarden.functions.types import as_double, numeric_columns
 from tabwarden.operators.profile import correlation_pairs, pair_moments
@@ -46,26 +47,20 @@ def _joint_counts(df: DataFrame, columns: Sequence[str] | None, target_rows: int
     return joint, buckets
 
 
-def _value_ranks(df: DataFrame, column: str, out: str, target_rows: int | None) -> tuple[DataFrame, int]:
-    """(value, rank) with average ranks, and the number of distinct values."""
-    flat, buckets = value_buckets(df.select(column), [column], target_rows)
-    counts = flat.groupBy(F.lit(0).alias("one"), F.col(column).alias(column), F.col(column + "__b").alias("b")).agg(F.count("*").alias("m"))
-    ranked = running_totals(counts, ["one"], column, "b", ["m"], split=buckets > 1)
-    distinct = df.agg(F.approx_count_distinct(column)).first()[0]
-    # Average rank of a tied value: rows before it, plus half of its own and a half.
-    return ranked.select(column, (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(out)), distinct
-
-
-def _spearman_complete(flat: DataFrame, names: Sequence[str], target_rows: int | None) -> DataFrame:
+def _spearman_complete(flat: DataFrame, names: Sequence[str], distinct: Sequence[int], target_rows: int | None) -> DataFrame:
     """Pairs of columns without missing values: each column is ranked once.
 
     A rank table is broadcast only when the column has few distinct values;
     otherwise it is joined by value, where a frequent value is one row.
     """
+    cut, buckets = value_buckets(flat, [f"c{i}" for i in range(len(names))], target_rows)
     out = flat
     for i in range(len(names)):
-        ranks, distinct = _value_ranks(flat, f"c{i}", f"r{i}", target_rows)
-        out = out.join(F.broadcast(ranks) if distinct <= MAX_BROADCAST else ranks, f"c{i}")
+        counts = cut.groupBy(F.lit(0).alias("one"), f"c{i}", F.col(f"c{i}__b").alias("b")).agg(F.count("*").alias("m"))
+        totals = running_totals(counts, ["one"], f"c{i}", "b", ["m"], split=buckets > 1)
+        # Average rank of a tied value: rows before it, plus half of its own and a half.
+        ranks = totals.select(f"c{i}", (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(f"r{i}"))
+        out = out.join(F.broadcast(ranks) if distinct[i] <= MAX_BROADCAST else ranks, f"c{i}")
     values = {n: F.col(f"r{i}") for i, n in enumerate(names)}
     return pair_moments(out, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]], values).drop("n").fillna(0.0, ["value"])
 
@@ -74,10 +69,13 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None, target_r
     """Pearson of average ranks, per pair over its complete rows."""
     names = list(columns or numeric_columns(df))
     flat = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)])
-    missing = flat.agg(*[F.count_if(F.col(f"c{i}").isNull()).alias(f"n{i}") for i in range(len(names))]).first()
-    if not any(missing):
-        return _spearman_complete(flat, names, target_rows)
-    return _spearman_with_missing(df, names, target_rows)
+    sizes = long_values(flat, [F.col(c) for c in flat.columns], nulls=True).groupBy("g").agg(
+        F.count_if(F.col("v").isNull()).alias("missing"), F.approx_count_distinct("v").alias("distinct")
+    )
+    by = {r["g"]: r for r in sizes.collect()}  # one row per column
+    if any(r["missing"] for r in by.values()) or not by:
+        return _spearman_with_missing(df, names, target_rows)
+    return _spearman_complete(flat, names, [by[i]["distinct"] for i in range(len(names))], target_rows)
 
 
 def _spearman_with_missing(df: DataFrame, columns: Sequence[str], target_rows: int | None) -> DataFrame:

@@ -107,6 +107,15 @@ def test_rank_correlation(skewed, method, target_rows):
         assert math.isclose(value, want, abs_tol=1e-9), (a, b)
 
 
+@pytest.mark.parametrize("target_rows", [None, 300])
+def test_spearman_of_complete_columns(skewed, target_rows):
+    df, pdf = skewed
+    got = rank_correlation.spearman_pairs(df, ["x", "z", "id"], target_rows).collect()
+    for r in got:
+        assert math.isclose(r["value"], pdf[[r["feature_a"], r["feature_b"]]].rank().corr().iloc[0, 1], abs_tol=1e-9)
+    assert len(got) == 3
+
+
 def test_time_order_across_buckets(spark):
     df = spark.range(2000).select(F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"))
     assert temporal.time_order(df, "ts", "seq", target_rows=100).first()["is_time_sorted"]
