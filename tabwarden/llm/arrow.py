@@ -66,3 +66,10 @@ def constants(seed: int, n: int) -> np.ndarray:
     """n odd 64-bit numbers from a seed."""
     with np.errstate(over="ignore"):
         return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+def gathered(flat: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries ``picks`` of a ragged array (flat, offsets), one after another, and n + 1 offsets."""
+    lens = (offsets[1:] - offsets[:-1])[picks]
+    off = np.concatenate(([0], np.cumsum(lens)))
+    return flat[np.repeat(offsets[:-1][picks] - off[:-1], lens) + np.arange(off[-1])], off

@@ -1,16 +1,20 @@
-"""Registered queries of the operators in this folder."""
+"""Registered queries of the operators in this folder, each over its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabwarden.llm import near_text
+from tabwarden.llm import identifiers, language, near_text, packing, pieces, quality, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
 
 def _query(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
@@ -26,6 +30,76 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fold(parts: int, held: int) -> Column:
+    """Whether a document is held out: crc32 of its id as text, modulo ``parts``. A null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
+
+
+@_query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = language.learn_profiles(docs.where(~fold(4, 2)))
+    return language.identify(docs, profiles).select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~fold(5, 0)))
+    return toxicity.score(docs, model).select("doc_id", fold(5, 0).alias("held_out"), "score", "predicted")
+
+
+@_query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels").where(~fold(3, 1)))
+    return quality.score(docs, model).select("doc_id", fold(3, 1).alias("held_out"), "score", "predicted")
+
+
+@_query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query(
+    "op5_topk_search",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+       s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+       SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+         (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return vectors.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+@_query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identifiers.find(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_url_filter")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @_query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_embedding_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op10_sentencepiece")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text with merge-dropout, and whether they decode to the text again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    coded = pieces.encode(docs, model, keep=("text_crc32",)).withColumn("n_ids", F.size("ids").cast("bigint")).withColumn("ids_crc32", F.crc32(F.array_join("ids", " ")))
+    back = pieces.decode(coded, model, keep=("text_crc32", "n_ids", "ids_crc32"))
+    return back.select("doc_id", "n_ids", "ids_crc32", (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))
