@@ -1,10 +1,31 @@
-"""Corpus pipeline: documents in, packed token sequences out."""
+"""Corpus pipeline: documents in, packed token sequences out.
+
+Each stage takes all rows its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabwarden.llm import identifiers, language, near_text, packing, quality
+from tabwarden.sources.storage import scratch_path
+
+#: A text whose two nearest languages are this close has none.
+LEAST_MARGIN = 0.02
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognizable language go: no letter (or null), or two profiles as near as each other."""
+    marked = language.identify(docs, language.learn_profiles(docs), keep=docs.columns)
+    return marked.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_MARGIN)).select(docs.columns)
 
-from tabwarden.llm import near_text
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the rules score under 0.5 go."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.score(docs, quality.train(docs, labels), keep=docs.columns).where("predicted = 1").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +33,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_text.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifiers are written as the name of their kind; n_chars follows."""
+    return identifiers.redact(docs, "text", "n_chars")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("quality", quality_filter), ("near_dedup", near_dedup), ("pii", pii), ("packing", packed)]
+#: The classifiers and the packing have no SQL; tests/llm holds the result against its parts and a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

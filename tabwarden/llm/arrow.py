@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def flat_bytes(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,3 +75,21 @@ def gathered(flat: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[
     lens = (offsets[1:] - offsets[:-1])[picks]
     off = np.concatenate(([0], np.cumsum(lens)))
     return flat[np.repeat(offsets[:-1][picks] - off[:-1], lens) + np.arange(off[-1])], off
+
+
+def with_text_columns(df: DataFrame, text_col: str, keep: Sequence[str], added: str, per_slice: Callable[[], Callable[[pa.StringArray], list[pa.Array]]], max_bytes: int) -> DataFrame:
+    """The columns ``keep`` of ``df`` and those of the schema ``added``, computed from the text.
+
+    ``per_slice`` is called once in each task and returns the function from a slice of texts to its columns.
+    """
+    src = df.select(F.lit(0).alias("_none"), F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, names = per_slice(), [*keep, *(c.split()[0] for c in added.split(", "))]
+        for batch in batches:
+            at = 0
+            for _, text in slices([batch], max_bytes):
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(text)).columns[2:], *fn(text)], names=names)
+                at += len(text)
+
+    return src.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), added]))

@@ -8,14 +8,14 @@ or the profile's length if the profile lacks it. The language with the least sum
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.arrow import flat_chars, slices
+from tabwarden.llm.arrow import flat_chars, slices, with_text_columns
 
 PROFILE = 300
 #: Training reads about this many documents of each language, chosen by a hash of their id.
@@ -101,17 +101,17 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return {name: [g for _, g in sorted(rows)[:size]] for name, rows in sorted(found.items())}
 
 
-def _identify_map(profiles: dict[str, list[int]], size: int):
+def _identifier(profiles: dict[str, list[int]], size: int):
     names = sorted(profiles)
-    schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         known = np.unique(np.concatenate([np.array(profiles[n], np.uint64) for n in names])) if names else np.zeros(0, np.uint64)
         ranks = np.full((len(names), len(known) + 1), -1, np.int32)
         for i, n in enumerate(names):
             ranks[i, np.searchsorted(known, np.array(profiles[n], np.uint64))] = np.arange(len(profiles[n]))
-        for ids, text in slices(batches, SLICE_BYTES):
-            langs, scores = [], np.zeros(len(ids))
+
+        def judge(text: pa.StringArray) -> list[pa.Array]:
+            langs, scores = [], np.zeros(len(text))
             for i, codes in enumerate(grams(text)):
                 if not len(codes) or not names:
                     langs.append(UNKNOWN)
@@ -125,17 +125,18 @@ def _identify_map(profiles: dict[str, list[int]], size: int):
                 langs.append(names[best])
                 rest = min(np.delete(apart, best), default=1.0)
                 scores[i] = (rest - apart[best]) / rest if rest > 0 else 0.0
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores)], schema=schema)
+            return [pa.array(langs, pa.string()), pa.array(scores)]
+
+        return judge
 
-    return run
+    return start
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE) -> DataFrame:
-    """One row per document: ``id_col``, lang_pred, score.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", keep: Sequence[str] = ("doc_id",), size: int = PROFILE) -> DataFrame:
+    """One row per document: the columns ``keep``, lang_pred, score.
 
     ``score`` is how much farther the second nearest profile is, relative to its distance: 0 (a tie, won by
     the name that sorts first) to 1. A text that is null or holds no letter is ``und`` with score 0; so is
     every text if there is no profile. Repeated rows keep a row each; other columns are ignored.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_identify_map(profiles, size), "id bigint, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return with_text_columns(docs.drop("lang_pred", "score"), text_col, keep, "lang_pred string, score double", _identifier(profiles, size), SLICE_BYTES)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,15 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.arrow import flat_bytes, slices
+from tabwarden.llm.arrow import flat_bytes, with_text_columns
 from tabwarden.llm.near_text import word_hashes
 from tabwarden.llm.toxicity import bounded_sample
 from tabwarden.sources.storage import checkpointed
 
-STATISTICS = (
+STATISTICS = tuple("stat_" + s for s in (
     "chars", "words", "word_length", "longest_word", "upper", "digits", "spaces", "sentence_marks", "shouts", "symbols", "bars", "beyond_ascii",
     "lines", "line_length", "distinct_words", "top_word", "repeated_neighbours",
-)
+))
 PER_CLASS = 4_000
 SLICE_BYTES = 1 << 20
 #: Byte classes: letters, capitals, digits, blanks, line ends, marks of a sentence, shouts, symbols, bars, heads of longer characters, their rest.
@@ -91,16 +91,10 @@ def statistics_of(text: pa.StringArray) -> np.ndarray:
     )
 
 
-def _statistics_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, text in slices(batches, SLICE_BYTES):
-        values = statistics_of(text)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(values.shape[1]))], names=["id", *STATISTICS])
-
-
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and STATISTICS; a null text counts as empty."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_statistics_map, "id bigint, " + ", ".join(f"{s} double" for s in STATISTICS))
+def with_statistics(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns ``keep`` and STATISTICS; a null text counts as empty."""
+    judge = lambda text: [pa.array(np.ascontiguousarray(c)) for c in statistics_of(text).T]
+    return with_text_columns(docs, text_col, keep, ", ".join(f"{s} double" for s in STATISTICS), lambda: judge, SLICE_BYTES)
 
 
 def tree_paths(debug: str, names: tuple[str, ...]) -> list[tuple[tuple[str, bool, float], ...]]:
@@ -127,8 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``per_class`` labelled rows of each class. With one class only, or none, the rules say its share."""
     picked = F.broadcast(bounded_sample(labels, id_col, label_col, per_class))
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text")).join(picked, id_col)
-    tagged = rows.select((F.col(id_col) * 2 + F.col("label")).alias("tag"), "text")
-    data = checkpointed(with_statistics(tagged, "tag").withColumn("label", F.pmod("id", F.lit(2)).cast("double")))
+    data = checkpointed(with_statistics(rows, "text", ["label"]).withColumn("label", F.col("label").cast("double")))
     sizes = {r["label"]: r["c"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("c")).collect()}
     pos, neg = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if not pos or not neg:
@@ -153,11 +146,11 @@ def compiled(model: Rules) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def score(docs: DataFrame, model: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col``, score (0 to 1), predicted (1 from 0.5 on).
+def score(docs: DataFrame, model: Rules, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns ``keep``, score (0 to 1), predicted (1 from 0.5 on).
 
     Null and empty texts are scored like any other: their statistics are 0, with one line. Repeated rows
     keep a row each; other columns are ignored.
     """
-    out = with_statistics(docs, id_col, text_col).select(F.col("id").alias(id_col), compiled(model).alias("score"))
+    out = with_statistics(docs, text_col, keep).select(*keep, compiled(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -8,7 +8,7 @@ is fitted on these values, so a bucket's final weight is coefficient times r.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.arrow import flat_chars, lists, slices
+from tabwarden.llm.arrow import flat_chars, lists, slices, with_text_columns
 from tabwarden.llm.language import _letters
 from tabwarden.sources.storage import checkpointed
 
@@ -130,25 +130,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(buckets, [float(w) * x for w, x in zip(fit.coefficients.toArray(), r)], float(fit.intercept))
 
 
-def _score_map(model: Model):
-    schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(model: Model):
+    def start():
         table, weights = _table(model.buckets), np.array([*model.weights, 0.0])
-        for ids, text in slices(batches, SLICE_BYTES):
+
+        def judge(text: pa.StringArray) -> list[pa.Array]:
             row, f = present(text, table)
-            z = np.bincount(row, weights[f], minlength=len(ids)) + model.bias
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], schema=schema)
+            z = np.bincount(row, weights[f], minlength=len(text)) + model.bias
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            return [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
-    return run
+        return judge
+
+    return start
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col``, score (0 to 1), predicted (1 from 0.5 on).
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns ``keep``, score (0 to 1), predicted (1 from 0.5 on).
 
     Null and empty texts have no feature and get the score of the bias. Repeated rows keep a row each; other
     columns are ignored.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(_score_map(model), "id bigint, score double")
-    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return with_text_columns(docs, text_col, keep, "score double, predicted int", _scorer(model), SLICE_BYTES)
