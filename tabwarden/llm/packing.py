@@ -24,7 +24,7 @@ PACK_TOKENS = 6_000_000
 #: Room below this is left as padding; larger room is filled with a cut of another rest.
 LEAST_CUT = 64
 SLICE_BYTES = 1 << 23
-_SIMPLE = r"^(?P<word>[a-zß-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
+_SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 class WordTokens:
@@ -59,12 +59,12 @@ class WordTokens:
 
     def distinct(self, stretches: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each stretch as a ragged array."""
-        parts = pc.extract_regex(pc.utf8_lower(stretches), _SIMPLE)
+        parts = pc.extract_regex(stretches, _SIMPLE)
         simple = pc.and_(parts.is_valid(), pc.invert(pc.match_substring(stretches, "<|")))
         plain = simple.to_numpy(zero_copy_only=False)
         out: list = [None] * len(stretches)
         pick = pa.array(np.flatnonzero(plain))
-        words, marks = parts.field("word").take(pick).to_pylist(), parts.field("marks").take(pick).to_pylist()
+        words, marks = pc.utf8_lower(parts.field("word").take(pick)).to_pylist(), parts.field("marks").take(pick).to_pylist()
         ids = self._ids
         for i, w, m in zip(np.flatnonzero(plain).tolist(), words, marks):
             out[i] = (ids(w) + ids(m) if m else ids(w)) if w else (ids(m) if m else [])
