@@ -20,15 +20,22 @@ from pyspark.sql import functions as F
 
 from tabwarden.llm.arrow import constants, flat_bytes, lists, mixed, rows_as_lists, slices
 from tabwarden.llm.components import connected_components
-from tabwarden.sources.storage import checkpointed
+from tabwarden.llm.tables import Tables
 
 SHINGLE = 5
 PERCENT = 75
 BANDS, BAND_ROWS = 32, 4
-SKETCH_WORDS = 8  # 512 bits
-#: Sketches may underrate a pair by this much similarity (over six deviations of 128 samples) before it is passed over.
-SLACK = 0.25
+SAMPLES = 256
+SKETCH_WORDS = 16  # 1,024 bits
+#: Sketches may underrate a pair by this much similarity (over five deviations of 256 samples) before it is passed over.
+SLACK = 0.2
 TILE = 512
+#: Most rounds of checks against one representative; what they leave open is searched in tiles.
+ROUNDS = 8
+#: They end when fewer than one check in so many makes a link.
+WORTH = 20
+#: Up to so many ids (16 bytes each) are broadcast to pick out their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,7 +98,7 @@ def shingle_sets(text: pa.StringArray, width: int = SHINGLE) -> tuple[np.ndarray
 
 
 def _feature_map(width: int, bands: int, band_rows: int, seed: int):
-    k = bands * band_rows
+    k = max(SAMPLES, bands * band_rows)
     mul, add, fold, bit = constants(seed, k), constants(seed + 1, k), constants(seed + 2, band_rows), constants(seed + 3, 1)[0]
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
@@ -114,7 +121,7 @@ def _feature_map(width: int, bands: int, band_rows: int, seed: int):
                 own = np.arange(rows)
                 part = np.zeros((rows, SKETCH_WORDS), np.uint64)
                 for j in range(k):
-                    place = mixed(sig[j] * bit + np.uint64(j)) >> np.uint64(55)
+                    place = mixed(sig[j] * bit + np.uint64(j)) >> np.uint64(64 - (SKETCH_WORDS * 64).bit_length() + 1)
                     part[own, place >> np.uint64(6)] ^= np.uint64(1) << (place & np.uint64(63))
                 sketch[some] = part
                 for b in range(bands):
@@ -156,40 +163,58 @@ def _differing(a: str, b: str):
     return F.expr("+".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_WORDS)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, broadcast_ids: int, write: Tables) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. A hot ``a`` is split by Spark's skew join."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(need, "node", "left_semi")
-    sets = checkpointed(texts.mapInArrow(_set_map(width), "node bigint, members array<bigint>"))
+    need = write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
+    few = need.count() <= broadcast_ids
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(need) if few else need, "node", "left_semi")
+    sets = write(texts.mapInArrow(_set_map(width), "node bigint, members array<bigint>"), "sets")
     sa = sets.select(F.col("node").alias("a"), F.col("members").alias("sa"))
     sb = sets.select(F.col("node").alias("b"), F.col("members").alias("sb"))
     both = pairs.join(sb, "b").join(sa, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("common"), (F.size("sa") + F.size("sb")).cast("bigint").alias("total"))
-    return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b").distinct()
+    return write(both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b").distinct(), "links")
 
 
-def _across(members: DataFrame, comps: DataFrame, classes: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Candidates of the buckets whose members lie in several components.
+def _open_buckets(members: DataFrame, comps: DataFrame, turn: int, write: Tables) -> DataFrame:
+    """Rows (key, node, comp) of the buckets that span several components, with the largest of these and one of its members."""
+    named = write(members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "named")
+    draw = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", draw).alias("leader"))
+    top = F.max(F.struct("c", (-F.col("comp")).alias("low"), "leader")).alias("top")
+    per = per.groupBy("key").agg(F.sum("c").alias("rows"), top, F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    heads = write(per.select("key", "rows", F.col("top.c").alias("most"), (-F.col("top.low")).alias("major"), "top.leader"), "heads")
+    return write(named.join(heads, "key"), "open")
 
-    In each bucket the rows outside its largest component meet all rows, in tiles of at most TILE x TILE;
-    only pairs of different components whose sketches are near come out.
+
+def _across(rows: DataFrame, looks: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Candidates left in open buckets: the rows outside a bucket's largest component meet all its rows.
+
+    They do so in tiles of at most TILE x TILE; only pairs of different components whose sketches are near
+    come out, each in the first band its members share.
     """
-    named = checkpointed(members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")))
-    per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed_keys = checkpointed(per.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("rows") / TILE).cast("int").alias("nr"), F.ceil((F.col("rows") - F.col("top.c")) / TILE).cast("int").alias("nl")))
-    rows = checkpointed(named.join(mixed_keys, "key")).join(classes.select("node", "n", "sketch"), "node")
+    rows = rows.join(looks, "node").withColumns({"nr": F.ceil(F.col("rows") / TILE).cast("int"), "nl": F.ceil((F.col("rows") - F.col("most")) / TILE).cast("int")})
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("comp <> major").withColumn("bl", spot("nl")).withColumn("br", every("nr"))
-    right = rows.withColumn("br", spot("nr")).withColumn("bl", every("nl"))
-    l = left.select("key", "bl", "br", "major", *(F.col(c).alias(f"l_{c}") for c in ("node", "comp", "n", "sketch")))  # noqa: E741
-    r = right.select("key", "bl", "br", *(F.col(c).alias(f"r_{c}") for c in ("node", "comp", "n", "sketch")))
-    near = l.join(r, ["key", "bl", "br"]).where(F.expr("l_comp <> r_comp and (r_comp = major or l_node < r_node)") & F.expr(f"100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)") & (_differing("l_sketch", "r_sketch") <= limit))
+    sides = ("node", "comp", "n", "sketch", "bands")
+    l = rows.where("comp <> major").withColumn("bl", spot("nl")).withColumn("br", every("nr")).select("key", "bl", "br", "major", *(F.col(c).alias(f"l_{c}") for c in sides))  # noqa: E741
+    r = rows.withColumn("br", spot("nr")).withColumn("bl", every("nl")).select("key", "bl", "br", *(F.col(c).alias(f"r_{c}") for c in sides))
+    differ = F.expr("l_comp <> r_comp and (r_comp = major or l_node < r_node)") & F.expr(f"100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)")
+    first = F.expr("key = element_at(filter(zip_with(l_bands, r_bands, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
+    near = l.join(r, ["key", "bl", "br"]).where(differ & (_differing("l_sketch", "r_sketch") <= limit) & first)
     return near.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
 
 
+def _contracted(comps: DataFrame, links: DataFrame, write: Tables) -> DataFrame:
+    """Components after more links between documents."""
+    named = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    fresh = joined.select(F.col("component").alias("node"), "component").join(comps, "node", "left_anti")
+    return write(comps.unionByName(fresh).join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "comps")
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS, seed: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = ROUNDS, broadcast_ids: int = BROADCAST_IDS, seed: int = 1
 ) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id, kept.
 
@@ -199,44 +224,51 @@ def near_duplicates(
     keep a row each. A null id links with nothing: component_id is null and kept is true. Other columns
     are ignored. A pair at the threshold is missed by all bands with a chance of 5e-6.
 
-    Buckets are never expanded into all pairs: each member is first checked against one leader, and only
-    buckets that then still span several components are searched, in tiles.
+    Buckets are never expanded into all pairs. In each round every document outside its bucket's largest
+    component is checked with one member of that component, the nearest by sketch of those its buckets
+    offer; links are contracted. When a round finds few, buckets that still span several components are
+    searched whole, in tiles.
     """
-    limit = sketch_limit(percent, bands * band_rows)
-    feats = checkpointed(features(docs, id_col, text_col, width, bands, band_rows, seed))
+    write = Tables(docs.sparkSession, "near-text")
+    limit = sketch_limit(percent, max(SAMPLES, bands * band_rows))
+    feats = write(features(docs, id_col, text_col, width, bands, band_rows, seed), "features")
     grouped = feats.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
-    classes = checkpointed(grouped.select("f1", "f2", "n", "node", "x.bands", "x.sketch"))
+    classes = write(grouped.select("f1", "f2", "n", "node", "x.bands", "x.sketch"), "classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
-    leaders = checkpointed(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader"))
-    members = checkpointed(keyed.join(leaders, "key"))
-
+    shared = write(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "shared")
+    rows = keyed.join(shared, "key")
+    comps = write(classes.limit(0).select("node", F.col("node").alias("component")), "comps")
+    checked = lambda pairs: verified(pairs, docs, id_col, text_col, width, percent, broadcast_ids, write)
     looks = classes.select("node", "n", "sketch")
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(looks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b").join(looks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
-    pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", _differing("ka", "kb").alias("apart")).where(f"apart <= {limit}")
-    first = checkpointed(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"))
-    edges = verified(first, docs, id_col, text_col, width, percent)
-    comps = connected_components(edges)
-    across = checkpointed(_across(members, comps, classes, limit, percent))
+    look = lambda c: looks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
+    for turn in range(rounds):
+        rows = _open_buckets(rows, comps, turn, write)
+        pairs = rows.where("comp <> major").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(look("b"), "b").join(look("a"), "a")
+        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", _differing("ka", "kb").alias("apart")).where(f"apart <= {limit}")
+        pairs = write(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "pairs")
+        links = checked(pairs)
+        tried, found = pairs.count(), links.count()
+        if found:
+            comps = _contracted(comps, links, write)
+        if found * WORTH <= tried:
+            break
+    rows = _open_buckets(rows, comps, rounds, write)
+    across = write(_across(rows, classes.select("node", "n", "sketch", "bands"), limit, percent), "pairs")
     if not across.isEmpty():
-        more = checkpointed(verified(across, docs, id_col, text_col, width, percent))
-        named = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-        links = more.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        joined = connected_components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-        up = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        comps = comps.union(joined.select("node", F.col("node").alias("component")).join(comps.select("node"), "node", "left_anti"))
-        comps = checkpointed(comps.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")))
-    named = checkpointed(classes.select("f1", "f2", "n", "node").join(comps, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id")))
+        comps = _contracted(comps, checked(across), write)
+    named = write(classes.select("f1", "f2", "n", "node").join(comps, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id")), "classes-named")
     own = feats.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
     """The kept documents with all their columns, one row for each id; rows with a null id all stay."""
-    marks = near_duplicates(docs, id_col, text_col, **options)
-    kept = marks.where(F.col("kept") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = checkpointed(kept)
-    once = docs.join(kept.where("_rows = 1").select(id_col), id_col, "left_semi")
-    again = docs.join(kept.where("_rows > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    write = Tables(docs.sparkSession, "near-text-drop")
+    marks = near_duplicates(docs, id_col, text_col, broadcast_ids=broadcast_ids, **options).where(F.col(id_col).isNotNull())
+    per = marks.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1")
+    per = write(per.select(F.col(id_col).alias("_id"), "kept"), "marks")
+    sized = F.broadcast if per.count() <= broadcast_ids else lambda x: x
+    own = F.col(id_col).cast("bigint") == F.col("_id")
+    repeated = docs.join(sized(per.where("kept").select("_id")), own, "left_semi").dropDuplicates([id_col])
+    return docs.join(sized(per.select("_id")), own, "left_anti").unionByName(repeated)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabwarden.llm.arrow import constants, lists, mixed
 from tabwarden.llm.components import connected_components
-from tabwarden.sources.storage import checkpointed
+from tabwarden.llm.tables import Tables
 
 #: Rows of a tile's sides in the search. Smaller ones are used while there are few tiles.
 SHARD_ROWS, QUERY_ROWS, LEAST_ROWS = 32_768, 8_192, 1_024
@@ -234,21 +234,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     total = usable.count()
     bits = min(40, max(LEAST_BITS, math.ceil(math.log2(max(total, 1)))))
     tables = tables_for(bits, cosine, recall)
-    feats = checkpointed(usable.mapInArrow(_hash_map(bits, tables, seed), "id bigint, h1 bigint, h2 bigint, codes array<bigint>, vec binary"))
-    classes = checkpointed(feats.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult"), F.min_by(F.struct("codes", "vec"), "id").alias("x")).select("h1", "h2", "node", "mult", "x.*"))
+    write = Tables(vectors.sparkSession, "near-vectors")
+    feats = write(usable.mapInArrow(_hash_map(bits, tables, seed), "id bigint, h1 bigint, h2 bigint, codes array<bigint>, vec binary"), "features")
+    grouped = feats.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult"), F.min_by(F.struct("codes", "vec"), "id").alias("x"))
+    classes = write(grouped.select("h1", "h2", "node", "mult", "x.*"), "classes")
     keyed = classes.select("h1", "h2", F.posexplode("codes").alias("table", "key"))
-    crowded = checkpointed(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("table", "key", F.ceil(F.col("c") / TILE).cast("int").alias("nb")))
+    crowded = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    crowded = write(crowded.select("table", "key", F.ceil(F.col("c") / TILE).cast("int").alias("nb")), "crowded")
     met = keyed.join(crowded, ["table", "key"]).join(classes.drop("node"), ["h1", "h2"])
     spread = met.withColumns({"b": F.pmod(F.xxhash64("h1", "h2"), F.col("nb")).cast("int"), "o": F.explode(F.sequence(F.lit(0), F.col("nb") - 1))})
     ends = F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), (F.col("b") > F.col("o")).cast("int").alias("side")
     tiles = spread.select("table", "key", *ends, F.col("h1").alias("node"), "mult", "codes", "vec").repartition("table", "key", "bi", "bj").sortWithinPartitions("table", "key", "bi", "bj")
-    found = checkpointed(tiles.mapInArrow(_tile_map(cosine), "node bigint, links bigint, root bigint"))
+    found = write(tiles.mapInArrow(_tile_map(cosine), "node bigint, links bigint, root bigint"), "found")
     links = found.groupBy(F.col("node").alias("h1")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("root").alias("a"), F.col("node").alias("b"))).withColumnRenamed("node", "h1")
     named = classes.select("h1", "h2", "node", "mult").join(comps, "h1", "left").join(links, "h1", "left")
-    named = checkpointed(named.select("h1", "h2", "node", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "h1").alias("component")))
-    low = checkpointed(named.groupBy("component").agg(F.min("node").alias("component_id")))
-    own = feats.select("id", "h1", "h2").join(checkpointed(named.join(low, "component").select("h1", "h2", "n_links", "component_id")), ["h1", "h2"])
+    named = write(named.select("h1", "h2", "node", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "h1").alias("component")), "named")
+    low = write(named.groupBy("component").agg(F.min("node").alias("component_id")), "smallest")
+    own = feats.select("id", "h1", "h2").join(write(named.join(low, "component").select("h1", "h2", "n_links", "component_id"), "results"), ["h1", "h2"])
     out = own.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     rest = rows.where(~F.coalesce(fit, F.lit(False))).select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(rest)
