@@ -93,3 +93,21 @@ def with_text_columns(df: DataFrame, text_col: str, keep: Sequence[str], added:
                 at += len(text)
 
     return src.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), added]))
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Rows with equal ``keys``, of batches that come sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in keys])
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for at, to in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)]):
+            if last is not None and (key[at] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+            last = key[at]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -11,14 +11,15 @@ All others are decided on their full sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.arrow import constants, flat_bytes, lists, mixed, rows_as_lists, slices
+from tabwarden.llm.arrow import constants, flat_bytes, gathered, lists, mixed, rows_as_lists, runs, slices
 from tabwarden.llm.components import connected_components
 from tabwarden.llm.tables import Tables
 
@@ -29,7 +30,7 @@ SAMPLES = 256
 SKETCH_WORDS = 16  # 1,024 bits
 #: Sketches may underrate a pair by this much similarity (over five deviations of 256 samples) before it is passed over.
 SLACK = 0.2
-TILE = 512
+TILE = 256
 #: Most rounds of checks against one representative; what they leave open is searched in tiles.
 ROUNDS = 8
 #: They end when fewer than one check in so many makes a link.
@@ -163,12 +164,21 @@ def _differing(a: str, b: str):
     return F.expr("+".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_WORDS)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, broadcast_ids: int, write: Tables) -> DataFrame:
+def _sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, broadcast_ids: int, write: Tables) -> Callable[[DataFrame], DataFrame]:
+    """The function from (node) to a written table (node, members) of their full sets."""
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        need = write(nodes, "need")
+        few = need.count() <= broadcast_ids
+        texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(need) if few else need, "node", "left_semi")
+        return write(texts.mapInArrow(_set_map(width), "node bigint, members array<bigint>"), "sets")
+
+    return sets
+
+
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, write: Tables) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. A hot ``a`` is split by Spark's skew join."""
-    need = write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "need")
-    few = need.count() <= broadcast_ids
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(need) if few else need, "node", "left_semi")
-    sets = write(texts.mapInArrow(_set_map(width), "node bigint, members array<bigint>"), "sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sa = sets.select(F.col("node").alias("a"), F.col("members").alias("sa"))
     sb = sets.select(F.col("node").alias("b"), F.col("members").alias("sb"))
     both = pairs.join(sb, "b").join(sa, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("common"), (F.size("sa") + F.size("sb")).cast("bigint").alias("total"))
@@ -186,22 +196,99 @@ def _open_buckets(members: DataFrame, comps: DataFrame, turn: int, write: Tables
     return write(named.join(heads, "key"), "open")
 
 
-def _across(rows: DataFrame, looks: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Candidates left in open buckets: the rows outside a bucket's largest component meet all its rows.
-
-    They do so in tiles of at most TILE x TILE; only pairs of different components whose sketches are near
-    come out, each in the first band its members share.
-    """
-    rows = rows.join(looks, "node").withColumns({"nr": F.ceil(F.col("rows") / TILE).cast("int"), "nl": F.ceil((F.col("rows") - F.col("most")) / TILE).cast("int")})
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Rows of open buckets dealt into tiles of at most TILE x TILE: those outside the largest component (side 0) meet all (side 1)."""
+    rows = rows.withColumns({"nr": F.ceil(F.col("rows") / TILE).cast("int"), "nl": F.ceil((F.col("rows") - F.col("most")) / TILE).cast("int")})
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sides = ("node", "comp", "n", "sketch", "bands")
-    l = rows.where("comp <> major").withColumn("bl", spot("nl")).withColumn("br", every("nr")).select("key", "bl", "br", "major", *(F.col(c).alias(f"l_{c}") for c in sides))  # noqa: E741
-    r = rows.withColumn("br", spot("nr")).withColumn("bl", every("nl")).select("key", "bl", "br", *(F.col(c).alias(f"r_{c}") for c in sides))
-    differ = F.expr("l_comp <> r_comp and (r_comp = major or l_node < r_node)") & F.expr(f"100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)")
-    first = F.expr("key = element_at(filter(zip_with(l_bands, r_bands, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
-    near = l.join(r, ["key", "bl", "br"]).where(differ & (_differing("l_sketch", "r_sketch") <= limit) & first)
-    return near.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+    left = rows.where("comp <> major").withColumn("bl", spot("nl")).withColumn("br", every("nr")).withColumn("side", F.lit(0))
+    right = rows.withColumn("br", spot("nr")).withColumn("bl", every("nl")).withColumn("side", F.lit(1))
+    return left.unionByName(right).select("key", "bl", "br", "side", "node", "comp", "major")
+
+
+def _near(t: pa.Table, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, differing bits) of the pairs of a tile whose sketches are near, and the places of the left rows.
+
+    Pairs are of different components and in the first band both share.
+    """
+    num = lambda c: t[c].to_numpy()
+    wide = lambda c: t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    side, node, comp, n, sketch, bands = num("side"), num("node"), num("comp"), num("n"), wide("sketch"), wide("bands")
+    major, key = int(num("major")[0]), int(num("key")[0])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b, apart = [], [], []
+    for i in left:
+        ok = (comp[right] != comp[i]) & ((comp[right] == major) | (node[right] > node[i]))
+        ok &= 100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i])
+        j = right[ok]
+        if len(j):
+            d = np.bitwise_count((sketch[j] ^ sketch[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            j, d = j[d <= limit], d[d <= limit]
+            same = bands[j] == bands[i]
+            first = bands[i][same.argmax(axis=1)] == key
+            a.append(np.full(first.sum(), i)), b.append(j[first]), apart.append(d[first])
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b), np.concatenate(apart), left) if a else (empty, empty, empty, left)
+
+
+def _near_map(limit: int, percent: int):
+    """Of each tile the rows that are near another one, once per side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ("key", "bl", "br")):
+            a, b, _, _ = _near(t, limit, percent)
+            if len(a):
+                yield from t.take(pa.array(np.unique(np.concatenate((a, b))))).combine_chunks().to_batches()
+
+    return run
+
+
+def _link_map(limit: int, percent: int):
+    """Links of each tile, decided on the full sets: one for each row and component it is linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ("key", "bl", "br")):
+            a, b, apart, _ = _near(t, limit, percent)
+            node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
+            sets = t["members"].combine_chunks()
+            flat, off = sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(sets).to_numpy())))
+            found = []
+            for i in np.unique(a):
+                own = np.sort(flat[off[i] : off[i + 1]])
+                j = b[a == i][np.argsort(apart[a == i], kind="stable")]
+                done: set = set()
+                for at in range(0, len(j), 64):
+                    some = np.array([k for k in j[at : at + 64].tolist() if comp[k] not in done], np.int64)
+                    if not len(some):
+                        continue
+                    values, starts = gathered(flat, off, some)
+                    place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+                    common = np.add.reduceat((own[place] == values).astype(np.int64), starts[:-1])
+                    union = len(own) + np.diff(starts) - common
+                    for k in some[100 * common >= percent * union].tolist():
+                        if comp[k] not in done:
+                            done.add(comp[k])
+                            found.append((node[i], node[k]))
+            if found:
+                x, y = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
+def _across(rows: DataFrame, looks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], limit: int, percent: int, write: Tables) -> DataFrame:
+    """Links between components that share a bucket, searched whole.
+
+    First the tiles are reduced to rows with a partner by sketch, then full sets are attached to these and
+    decide. Both steps give at most a row per row and tile, not the tile's pairs.
+    """
+    tiles = _tiled(rows).join(looks, "node")
+    keys = ("key", "bl", "br")
+    sorted_ = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    schema = "node bigint, key bigint, bl int, br int, side int, comp bigint, major bigint, n bigint, sketch array<bigint>, bands array<bigint>"
+    near = write(sorted_(tiles.select(*(c.split()[0] for c in schema.split(", ")))).mapInArrow(_near_map(limit, percent), schema), "near")
+    full = near.join(sets_of(near.select("node").distinct()), "node")
+    return write(sorted_(full).mapInArrow(_link_map(limit, percent), "a bigint, b bigint").distinct(), "links")
 
 
 def _contracted(comps: DataFrame, links: DataFrame, write: Tables) -> DataFrame:
@@ -238,7 +325,7 @@ def near_duplicates(
     shared = write(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "shared")
     rows = keyed.join(shared, "key")
     comps = write(classes.limit(0).select("node", F.col("node").alias("component")), "comps")
-    checked = lambda pairs: verified(pairs, docs, id_col, text_col, width, percent, broadcast_ids, write)
+    sets_of = _sets_of(docs, id_col, text_col, width, broadcast_ids, write)
     looks = classes.select("node", "n", "sketch")
     look = lambda c: looks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
     for turn in range(rounds):
@@ -246,16 +333,16 @@ def near_duplicates(
         pairs = rows.where("comp <> major").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(look("b"), "b").join(look("a"), "a")
         pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", _differing("ka", "kb").alias("apart")).where(f"apart <= {limit}")
         pairs = write(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "pairs")
-        links = checked(pairs)
+        links = verified(pairs, sets_of, percent, write)
         tried, found = pairs.count(), links.count()
         if found:
             comps = _contracted(comps, links, write)
         if found * WORTH <= tried:
             break
     rows = _open_buckets(rows, comps, rounds, write)
-    across = write(_across(rows, classes.select("node", "n", "sketch", "bands"), limit, percent), "pairs")
-    if not across.isEmpty():
-        comps = _contracted(comps, checked(across), write)
+    links = _across(rows, classes.select("node", "n", "sketch", "bands"), sets_of, limit, percent, write)
+    if not links.isEmpty():
+        comps = _contracted(comps, links, write)
     named = write(classes.select("f1", "f2", "n", "node").join(comps, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id")), "classes-named")
     own = feats.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

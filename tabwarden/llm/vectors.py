@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.arrow import constants, lists, mixed
+from tabwarden.llm.arrow import constants, lists, mixed, runs
 from tabwarden.llm.components import connected_components
 from tabwarden.llm.tables import Tables
 
@@ -187,7 +187,7 @@ def _links_in_tile(node, mult, side, codes, vec, table: int, within: bool, cosin
 def _tile_map(cosine: float):
     """Rows come sorted by (table, key, bi, bj); each run of equal keys is one tile."""
 
-    def emit(t: pa.Table) -> pa.RecordBatch | None:
+    def emit(t: pa.Table) -> pa.RecordBatch:
         node = t["node"].to_numpy()
         order = np.argsort(node, kind="stable")
         t, node = t.take(pa.array(order)), node[order]
@@ -198,20 +198,8 @@ def _tile_map(cosine: float):
         return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(add[keep]), pa.array(root[keep])], names=["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("table", "key", "bi", "bj")])
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for at, to in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)]):
-                if last is not None and (key[at] != last).any():
-                    yield emit(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(at, to - at))
-                last = key[at]
-        if held:
-            yield emit(pa.Table.from_batches(held))
+        for tile in runs(batches, ("table", "key", "bi", "bj")):
+            yield emit(tile)
 
     return run
 
