@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.functions.types import col
+from tabwarden.functions.types import clean, col, families
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -15,6 +15,28 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def _number(x) -> float | int | None:
+    try:
+        return x if isinstance(x, (int, float)) and not isinstance(x, bool) else float(str(x))
+    except ValueError:
+        return None
+
+
+def among(df: DataFrame, column: str, values: Sequence) -> Column:
+    """Whether a value is listed, NULL for a missing one.
+
+    A NULL in the list matches nothing. Listed values are read in the column's family, so a text that is
+    no number is simply not among the values of a numeric column.
+    """
+    v, fam = clean(df, column), families(df)[column]
+    listed = [x for x in values if x is not None]
+    if fam in ("int", "float"):
+        listed = [x for x in map(_number, listed) if x is not None]
+    elif fam == "string":
+        listed = [str(x) for x in listed]
+    return v.isin(listed) if listed else F.when(v.isNotNull(), F.lit(False))
+
+
 def fingerprint(names: Sequence[str]) -> Column:
     """128-bit row identity over the named columns, NULLs equal to each other.
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.functions.expr import among
 from tabwarden.functions.longform import long_values
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import as_double, clean, numeric_columns
@@ -54,7 +55,7 @@ def rule_checks(df: DataFrame, rules: Sequence[AccuracyRule], case_sensitive: bo
         elif r.rule_type == "pattern" and p.get("pattern"):
             out += pattern_checks(VALIDATOR, "pattern", r.column, r.severity, p["pattern"], ignore_case=not case_sensitive)
         elif r.rule_type == "domain" and p.get("values"):
-            out.append(row_check(VALIDATOR, "domain", r.column, r.severity, ~v.isin(list(p["values"])), "values not in domain"))
+            out.append(row_check(VALIDATOR, "domain", r.column, r.severity, ~among(df, r.column, p["values"]), "values not in domain"))
         elif r.rule_type == "format" and p.get("format") in FORMATS:
             out += pattern_checks(VALIDATOR, "format_" + p["format"], r.column, r.severity, FORMATS[p["format"]], ignore_case=not case_sensitive)
         elif r.rule_type == "outlier":
@@ -71,6 +72,7 @@ def outlier_masks(
 
     The bounds are a handful of numbers per column (moments, or exact quantiles
     found by selection), so using them costs no join and no further shuffle.
+    Moments are of the finite values, so an infinite one is itself an outlier.
     Columns with fewer than 3 values or no spread get no mask.
     """
     names = list(columns or numeric_columns(df))
@@ -80,7 +82,7 @@ def outlier_masks(
         return out
     if method == "zscore":
         t = threshold if threshold is not None else DEFAULTS["zscore_threshold"]
-        rows = long_values(df, [v[n] for n in names]).groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+        rows = long_values(df, [v[n] for n in names]).where(F.abs("v") < float("inf")).groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
         for r in rows.collect():  # one row per column
             if r["n"] >= MIN_VALUES and r["s"]:
                 n = names[r["g"]]

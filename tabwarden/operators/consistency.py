@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.functions.expr import among
 from tabwarden.functions.types import clean, columns_in, numeric_columns
 from tabwarden.plans.checks import Check, guarded, note, row_check
 
@@ -61,7 +62,7 @@ def _expression(df: DataFrame, rule: ConsistencyRule) -> list[Check]:
         bad = F.when(F.coalesce(cond, F.lit(False)), F.lit(0).cast("long")).otherwise(F.count(F.lit(1)))
         return [Check(VALIDATOR, rule.name, None, rule.severity, bad, message=text)]
     df.select(cond)  # analysis errors surface here, per rule
-    return [row_check(VALIDATOR, rule.name, None, rule.severity, ~F.coalesce(cond, F.lit(False)), text)]
+    return [replace(row_check(VALIDATOR, rule.name, None, rule.severity, ~F.coalesce(cond, F.lit(False)), text), may_fail=True)]
 
 
 def missing_references(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -88,12 +89,17 @@ def _referential(df: DataFrame, rule: ConsistencyRule, tables: dict[str, DataFra
     ref_col = rule.parameters.get("reference_column")
     if values is None and ref_col is None:
         raise ValueError("a referential rule needs reference_values or reference_column")
-    parent = tables.get(rule.parameters.get("reference_table", ""), df)
+    table = rule.parameters.get("reference_table")
+    if not values and table and table not in tables:
+        raise ValueError(f"unknown reference table {table}")
+    parent = tables[table] if not values and table else df
+    if not values and ref_col not in parent.columns:
+        raise ValueError(f"unknown reference column {ref_col}")
     out = []
     for c in rule.columns:
         if values:
-            out.append(row_check(VALIDATOR, rule.name, c, rule.severity, ~clean(df, c).isin(list(values)), "not in reference values"))
-        elif ref_col in parent.columns:
+            out.append(row_check(VALIDATOR, rule.name, c, rule.severity, ~among(df, c, values), "not in reference values"))
+        else:
             out.append(Check(VALIDATOR, rule.name, c, rule.severity, frame=reference_frame(df, c, parent, ref_col), message=f"not in {ref_col}"))
     return out
 

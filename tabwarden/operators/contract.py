@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.functions.expr import value_identity
+from tabwarden.functions.expr import among, value_identity
 from tabwarden.functions.types import FAMILY_ALIASES, as_double, clean, col, families
 from tabwarden.operators.profile import column_base
 from tabwarden.plans.checks import Check, note, row_check, skip
@@ -90,7 +90,7 @@ def _column_checks(df: DataFrame, c: ColumnContract, fam: str) -> list[Check]:
         if c.max_value is not None:
             out.append(row_check(VALIDATOR, "max_value", c.name, "error", v > F.lit(c.max_value), f"values above {c.max_value}"))
     if c.allowed_values is not None:
-        out.append(row_check(VALIDATOR, "allowed_values", c.name, "error", ~v.isin(list(c.allowed_values)), "values not in allowed set"))
+        out.append(row_check(VALIDATOR, "allowed_values", c.name, "error", ~among(df, c.name, c.allowed_values), "values not in allowed set"))
     if c.pattern is not None and fam == "string":
         out += pattern_checks(VALIDATOR, "pattern", c.name, "error", c.pattern)
     return out

@@ -15,7 +15,7 @@ from tabwarden.functions.longform import long_values, names_table, with_bin
 from tabwarden.functions.ordering import running_totals, value_buckets
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import as_double, categorical_columns, clean, common_columns, numeric_columns
-from tabwarden.operators.profile import bin_edges, bounds
+from tabwarden.operators.profile import bin_edges, bounds, finite
 from tabwarden.plans.schemas import DEFAULTS
 
 # Fixed values of the index: number of quantile bins and smallest share.
@@ -38,12 +38,12 @@ def two_sided(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFra
     return one(ref, 0).unionByName(one(cur, 1))
 
 
-def _counts_by_bin(both: DataFrame, edges: dict[int, Sequence[float]], closed: bool = False) -> DataFrame:
+def _counts_by_bin(both: DataFrame, edges: dict[int, Sequence[float]], closed: bool = False, finite_only: bool = False) -> DataFrame:
     """(f, bin, n0, n1) by inner edges; with ``closed`` the first and last edge also bound the values."""
     width = max(edges) + 1
     rows = long_values(both, [F.col(f"c{i}") if i in edges else F.lit(None).cast("double") for i in range(width)], [F.col("side")])
     inner = {i: e[1:-1] for i, e in edges.items()}
-    binned = with_bin(rows, inner)
+    binned = with_bin(finite(rows) if finite_only else rows, inner)
     if closed:
         ends = F.broadcast(both.sparkSession.createDataFrame([(i, float(e[0]), float(e[-1])) for i, e in edges.items()], "g int, low double, high double"))
         binned = binned.join(ends, "g").where("v >= low and v <= high")
@@ -206,6 +206,10 @@ def with_chi2_p(df: DataFrame) -> DataFrame:
     return df.mapInPandas(add, fields + ", p_value double")
 
 
+def df_of_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(n,) for n in names], "feature string")
+
+
 def category_counts(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value, n0, n1) of categorical columns over both tables, one shuffle."""
     def one(df: DataFrame, side: int) -> DataFrame:
@@ -218,12 +222,13 @@ def category_counts(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> D
 
 def chi2_drift(
     ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None = None, p_threshold: float = DEFAULTS["chi2_p"],
-    max_categories: int = DEFAULTS["max_categories"], min_values: int = 10,
+    max_categories: int | None = None, min_values: int = 10,
 ) -> DataFrame:
     """Chi-squared comparison of category counts, with category novelty.
 
     Expected counts are the reference counts plus one, rescaled to the current
-    total. Features with too few values or too many reference categories are left out.
+    total. A feature with too few values on a side, or with more reference categories than
+    ``max_categories``, is a row with status ``skipped`` and no statistic.
     """
     shared = set(categorical_columns(ref)) & set(categorical_columns(cur))
     names = list(columns or sorted(shared))
@@ -232,13 +237,22 @@ def chi2_drift(
         F.sum("n0").alias("N0_"), F.sum("n1").alias("N1_"), F.count("*").alias("k"),
         F.count_if(F.col("n0") > 0).alias("train_categories"), F.count_if(F.col("n1") > 0).alias("test_categories"),
         F.count_if((F.col("n0") == 0) & (F.col("n1") > 0)).alias("new_categories"),
-    ).where((F.col("N0_") >= min_values) & (F.col("N1_") >= min_values) & (F.col("train_categories") <= max_categories))
+    )
+    few = (F.col("N0_") < min_values) | (F.col("N1_") < min_values)
+    many = F.lit(False) if max_categories is None else F.col("train_categories") > max_categories
+    reason = F.when(few, f"fewer than {min_values} values").when(many, f"more than {max_categories} categories")
+    sums = sums.withColumn("reason", reason)
     expected = (F.col("n0") + 1) / (F.col("N0_") + F.col("k")) * F.col("N1_")
-    stat = counts.join(F.broadcast(sums), "feature").groupBy("feature", "train_categories", "test_categories", "new_categories", "k").agg(
-        F.sum((F.col("n1") - expected) * (F.col("n1") - expected) / expected).alias("chi2")
+    stat = counts.join(F.broadcast(sums), "feature").groupBy("feature", "train_categories", "test_categories", "new_categories", "k", "reason").agg(
+        F.sum(F.try_divide((F.col("n1") - expected) * (F.col("n1") - expected), expected)).alias("chi2")
     )
-    out = with_chi2_p(stat.select("feature", "chi2", (F.col("k") - 1).alias("dof"), "train_categories", "test_categories", "new_categories"))
-    return out.withColumn("has_drift", F.col("p_value") < p_threshold)
+    tested = F.col("reason").isNull()
+    out = with_chi2_p(stat.select("feature", F.coalesce("chi2", F.lit(0.0)).alias("chi2"), (F.col("k") - 1).alias("dof"), "train_categories", "test_categories", "new_categories", "reason"))
+    out = out.withColumns({"chi2": F.when(tested, F.col("chi2")), "p_value": F.when(tested, F.col("p_value"))})
+    out = out.withColumns({"has_drift": F.col("p_value") < p_threshold, "status": F.when(tested, "tested").otherwise("skipped")})
+    absent = df_of_names(ref, names).join(out.select("feature"), "feature", "left_anti")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in out.schema.fields if f.name not in ("feature", "reason", "status")]
+    return out.unionByName(absent.select("feature", *nulls, F.lit(f"fewer than {min_values} values").alias("reason"), F.lit("skipped").alias("status")))
 
 
 def density_histograms(ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
@@ -247,7 +261,7 @@ def density_histograms(ref: DataFrame, cur: DataFrame, columns: Sequence[str] |
     both = two_sided(ref, cur, names)
     found = bounds(both, {str(i): F.col(f"c{i}") for i in range(len(names))})
     edges = {int(i): bin_edges(lo, hi, bins) for i, (lo, hi) in found.items()}
-    counts = _counts_by_bin(both, edges)
+    counts = _counts_by_bin(both, edges, finite_only=True)
     table = ref.sparkSession.createDataFrame(
         [(i, names[i], b, e[b + 1] - e[b]) for i, e in edges.items() for b in range(bins)], "f int, feature string, bin int, width double"
     )
@@ -261,18 +275,23 @@ def analyze_drift(
     ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None = None,
     psi_threshold: float = DEFAULTS["psi"], ks_threshold: float = DEFAULTS["ks_p"], histograms: bool = True,
 ) -> DataFrame:
-    """One row per shared numeric feature: PSI, KS, verdict and density histograms."""
+    """One row per shared numeric feature: PSI, KS, verdict and density histograms.
+
+    A feature without values on one side has status ``skipped`` and no verdict.
+    """
     names = list(columns or shared_numeric(ref, cur))
     ks = ks_statistic(ref, cur, names).withColumn("p_value", ks_p_value(F.col("ks"), F.col("n0"), F.col("n1"))).where("n0 > 0 and n1 > 0")
     psi = psi_open(ref, cur, names)
-    out = ks.join(F.broadcast(psi), "feature").select(
+    tested = F.broadcast(df_of_names(ref, names)).join(ks.join(F.broadcast(psi), "feature"), "feature", "left")
+    out = tested.select(
         "feature", F.col("psi").alias("drift_score"), F.lit("PSI + KS-Test").alias("method"), "ks", "p_value",
         ((F.col("psi") >= psi_threshold) | (F.col("p_value") <= ks_threshold)).alias("is_drifted"), F.lit(psi_threshold).alias("threshold"),
+        F.when(F.col("ks").isNull(), "skipped").otherwise("tested").alias("status"),
     )
     if not histograms:
         return out
     h = density_histograms(ref, cur, names).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "reference", "current"))).alias("h"))
-    return out.join(F.broadcast(h), "feature").select(
+    return out.join(F.broadcast(h), "feature", "left").select(
         *out.columns, F.col("h.reference").alias("distribution_reference"), F.col("h.current").alias("distribution_current")
     )
 
@@ -283,7 +302,7 @@ def numeric_drift(
 ) -> DataFrame:
     """Stricter variant for splits: closed-bin PSI, KS, moments of both sides.
 
-    Features with fewer than 10 values or a constant side are left out.
+    A feature with fewer than 10 values or a constant side is a row with status ``skipped`` and no verdict.
     """
     names = list(columns or shared_numeric(ref, cur, target=target))
     both = two_sided(ref, cur, names)
@@ -293,12 +312,18 @@ def numeric_drift(
         F.avg(at(0)).alias("train_mean"), F.avg(at(1)).alias("test_mean"),
         F.stddev_samp(at(0)).alias("train_std"), F.stddev_samp(at(1)).alias("test_std"),
         (F.min(at(0)) < F.max(at(0))).alias("varies0"), (F.min(at(1)) < F.max(at(1))).alias("varies1"),
-    ).where("varies0 and varies1").drop("varies0", "varies1")
-    ks = ks_statistic(ref, cur, names).where((F.col("n0") >= min_values) & (F.col("n1") >= min_values))
-    p = ks_p_value(F.col("ks"), F.col("n0"), F.col("n1"))
-    return ks.join(F.broadcast(psi_closed(ref, cur, names)), "feature").join(F.broadcast(moments), "feature").withColumn("p_value", p).select(
-        "feature", "ks", "p_value", "psi", ((F.col("p_value") < ks_threshold) | (F.col("psi") > psi_threshold)).alias("has_drift"),
+    )
+    ks = ks_statistic(ref, cur, names).withColumn("p", ks_p_value(F.col("ks"), F.col("n0"), F.col("n1")))
+    all_of = F.broadcast(df_of_names(ref, names)).join(ks, "feature", "left").join(F.broadcast(psi_closed(ref, cur, names)), "feature", "left").join(F.broadcast(moments), "feature", "left")
+    enough = F.coalesce((F.col("n0") >= min_values) & (F.col("n1") >= min_values), F.lit(False))
+    varies = F.coalesce(F.col("varies0") & F.col("varies1"), F.lit(False))
+    told = lambda c: F.when(enough & varies, c)
+    return all_of.select(
+        "feature", told(F.col("ks")).alias("ks"), told(F.col("p")).alias("p_value"), told(F.col("psi")).alias("psi"),
+        told((F.col("p") < ks_threshold) | (F.col("psi") > psi_threshold)).alias("has_drift"),
         "train_mean", "test_mean", "train_std", "test_std",
+        F.when(enough & varies, "tested").otherwise("skipped").alias("status"),
+        F.when(~enough, f"fewer than {min_values} values").when(~varies, "constant on one side").alias("reason"),
     )
 
 
@@ -307,7 +332,7 @@ def drift_summary(drift: DataFrame) -> DataFrame:
     return drift.agg(
         (F.count_if("is_drifted") > 0).alias("drift_detected"),
         F.count_if("is_drifted").alias("drifted_features_count"),
-        F.count("*").alias("total_features_analyzed"),
+        F.count_if(F.col("status") == "tested").alias("total_features_analyzed"),
         F.array_sort(F.collect_set(F.when(F.col("is_drifted"), F.col("feature")))).alias("drifted_features"),
         F.coalesce(F.avg("drift_score"), F.lit(0.0)).alias("overall_drift_score"),
     )

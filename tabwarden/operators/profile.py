@@ -167,20 +167,25 @@ def edge_table(df: DataFrame, edges: dict[str, Sequence[float]]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, bin int, low double, high double")
 
 
+def finite(rows: DataFrame) -> DataFrame:
+    """Long-form rows without infinite values."""
+    return rows.where(F.abs("v") < float("inf"))
+
+
 def bounds(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[float, float]]:
-    """Smallest and largest value of each column that has any."""
-    rows = long_values(df, list(values.values())).groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    """Smallest and largest finite value of each column that has any."""
+    rows = finite(long_values(df, list(values.values()))).groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
     names = list(values)
     return {names[r["g"]]: (r["lo"], r["hi"]) for r in rows}
 
 
 def numeric_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = BINS) -> DataFrame:
-    """(feature, bin, low, high, n), empty bins included; the last bin is closed."""
+    """(feature, bin, low, high, n), empty bins included; the last bin is closed. Infinite values are in no bin."""
     values = {c: as_double(df, c) for c in (columns or numeric_columns(df))}
     edges = {c: bin_edges(lo, hi, bins) for c, (lo, hi) in bounds(df, values).items()}
     names = list(edges)
     inner = {g: edges[c][1:-1] for g, c in enumerate(names)}
-    counts = with_bin(long_values(df, [values[c] for c in names]), inner).groupBy("g", "bin").agg(F.count("*").alias("n"))
+    counts = with_bin(finite(long_values(df, [values[c] for c in names])), inner).groupBy("g", "bin").agg(F.count("*").alias("n"))
     counts = counts.join(F.broadcast(names_table(df, names)), "g").drop("g")
     return edge_table(df, edges).join(counts, ["feature", "bin"], "left").select("feature", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -222,7 +227,7 @@ def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], values: dict[s
 
     All pairs go through one grouped aggregate over (pair, x, y) entries: the
     code stays small however many pairs there are, and the partial aggregate of
-    each task is one row per pair. ``value`` is NULL without spread.
+    each task is one row per pair. ``value`` is NULL without spread, or where a value is infinite.
     """
     schema = "feature_a string, feature_b string, n long, value double"
     if not pairs:
@@ -233,7 +238,7 @@ def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], values: dict[s
         df.select(F.inline(F.array(*entries)))
         .where("x is not null and y is not null")
         .groupBy("p")
-        .agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), spread).alias("value"))
+        .agg(F.count("*").alias("n"), F.nanvl(F.try_divide(F.covar_pop("x", "y"), spread), F.lit(None)).alias("value"))
     )
     names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, feature_a string, feature_b string")
     joined = F.broadcast(names).join(grouped, "p", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwarden.functions.expr import among
 from tabwarden.functions.types import as_double, clean, col
 from tabwarden.operators.contract import duplicate_frame, start_anchored
 from tabwarden.plans.checks import Check, guarded, note, row_check, skip
@@ -94,9 +95,9 @@ def row_violation(df: DataFrame, rule_type: str, column: str, p: dict[str, Any])
             bad = bad | (v > F.lit(p["max"]))
         return bad & v.isNotNull()
     if rule_type == "in_list":
-        return ~v.isin(list(p.get("values", [])))
+        return ~among(df, column, p.get("values", []))
     if rule_type == "not_in_list":
-        return v.isin(list(p.get("values", [])))
+        return among(df, column, p.get("values", []))
     return None
 
 
@@ -153,7 +154,7 @@ def _conditional(df: DataFrame, rule: Rule) -> list[Check]:
     on, value, sub = p.get("condition_column"), p.get("condition_value"), p.get("target_rule")
     if not on or value is None or not sub:
         return []
-    when = clean(df, on) == F.lit(value)
+    when = among(df, on, [value])
     params = p.get("target_parameters", {})
     bad = row_violation(df, sub, rule.column, params)
     msg = f"when {on}={value}: {sub}"

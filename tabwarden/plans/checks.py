@@ -45,6 +45,7 @@ class Check:
     frame: DataFrame | None = None  # one row: violations, total
     row_predicate: Column | None = None  # for listing violating rows
     skipped: bool = False
+    may_fail: bool = False  # a user's expression: a value may raise an error
 
 
 def row_check(
@@ -92,9 +93,28 @@ def _fused(df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(pairs).alias("x")).select("x.i", "x.m.violations", "x.m.total")
 
 
+def _tried(df: DataFrame, checks: list[Check]) -> list[Check]:
+    """Checks with users' expressions that raise on some value become failed rows.
+
+    All of them are tried in one scan; only if that fails is each tried alone.
+    """
+    def error(some: list[Check]) -> str | None:
+        try:
+            df.agg(*[c.violations.cast("long").alias(f"v{i}") for i, c in enumerate(some)]).collect()
+            return None
+        except PySparkException as e:
+            return e.getCondition() or type(e).__name__
+
+    doubtful = [c for c in checks if c.may_fail]
+    if not doubtful or error(doubtful) is None:
+        return checks
+    found = {id(c): error([c]) for c in doubtful}
+    return [note(c.validator, c.check, c.column, "error", True, found[id(c)]) if found.get(id(c)) else c for c in checks]
+
+
 def run(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
     """CHECK_RESULTS of all checks: one scan for the fused ones, one shuffle for each frame."""
-    numbered = list(enumerate(checks))
+    numbered = list(enumerate(_tried(df, list(checks))))
     if not numbered:
         return df.sparkSession.createDataFrame([], CHECK_RESULTS)
     plain = [(i, c) for i, c in numbered if c.frame is None]

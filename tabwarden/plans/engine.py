@@ -31,6 +31,8 @@ class QualityConfig:
     time_column: str | None = None
     max_gap_hours: float | None = None
     outlier_method: str = "zscore"
+    outlier_threshold: float | None = None
+    tables: dict[str, DataFrame] = field(default_factory=dict)  # referenced by foreign keys
     fail_fast: bool = False
     custom: Sequence[tuple[str, Callable[[DataFrame], list[Check]]]] = field(default_factory=tuple)
 
@@ -52,8 +54,8 @@ def plan_checks(df: DataFrame, cfg: QualityConfig) -> list[tuple[str, list[Check
     builders: dict[str, Callable[[], list[Check]]] = {
         "schema": lambda: contract.contract_checks(df, cfg.contract),
         "completeness": lambda: completeness.completeness_checks(df, cfg.missing_threshold),
-        "consistency": lambda: consistency.consistency_checks(df, cfg.consistency),
-        "accuracy": lambda: accuracy.accuracy_checks(df, cfg.accuracy, method=cfg.outlier_method),
+        "consistency": lambda: consistency.consistency_checks(df, cfg.consistency, tables=cfg.tables),
+        "accuracy": lambda: accuracy.accuracy_checks(df, cfg.accuracy, method=cfg.outlier_method, threshold=cfg.outlier_threshold),
         "timeliness": lambda: timeliness.timeliness_checks(df, when, cfg.time_column, max_gap_hours=cfg.max_gap_hours),
         "rules": lambda: rules.rules_checks(df, cfg.rules),
     }

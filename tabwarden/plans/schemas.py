@@ -59,7 +59,6 @@ DEFAULTS = {
     "ks_p": 0.05,
     "chi2_p": 0.05,
     "psi_bins": 10,
-    "max_categories": 100,
     "risk_high": 0.7,
     "risk_medium": 0.4,
     "impact_removal": 0.6,

@@ -97,7 +97,7 @@ def _(t):
     old, new = priced(t)
     tag = F.concat("event_type", F.when(F.col("value") > 300, "!").otherwise("")).alias("x")
     out = drift.chi2_drift(ref, cur, ["l_returnflag", "l_linestatus"]).unionByName(drift.chi2_drift(old.select(tag), new.select(tag), ["x"]))
-    return rounded(out.drop("p_value", "has_drift"), 6)
+    return rounded(out.drop("p_value", "has_drift", "status", "reason"), 6)
 
 
 @query("d6_density_histograms", all_of(*[f"""SELECT '{c}' AS feature, CAST(g.bin AS INT) AS bin, round(coalesce(a, 0) / (SELECT count(*) FROM {OLD}) / ((hi - lo) / 20), 8) AS reference,
@@ -129,7 +129,7 @@ def _(t):
 )
 def _(t):
     old, new = priced(t)
-    return rounded(drift.numeric_drift(old, new).drop("p_value"))
+    return rounded(drift.numeric_drift(old, new).drop("p_value", "reason", "status"))
 
 
 @query("d10_drift_summary", f"""SELECT count(*) FILTER (WHERE d) > 0 AS drift_detected, count(*) FILTER (WHERE d) AS drifted_features_count, count(*) AS total_features_analyzed,
@@ -143,3 +143,24 @@ def _(t):
     old, new = priced(t)
     found = engine.drift_findings(old.select("value", "event_type"), new.select("value", "event_type"), None)
     return found.where("leakage_type <> 'checked'").select("feature", "severity", "leakage_type", F.round("score", 4).alias("score"))
+
+
+_MANY = "(WITH c AS (SELECT x, count(*) FILTER (WHERE s = 0) AS a, count(*) FILTER (WHERE s = 1) AS b FROM (SELECT 'u' || user_id AS x, 0 AS s FROM " + OLD + " UNION ALL SELECT 'u' || user_id, 1 FROM " + NEW + """) GROUP BY x),
+   e AS (SELECT *, (a + 1) / ((SELECT sum(a) FROM c) + (SELECT count(*) FROM c)) * (SELECT sum(b) FROM c) AS x0 FROM c)
+   SELECT 'x' AS feature, round(sum((b - x0) * (b - x0) / x0), 4) AS chi2, count(*) - 1 AS dof, 'tested' AS status FROM e)"""
+
+
+@query("d5_many_categories", f"SELECT * FROM {_MANY} UNION ALL SELECT 'gone', NULL, NULL, 'skipped'")
+def _(t):
+    """More categories than any limit, and a feature that one side lacks altogether."""
+    pick = lambda df: df.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("x"), F.lit(None).cast("string").alias("gone"))
+    old, new = (pick(df) for df in priced(t))
+    out = drift.chi2_drift(old, new, ["x", "gone"])
+    return out.select("feature", F.round("chi2", 4).alias("chi2"), "dof", "status")
+
+
+@query("d8_skipped_features", "SELECT 'steady' AS feature, 'skipped' AS status, 'constant on one side' AS reason UNION ALL SELECT 'gone', 'skipped', 'fewer than 10 values'")
+def _(t):
+    old, new = priced(t)
+    pick = lambda df, v: df.select(v.alias("steady"), F.when(F.col("value") < 0, F.col("value")).alias("gone"))
+    return drift.numeric_drift(pick(old, F.lit(1.0)), pick(new, F.col("value"))).select("feature", "status", "reason")

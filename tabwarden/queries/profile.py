@@ -253,3 +253,29 @@ def _(t):
     p = profile.full_profile(t.events.select("value", "event_type", "ts"))
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return p.select("column", "count", "unique_count", F.round("mean", 4).alias("mean"), size("histogram").alias("bins"), size("top_values").alias("tops"), F.round("imbalance_ratio", 6).alias("imbalance"))
+
+
+_INF = "(SELECT event_id, CASE WHEN event_id % 1000 = 7 THEN 'Infinity'::DOUBLE WHEN event_id % 1000 = 8 THEN 'NaN'::DOUBLE ELSE value END AS v, user_id AS w FROM events)"
+
+
+def _with_infinity(t):
+    v = F.when(F.col("event_id") % 1000 == 7, F.lit(float("inf"))).when(F.col("event_id") % 1000 == 8, F.lit(float("nan"))).otherwise(F.col("value"))
+    return t.events.select("event_id", v.alias("v"), F.col("user_id").cast("double").alias("w"))
+
+
+@query(
+    "e13_pearson_with_infinity",
+    "SELECT 'event_id' AS feature_a, 'w' AS feature_b, round(corr(event_id, user_id), 6) AS value FROM events UNION ALL SELECT 'event_id', 'v', NULL UNION ALL SELECT 'v', 'w', NULL",
+)
+def _(t):
+    return profile.correlation_pairs(_with_infinity(t), ["event_id", "v", "w"], fill=None).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "e9_histogram_with_infinity",
+    f"""SELECT 'v' AS feature, CAST(g.bin AS INT) AS bin, coalesce(n, 0) AS n FROM range(0, 10) g(bin) LEFT JOIN
+       (SELECT len(list_filter(range(1, 10), lambda i: v >= lo + i * ((hi - lo) / 10))) AS bin, count(*) AS n FROM (SELECT v FROM {_INF} WHERE isfinite(v)),
+        (SELECT min(v) AS lo, max(v) AS hi FROM {_INF} WHERE isfinite(v)) GROUP BY 1) h ON h.bin = g.bin""",
+)
+def _(t):
+    return profile.numeric_histogram(_with_infinity(t), ["v"], bins=10).select("feature", "bin", "n")

@@ -778,3 +778,53 @@ def _(t):
         ConsistencyRule("fine", "expression", ("o_totalprice",), "o_totalprice > 2000"),
     ]
     return brief(checks.run(t.orders, consistency.rule_checks(t.orders, rs)))
+
+
+@query(
+    "g8_data_errors",
+    all_of(
+        expect("divides", "", "error", "1", "(SELECT 1)", "1"),
+        expect("fine", "", "error", n_if("NOT o_totalprice > 2000"), "orders"),
+        expect("lost", "", "error", "1", "(SELECT 1)", "1"),
+        expect("customers", "o_custkey", "error", n_if("o_custkey NOT IN (SELECT s_suppkey FROM supplier)"), "orders"),
+        expect("listed", "o_orderstatus", "error", n_if("o_orderstatus <> 'F'"), "orders"),
+        expect("mismatch", "o_totalprice", "error", "0", "(SELECT 1)", "0"),
+        expect("allowed_values", "o_orderkey", "error", "count(o_orderkey)", "orders"),
+    ),
+)
+def _(t):
+    """Errors that only a value raises, wrong types, a NULL in a list and a table that is not there stay in their checks."""
+    cfg = engine.QualityConfig(
+        run=("schema", "consistency", "rules"),
+        contract={"columns": [{"name": "o_orderkey", "dtype": "string", "allowed_values": ["A", "B"]}], "allow_extra_columns": True},
+        consistency=[
+            ConsistencyRule("divides", "expression", (), "1 / (o_orderkey % 2) >= 0"),
+            ConsistencyRule("fine", "expression", ("o_totalprice",), "o_totalprice > 2000"),
+            ConsistencyRule("lost", "referential", ("o_custkey",), parameters={"reference_table": "nowhere", "reference_column": "x"}),
+            ConsistencyRule("customers", "referential", ("o_custkey",), parameters={"reference_table": "supplier", "reference_column": "s_suppkey"}),
+        ],
+        rules=[
+            Rule("listed", "in_list", "o_orderstatus", severity="error", parameters={"values": ["F", None]}),
+            Rule("mismatch", "conditional", "o_totalprice", severity="error", parameters={"condition_column": "o_orderkey", "condition_value": "abc", "target_rule": "range", "target_parameters": {"min": 0}}),
+        ],
+        tables={"supplier": t.supplier},
+    )
+    names = ["divides", "fine", "lost", "customers", "listed", "mismatch", "allowed_values"]
+    return brief(engine.quality_run(t.orders, cfg).where(F.col("check").isin(names)))
+
+
+_INF = "(SELECT event_id, CASE WHEN event_id % 1000 = 7 THEN 'Infinity'::DOUBLE WHEN event_id % 1000 = 8 THEN 'NaN'::DOUBLE ELSE value END AS v, value AS w FROM events)"
+
+
+def _with_infinity(t):
+    v = F.when(F.col("event_id") % 1000 == 7, F.lit(float("inf"))).when(F.col("event_id") % 1000 == 8, F.lit(float("nan"))).otherwise(F.col("value"))
+    return t.events.select("event_id", v.alias("v"), F.col("value").alias("w"))
+
+
+@query(
+    "a4_outliers_with_infinity",
+    expect("outliers_zscore", "v", "warning", "count(*) FILTER (WHERE NOT isnan(v) AND (isinf(v) OR abs((v - m) / s) > 3))", f"{_INF}, (SELECT avg(v) AS m, stddev_pop(v) AS s FROM {_INF} WHERE isfinite(v))", "count(*) FILTER (WHERE NOT isnan(v))"),
+)
+def _(t):
+    df = _with_infinity(t)
+    return brief(checks.run(df, accuracy.outlier_checks(df, ["v"])))

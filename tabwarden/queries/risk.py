@@ -180,6 +180,17 @@ def _(t):
     return stratified_split(t.orders, "o_orderstatus", "o_orderkey").groupBy("o_orderstatus", "side").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query(
+    "s7_stratified_split_many_classes",
+    f"""SELECT c, CASE WHEN rn <= round(0.2 * n) THEN 'test' ELSE 'train' END AS side, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM
+       (SELECT *, row_number() OVER (PARTITION BY c ORDER BY {_HASH.format(k="o_orderkey")}) AS rn, count(*) OVER (PARTITION BY c) AS n FROM
+        (SELECT o_orderkey, o_custkey % 5000 AS c FROM orders)) GROUP BY 1, 2""",
+)
+def _(t):
+    df = t.orders.withColumn("c", F.col("o_custkey") % 5000)
+    return stratified_split(df, "c", "o_orderkey").groupBy("c", "side").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query(
     "i5_stratified_folds",
     f"""SELECT o_orderstatus, CAST((rn > round(0.2 * n))::INT + (rn > round(0.4 * n))::INT + (rn > round(0.6 * n))::INT + (rn > round(0.8 * n))::INT AS INT) AS fold, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM

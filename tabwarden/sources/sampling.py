@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwarden.functions.expr import md5_order
-from tabwarden.functions.selection import order_statistics
 from tabwarden.functions.types import clean, col
 
 HASH_DIGITS = 15  # 60 bits
-MAX_CLASSES = 1_000
+#: Rows of a class in one slice of the hash range, about, if the table were one class.
+SLICE_ROWS = 100_000
+#: Up to so many cut lists (16 bytes for each class and share) are broadcast.
+BROADCAST_CLASSES = 100_000
 
 
 def key_hash(key: str) -> Column:
@@ -30,35 +33,45 @@ def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(md5_order(key), col(key)).limit(n)
 
 
-def _class_sizes(df: DataFrame, target: str) -> list[tuple[object, int]]:
-    rows = df.groupBy(clean(df, target).alias("v")).agg(F.count("*").alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes; it cannot be stratified")
-    return [(r["v"], r["n"]) for r in rows]
+def _cuts(rows: DataFrame, shares: Sequence[float], total: int) -> DataFrame:
+    """(class, cuts): for each class the hash at the end of each share, -1 for an empty one. ``rows`` are (class, h).
+
+    The hashes of a class fall evenly into slices of the hash range, so counting the slices tells which
+    one holds a cut, and only that one is put in order.
+    """
+    slices = max(1, math.ceil(total / SLICE_ROWS))
+    sliced = rows.withColumn("slice", F.floor(F.col("h").cast("double") / float(16**HASH_DIGITS) * slices))
+    of_class = Window.partitionBy("class")
+    counted = sliced.groupBy("class", "slice").agg(F.count("*").alias("n")).withColumns({
+        "upto": F.sum("n").over(of_class.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)),
+        "size": F.sum("n").over(of_class),
+    })
+    wanted = F.array(*[F.struct(F.lit(j).alias("j"), F.bround(F.lit(float(s)) * F.col("size")).cast("long").alias("k")) for j, s in enumerate(shares)])
+    spots = counted.select("class", "slice", "upto", "n", F.explode(wanted).alias("w")).select("class", "slice", "w.j", "w.k", (F.col("w.k") - F.col("upto") + F.col("n")).alias("r"), "n", "upto")
+    inside = spots.where((F.col("r") >= 1) & (F.col("r") <= F.col("n")))
+    held = inside.groupBy(F.col("class").alias("c"), F.col("slice").alias("s")).agg(F.collect_list(F.struct("j", "r")).alias("spots"))
+    place = F.row_number().over(Window.partitionBy("class", "slice").orderBy("h"))
+    found = sliced.join(held, sliced["class"].eqNullSafe(F.col("c")) & (sliced["slice"] == F.col("s"))).withColumn("place", place)
+    found = found.select("class", "place", "h", F.explode("spots").alias("x")).where("place = x.r").select("class", F.col("x.j").alias("j"), "h")
+    classes = counted.select("class").distinct().withColumn("h", F.lit(-1).cast("long")).withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(len(shares))])))
+    best = found.unionByName(classes).groupBy("class", "j").agg(F.max("h").alias("h"))
+    ordered = F.array_sort(F.collect_list(F.struct("j", "h")))
+    return best.groupBy("class").agg(ordered["h"].alias("cuts"))
 
 
 def stratified_parts(df: DataFrame, target: str, key: str, shares: Sequence[float], out: str = "part") -> DataFrame:
     """Number the rows of each class 0..k by cumulative ``shares`` of its key hashes.
 
-    The cut points are exact order statistics per class, found without sorting,
-    so each part has its exact share of every class and adding the column needs
-    no window and no shuffle.
+    Each part has its exact share of every class, for any number of classes. The cut points are one row
+    per class; up to BROADCAST_CLASSES of them reach the rows without a shuffle, more by a join that
+    Spark splits where a class is large.
     """
-    h = key_hash(key)
-    v = clean(df, target)
-    classes = _class_sizes(df, target)
-    same = {i: (v.isNull() if c is None else v == F.lit(c)) for i, (c, _) in enumerate(classes)}
-    hashed = {str(i): F.when(same[i], h) for i in same}
-    wanted = {str(i): [max(round(s * n), 0) for s in shares] for i, (_, n) in enumerate(classes)}
-    ranks = {i: [k - 1 for k in ks if k > 0] for i, ks in wanted.items()}
-    at = order_statistics(df, hashed, ranks)
-    part = None
-    for i in same:
-        number = F.lit(0)
-        for k in wanted[str(i)]:
-            number = number + (F.lit(1) if k <= 0 else (h > F.lit(int(at[str(i), k - 1]))).cast("int"))
-        part = F.when(same[i], number) if part is None else part.when(same[i], number)
-    return df.withColumn(out, part if part is not None else F.lit(0))
+    rows = df.select(clean(df, target).alias("class"), key_hash(key).alias("h"))
+    cuts = _cuts(rows, shares, df.count()).select(F.col("class").alias("__class"), F.col("cuts").alias("__cuts"))
+    few = rows.select("class").distinct().limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    joined = df.join(F.broadcast(cuts) if few else cuts, clean(df, target).eqNullSafe(F.col("__class")), "left")
+    number = F.aggregate("__cuts", F.lit(0), lambda acc, c: acc + (key_hash(key) > c).cast("int"))
+    return joined.withColumn(out, number).drop("__class", "__cuts")
 
 
 def stratified_split(df: DataFrame, target: str, key: str, test_size: float = 0.2, out: str = "side") -> DataFrame:

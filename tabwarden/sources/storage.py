@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_LOCAL: dict[str, str] = {}
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; on a local master without one, a temporary folder."""
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named.rstrip("/")
-    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="tabwarden-")
-    return _LOCAL[app]
+    """The folder the cluster names for checkpoints, else its warehouse; all executors see either."""
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get(WAREHOUSE_CONF).rstrip('/')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -35,6 +24,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the layout survives lost executors and is read, not recomputed."""
     sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
