@@ -36,6 +36,19 @@ def label_codes(df: DataFrame, column: str, out: str, max_rows: int = MAX_DISTIN
     return joined.withColumn(out, F.coalesce("__c", F.lit(-1).cast("long"))).drop("__v", "__c")
 
 
+def class_codes(df: DataFrame, target: str, out: str) -> DataFrame:
+    """The rows with a target, and its class as a 0-based code that tells MLlib the number of classes.
+
+    A missing text label is a class of its own; rows with a missing numeric target are left out.
+    """
+    known = df.where(clean(df, target).isNotNull()) if target in numeric_columns(df) else df
+    coded = label_codes(known, target, out)
+    low, high = coded.agg(F.min(out), F.max(out)).first()
+    count = 0 if low is None else high - min(low, 0) + 1
+    code = (F.col(out) - F.lit(min(low or 0, 0))).cast("double")
+    return coded.withColumn(out, code.alias(out, metadata={"ml_attr": {"type": "nominal", "num_vals": max(int(count), 2)}}))
+
+
 def numeric_target(df: DataFrame, target: str, out: str = "__target") -> tuple[DataFrame, Column]:
     """The target as a double: itself when numeric, else its label code (missing -1)."""
     if target in numeric_columns(df):

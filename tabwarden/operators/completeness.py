@@ -157,25 +157,25 @@ def co_missing_pairs(
     """Pairs of columns whose missing rows overlap (Jaccard above threshold).
 
     Rows are first collapsed to their distinct missingness masks with counts;
-    pairs are then formed over the few masks, not over the rows.
+    pairs are then formed over the missing columns of the masks, not over the rows.
     """
     known, _ = split_columns(df, columns, ())
     flags = [clean(df, c).isNull().alias(f"f{i}") for i, c in enumerate(known)]
     masks = df.select(*flags).groupBy(*[f"f{i}" for i in range(len(known))]).agg(F.count("*").alias("n"))
-    pairs = [(i, j) for i in range(len(known)) for j in range(i + 1, len(known))]
-    if not pairs:
+    if len(known) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, both_missing long, either_missing long, jaccard double")
-    entries = F.array(*[F.struct(F.col(f"f{i}").alias("a"), F.col(f"f{j}").alias("b")) for i, j in pairs])
-    rows = masks.select("n", F.posexplode(entries).alias("g", "e")).select("n", "g", "e.a", "e.b")
-    count = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    a, b = F.col("a"), F.col("b")
-    per = rows.groupBy("g").agg(
-        count(a & b).alias("both_missing"), count(a | b).alias("either_missing"),
-        ((count(a) > 0) & (count(b) > 0) & (F.sum("n") >= min_rows)).alias("eligible"),
-    )
-    table = df.sparkSession.createDataFrame([(g, known[i], known[j]) for g, (i, j) in enumerate(pairs)], "g int, column_a string, column_b string")
-    out = per.join(F.broadcast(table), "g")
+    holes = F.array_compact(F.array(*[F.when(F.col(f"f{i}"), F.lit(i)) for i in range(len(known))]))
+    missing = masks.select("n", holes.alias("holes"))
+    total, *alone = masks.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum(F.when(F.col(f"f{i}"), F.col("n"))), F.lit(0)) for i in range(len(known))]).first()
+    if total < min_rows:
+        missing = missing.limit(0)
+    # only pairs missing together in a mask are formed; the rest of a union follows from the columns' own counts
+    both = missing.select("n", "holes", F.explode("holes").alias("i")).select("n", "i", F.explode(F.filter("holes", lambda j: j > F.col("i"))).alias("j"))
+    per = both.groupBy("i", "j").agg(F.sum("n").alias("both_missing"))
+    table = F.broadcast(df.sparkSession.createDataFrame([(i, c, int(k)) for i, (c, k) in enumerate(zip(known, alone))], "i int, name string, k long"))
+    side = lambda i, c, k: table.select(F.col("i").alias(i), F.col("name").alias(c), F.col("k").alias(k))
+    out = per.join(side("i", "column_a", "ka"), "i").join(side("j", "column_b", "kb"), "j").withColumn("either_missing", F.col("ka") + F.col("kb") - F.col("both_missing"))
     jaccard = F.try_divide(F.col("both_missing").cast("double"), F.col("either_missing").cast("double"))
-    return out.where("eligible").select("column_a", "column_b", "both_missing", "either_missing", F.round(jaccard, 4).alias("jaccard"), jaccard.alias("j")).where(
+    return out.select("column_a", "column_b", "both_missing", "either_missing", F.round(jaccard, 4).alias("jaccard"), jaccard.alias("j")).where(
         F.col("j") > threshold
     ).drop("j")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwarden.functions.expr import ratio
+from tabwarden.functions.expr import ratio, value_identity
 from tabwarden.functions.longform import long_values, names_table, with_bin
 from tabwarden.functions.ordering import running_totals, value_buckets
 from tabwarden.functions.selection import exact_quantiles
@@ -211,9 +211,11 @@ def df_of_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def category_counts(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, n0, n1) of categorical columns over both tables, one shuffle."""
+    """(feature, value, n0, n1) of categorical columns over both tables, one shuffle; a value is its 128-bit identity."""
     def one(df: DataFrame, side: int) -> DataFrame:
-        entries = [F.struct(F.lit(c).alias("feature"), clean(df, c).cast("string").alias("value"), F.lit(side).alias("side")) for c in columns]
+        value = {c: clean(df, c).cast("string") for c in columns}
+        known = lambda v: F.when(v.isNotNull(), value_identity(v, True))
+        entries = [F.struct(F.lit(c).alias("feature"), known(value[c]).alias("value"), F.lit(side).alias("side")) for c in columns]
         return df.select(F.inline(F.array(*entries))).where("value is not null")
 
     rows = one(ref, 0).unionByName(one(cur, 1))

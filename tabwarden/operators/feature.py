@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.functions.labels import numeric_target
+from tabwarden.functions.labels import class_codes
 from tabwarden.functions.types import as_double, atomic_columns, clean, numeric_columns
 from tabwarden.operators import leakage
 from tabwarden.operators.profile import column_base
@@ -56,17 +56,16 @@ def feature_importance(df: DataFrame, target: str, trees: int = TREES, depth: in
     names = numeric_columns(df, [target])
     if len(names) < 2:
         return None
-    coded, y = numeric_target(df, target)
-    prepared = coded.select(*[F.coalesce(as_double(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)], y.alias("y")).where("y is not null")
     numeric = target in numeric_columns(df)
     distinct = df.select(clean(df, target).alias("v")).where("v is not null").distinct().limit(MAX_CLASSES + 1).count() if numeric else 0
     vector = VectorAssembler(inputCols=[f"x{i}" for i in range(len(names))], outputCol="features")
+    features = [F.coalesce(as_double(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)]
     if distinct > MAX_CLASSES:
         model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, labelCol="y")
+        prepared = df.select(*features, as_double(df, target).alias("y")).where("y is not null")
     else:
-        least = prepared.agg(F.min("y")).first()[0] or 0.0
-        prepared = prepared.withColumn("y", F.col("y") - F.lit(min(least, 0.0)))  # labels start at 0
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="y")
+        prepared = class_codes(df, target, "__y").select(*features, F.col("__y").alias("y"))
     fitted = model.fit(vector.transform(prepared).select("features", "y"))
     found = [(c, float(w)) for c, w in zip(names, fitted.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(found, "feature string, importance double")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.functions.expr import ratio
-from tabwarden.functions.labels import numeric_target
+from tabwarden.functions.labels import class_codes
 from tabwarden.functions.ordering import running_totals, value_buckets
 from tabwarden.functions.types import as_double, col, numeric_columns
 from tabwarden.operators import risk
@@ -83,27 +83,26 @@ def _model(kind: str, width: int, rows: int) -> Pipeline:
 
 def _prepared(df: DataFrame, columns: Sequence[str], target: str, key: str) -> DataFrame:
     """Features with missing values as 0, a 0-based label, the split and the folds."""
-    coded, y = numeric_target(df, target)
-    least = coded.agg(F.min(y)).first()[0] or 0.0
-    flat = coded.select(
-        *[F.coalesce(as_double(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)], (y - F.lit(min(least, 0.0))).alias("label"), col(key).alias("key")
-    ).where("label is not null")
-    split = stratified_split(flat, "label", "key", TEST_SIZE)
-    return split
+    coded = class_codes(df, target, "__label")
+    flat = coded.select(*[F.coalesce(as_double(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)], F.col("__label").alias("label"), col(key).alias("key"))
+    return stratified_split(flat, "label", "key", TEST_SIZE)
 
 
 def evaluate(prepared: DataFrame, width: int, kind: str = "random_forest", folds: int = FOLDS) -> dict[str, float]:
     """Metrics of a model on the test side and its cross-validated accuracy on the train side."""
+    prepared = prepared.persist()  # read by every fit
     train, test = prepared.where("side = 'train'"), prepared.where("side = 'test'")
     model = _model(kind, width, train.count())
     predicted = model.fit(train).transform(test).withColumn("score", vector_to_array("probability")[1])
     out = classification_metrics(predicted).first().asDict()
     out["roc_auc"] = roc_auc(predicted).first()[0]
-    folded = stratified_folds(train, "label", "key", folds)
+    folded = stratified_folds(train, "label", "key", folds).persist()
     scores = []
     for k in range(folds):
         held = model.fit(folded.where(F.col("fold") != k)).transform(folded.where(F.col("fold") == k))
         scores.append(held.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0])
+    folded.unpersist()
+    prepared.unpersist()
     mean = sum(scores) / folds
     out["cv_accuracy_mean"] = mean
     out["cv_accuracy_std"] = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5

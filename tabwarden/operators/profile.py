@@ -190,10 +190,14 @@ def numeric_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins:
     return edge_table(df, edges).join(counts, ["feature", "bin"], "left").select("feature", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(feature, value, n) of all categorical columns, combined per task before the shuffle."""
+def value_counts(df: DataFrame, columns: Sequence[str] | None = None, texts: bool = True) -> DataFrame:
+    """(feature, value, n) of all categorical columns, combined per task before the shuffle.
+
+    Without ``texts`` a value is its 128-bit identity, so that long texts are counted without moving them.
+    """
     names = list(columns or categorical_columns(df))
-    entries = [F.struct(F.lit(c).alias("feature"), clean(df, c).cast("string").alias("value")) for c in names]
+    value = lambda c: clean(df, c).cast("string")
+    entries = [F.struct(F.lit(c).alias("feature"), (value(c) if texts else F.when(value(c).isNotNull(), value_identity(value(c), True))).alias("value")) for c in names]
     return df.select(F.inline(F.array(*entries))).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
@@ -209,7 +213,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
 
 def category_balance(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per categorical column: distinct values and most to least frequent ratio."""
-    return value_counts(df, columns).groupBy("feature").agg(
+    return value_counts(df, columns, texts=False).groupBy("feature").agg(
         F.count("*").alias("categories"), F.max("n").alias("largest"), F.min("n").alias("smallest")
     ).select("*", (F.col("largest") / F.col("smallest")).alias("imbalance_ratio"))
 

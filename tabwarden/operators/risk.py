@@ -17,6 +17,7 @@ from tabwarden.functions.labels import numeric_target
 from tabwarden.functions.longform import long_values
 from tabwarden.functions.ordering import order_buckets
 from tabwarden.functions.selection import class_counts, order_statistics
+from tabwarden.sources.storage import checkpointed
 from tabwarden.functions.types import as_double, as_timestamp, col, micros, numeric_columns
 from tabwarden.operators.profile import column_base, pair_moments
 from tabwarden.plans.schemas import DEFAULTS, RISK_RANK
@@ -134,10 +135,9 @@ def association(table: DataFrame, rows: Column | int) -> DataFrame:
 
     Empty cells need no filling: chi2 = n * (sum of o^2 / (row * column) - 1).
     """
-    by = lambda *k: Window.partitionBy("feature", *k)
-    cells = table.select(
-        "feature", "bin", "cls", "n", F.sum("n").over(by("bin")).alias("r"), F.sum("n").over(by("cls")).alias("c"), F.sum("n").over(by()).alias("t")
-    )
+    table = checkpointed(table)
+    sums = lambda name, *k: table.groupBy("feature", *k).agg(F.sum("n").alias(name))
+    cells = table.join(sums("c", "cls"), ["feature", "cls"]).join(sums("r", "bin"), ["feature", "bin"]).join(sums("t"), "feature")
     n = F.col("n").cast("double")
     per = cells.groupBy("feature").agg(
         (F.max("t") * (F.sum(n * n / (F.col("r").cast("double") * F.col("c"))) - 1)).alias("chi2"),

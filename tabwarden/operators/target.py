@@ -52,13 +52,14 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str] | None
     edges = {g: sorted(set(cuts[c] or [])) for g, c in enumerate(names)}
     rows = with_bin(long_values(df, [v[c] for c in names], [target_classes(df, target, bins).alias("y")]), edges, "x")
     joint = rows.groupBy("g", "x", "y").agg(F.count("*").alias("n")).join(F.broadcast(names_table(df, names)), "g")
-    by = lambda *k: Window.partitionBy("feature", *k)
-    n, nx, ny, total = F.col("n"), F.sum("n").over(by("x")), F.sum("n").over(by("y")), F.sum("n").over(by())
-    cells = joint.select("feature", "n", nx.alias("nx"), ny.alias("ny"), total.alias("total"))
-    p = n / F.col("total")
-    mi = F.sum(p * F.log(n.cast("double") * F.col("total") / (F.col("nx").cast("double") * F.col("ny"))))
-    h = -F.sum(p * F.log(F.col("ny") / F.col("total")))
-    per = cells.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"), h.alias("h"))
+    sets = [[F.col("feature"), F.col("x"), F.col("y")], [F.col("feature"), F.col("x")], [F.col("feature"), F.col("y")], [F.col("feature")]]
+    sums = joint.groupingSets(sets, "feature", "x", "y").agg(F.sum("n").cast("double").alias("n"), F.grouping("x").alias("no_x"), F.grouping("y").alias("no_y"))
+    over = lambda no_x, no_y: F.sum(F.when((F.col("no_x") == no_x) & (F.col("no_y") == no_y), F.col("n") * F.log("n")))
+    total = F.max("n")
+    # n ln n summed over the cells, the bins, the classes and the whole give both entropies; no group holds the classes of a feature.
+    mi = (over(0, 0) - over(0, 1) - over(1, 0) + over(1, 1)) / total
+    h = (over(1, 1) - over(1, 0)) / total
+    per = sums.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"), F.greatest(h, F.lit(0.0)).alias("h"))
     top = F.max("mi").over(Window.partitionBy(F.lit(0)))  # one row per feature
     return per.select(
         "feature", "mi", F.coalesce(ratio(F.col("mi"), F.col("h")), F.lit(0.0)).alias("target_share"), F.coalesce(ratio(F.col("mi"), top), F.lit(0.0)).alias("normalized")
