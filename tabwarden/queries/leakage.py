@@ -184,10 +184,12 @@ def _(t):
     return temporal.time_order(t.events, "ts", "event_id")
 
 
+def net_periods(t):
+    return (df.withColumn("net_price", F.col("l_extendedprice") * (1 - F.col("l_discount"))) for df in periods(t))
+
+
 def split_run(t, **kw):
-    train, test = periods(t)
-    train, test = (df.withColumn("net_price", F.col("l_extendedprice") * (1 - F.col("l_discount"))) for df in (train, test))
-    return engine.leakage_run(train, test, engine.LeakageConfig(target="l_extendedprice", check_importance=False, **kw))
+    return engine.leakage_run(*net_periods(t), engine.LeakageConfig(target="l_extendedprice", check_importance=False, **kw))
 
 
 _RUN = f"""(SELECT 'contamination' AS detector, CASE WHEN (SELECT count(*) FROM (SELECT * EXCLUDE (l_extendedprice), l_extendedprice * (1 - l_discount) FROM {REF} INTERSECT SELECT * EXCLUDE (l_extendedprice), l_extendedprice * (1 - l_discount) FROM {CUR})) > 0 THEN 'detected' ELSE 'clean' END AS status
@@ -217,10 +219,21 @@ def _(t):
     return leakage.issues_by_type(found).withColumnRenamed("leakage_type", "entry").unionByName(leakage.recommendations(found).select(F.col("recommendation").alias("entry"), F.lit(0).cast("long").alias("issues")))
 
 
-@query("l19_fail_fast_run")
+@query("l17_quick_check", f"SELECT count(*) > 0 AS has_leakage FROM {_RUN} WHERE status = 'detected' AND detector <> 'contamination'")
+def _(t):
+    cfg = engine.LeakageConfig(target="l_extendedprice", check_importance=False, run=("target", "feature", "temporal"))
+    found = engine.quick_check(*net_periods(t), cfg)
+    return t.spark.createDataFrame([(found,)], "has_leakage boolean")
+
+
+@query(
+    "l19_fail_fast_run",
+    f"""WITH r AS (SELECT k, detector, status FROM {_RUN} JOIN (VALUES ('target', 1), ('feature', 2), ('temporal', 3)) AS o(detector, k) USING (detector))
+       SELECT detector, status FROM r WHERE k <= coalesce((SELECT min(k) FROM r WHERE status = 'detected'), 3)""",
+)
 def _(t):
     """Stops after the first detector that finds something."""
-    return leakage.detector_status(split_run(t, run=("target", "feature", "temporal"), fail_fast=True))
+    return leakage.detector_status(split_run(t, run=("target", "feature", "temporal"), fail_fast=True)).select("detector", "status")
 
 
 @query(

@@ -34,7 +34,7 @@ def test_registry_is_consistent():
     assert set(oracles) <= set(queries)
     without = (set(queries) - set(oracles)) & set(entry.QUERIES)
     assert without == {
-        "g7_fail_fast_run", "l9_feature_importance", "l18_issues_and_recommendations", "l19_fail_fast_run", "x10_x11_x12_risk_scores",
+        "l9_feature_importance", "l18_issues_and_recommendations", "x10_x11_x12_risk_scores",
         "n2_network_nodes", "i1_i2_impact_experiment", "s11_report_tables", "s12_experiment_report",
     }
 
