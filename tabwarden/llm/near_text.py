@@ -30,7 +30,7 @@ SAMPLES = 256
 SKETCH_WORDS = 16  # 1,024 bits
 #: Sketches may underrate a pair by this much similarity (over five deviations of 256 samples) before it is passed over.
 SLACK = 0.2
-TILE = 256
+TILE = 512
 #: Most rounds of checks against one representative; what they leave open is searched in tiles.
 ROUNDS = 8
 #: They end when fewer than one check in so many makes a link.
