@@ -79,7 +79,7 @@ def statistics_of(text: pa.StringArray) -> np.ndarray:
     blank = np.isin(_CLASS[raw], (3, 4))
     gaps = np.flatnonzero(np.concatenate((blank, [True])))
     bound = np.unique(np.concatenate((gaps, off)))
-    stretch = np.diff(bound)
+    stretch = np.diff(bound) - blank[np.minimum(bound[:-1], len(raw) - 1)] if len(raw) else np.diff(bound)
     which = np.searchsorted(off, bound[:-1], side="right") - 1
     longest = np.zeros(rows)
     np.maximum.at(longest, np.minimum(which, rows - 1), stretch)

@@ -58,7 +58,7 @@ def lexical(pages: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
-    share = F.expr("transform(array_distinct(split(_url, '')), c -> (length(_url) - length(replace(_url, c, ''))) / length(_url))")
+    share = F.expr("transform(array_distinct(split(_url, '')), c -> (length(_url) - length(replace(_url, c, ''))) / greatest(length(_url), 1))")
     out = pages.withColumns({"_url": url, "_query": query, "suffix": F.element_at(F.split("host", r"\."), -1)})
     return out.withColumns(
         {
