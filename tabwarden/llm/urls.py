@@ -17,6 +17,8 @@ from tabwarden.sources.storage import checkpointed
 
 #: Training reads about this many labelled URLs of each verdict.
 PER_VERDICT = 4_000
+#: The sample is that small that its many passes run in few tasks.
+SAMPLE_PARTITIONS = 8
 FEATURES = ("length", "host_length", "host_parts", "depth", "digit_share", "entropy", "parameters", "value_length", "hyphens", "encoded", "fragment", "secure", "suffix_share", "suffix_blocked")
 
 
@@ -103,7 +105,7 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
     share = F.when(F.col("label") == 1, min(1.0, per_verdict / bad)).otherwise(min(1.0, per_verdict / good))
     drawn = vectors.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)).select("features", "label")
-    model = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed).fit(checkpointed(drawn))
+    model = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed).fit(checkpointed(drawn.repartition(SAMPLE_PARTITIONS)))
     judged = model.transform(vectors)
     p = vector_to_array("probability")[1]
     return final(judged, F.when(p >= 0.5, "block").otherwise("allow"), p)
