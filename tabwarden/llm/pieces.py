@@ -2,9 +2,10 @@
 
 Text becomes a blank, then the text with blanks written as U+2581. Starting from single characters the
 best-scored pair of neighbours that forms a vocabulary piece is merged, leftmost first among equals,
-until none is left. With dropout a candidate is skipped for good when a keyed hash of (seed, variant,
-left piece, right piece, place) falls below the rate; each occurrence of a word draws its variant by a
-keyed hash of the document's id and its place there. Characters outside the vocabulary become byte
+until none is left. With dropout a candidate is skipped for good when a keyed hash of (seed, occurrence,
+left piece, right piece, place) falls below the rate; an occurrence is a word of a document, by the
+document's id and the word's place there, so each draws on its own. Occurrences share the merging as long
+as their draws agree, and part at the first that differs. Characters outside the vocabulary become byte
 pieces, a literal U+2581 too, so decoding gives back every text.
 """
 
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from tabwarden.llm.arrow import flat_chars, gathered, lists, mixed, slices
 
 BLANK = "▁"
-VARIANTS = 16
 #: Longer words take the heap instead of the matrix; the result is the same.
 MATRIX_CHARS = 40
-MATRIX_ROWS = 1 << 14
+#: Occurrences that are merged at once.
+MATRIX_ROWS = 1 << 16
 SLICE_BYTES = 1 << 22
 
 
@@ -59,6 +60,7 @@ class Vocabulary:
                 a, b = normal.get(p[:cut]), normal.get(p[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = i
+        self.pairs = pairs
         keys = np.array(sorted(pairs), np.int64)
         self.keys, self.merged = np.append(keys, np.iinfo(np.int64).max), np.array([*(pairs[k] for k in keys.tolist()), -1], np.int64)
 
@@ -74,54 +76,82 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _skipped(seed: int, rate: float, variant, left, right, place):
-    u = lambda x: np.asarray(x).astype(np.int64).astype(np.uint64)
+def _draw(seed: int, left, right, place) -> np.ndarray:
+    """The part of a candidate's hash that all occurrences share."""
+    u = lambda x: np.atleast_1d(x).astype(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        h = u(variant) * np.uint64(0x9E3779B97F4A7C15) + u(left) * np.uint64(0xC2B2AE3D27D4EB4F) + u(right) * np.uint64(0x165667B19E3779F9) + u(place) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
-        return mixed(np.atleast_1d(h)) <= np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+        return u(left) * np.uint64(0xC2B2AE3D27D4EB4F) + u(right) * np.uint64(0x165667B19E3779F9) + u(place) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
 
 
-def _merge_matrix(v: Vocabulary, sym: np.ndarray, variant: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge all rows of an (n, length) matrix of symbols to the end: final symbols, padded, and their numbers."""
-    n, length = sym.shape
-    final, sizes = np.zeros((n, length), np.int64), np.full(n, length)
-    rows = np.arange(n)
-    place = np.broadcast_to(np.arange(length), (n, length)).copy()
+def _skipped(rate: float, occurrence: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(occurrence * np.uint64(0x9E3779B97F4A7C15) + draw) <= np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
-    def candidates(left, right, var, at):
-        piece = v.joined(left, right)
-        rank = np.where(piece >= 0, v.scores[piece], -np.inf)
-        if rate > 0:
-            live = np.nonzero(piece >= 0)
-            drop = _skipped(seed, rate, var[live], left[live], right[live], at[live])
-            rank[tuple(x[drop] for x in live)] = -np.inf
-        return piece, rank
-
-    piece, rank = candidates(sym[:, :-1], sym[:, 1:], np.broadcast_to(variant[:, None], (n, length - 1)), place[:, :-1])
-    while len(rows):
-        width = sym.shape[1]
-        best = rank.argmax(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
-        done = rank[np.arange(len(rows)), best] == -np.inf if width > 1 else np.ones(len(rows), bool)
+
+def _merge_matrix(v: Vocabulary, sym: np.ndarray, node: np.ndarray, occurrence: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge occurrences of words of one length to the end: final symbols, padded, their numbers, and the row of each occurrence.
+
+    ``sym`` has a row for each word and ``node`` the row of each occurrence. A row is a state of merging; a
+    round merges or skips its best candidate, so it has up to two rows after it. Symbols from -2^31 up to
+    below 0 are characters outside the vocabulary.
+    """
+    length = sym.shape[1]
+    last = length - 1
+    sym = sym.astype(np.int32)
+    place = np.broadcast_to(np.arange(length, dtype=np.int16), sym.shape)
+    size = np.full(len(sym), length)
+
+    def candidates(left, right):
+        piece = v.joined(left.astype(np.int64), right.astype(np.int64))
+        return piece.astype(np.int32), np.where(piece >= 0, v.scores[piece], -np.inf)
+
+    piece, rank = candidates(sym[:, :-1], sym[:, 1:])
+    leaf, open_ = np.zeros(len(node), np.int64), np.arange(len(node))
+    finals, sizes, leaves = [], [], 0
+    while len(sym):
+        own = np.arange(len(sym))
+        best = rank.argmax(axis=1) if last else np.zeros(len(sym), np.int64)
+        done = rank[own, best] == -np.inf if last else np.ones(len(sym), bool)
         if done.any():
-            final[rows[done], :width], sizes[rows[done]] = sym[done], width
-            go = ~done
-            rows, variant, sym, place, piece, rank, best = rows[go], variant[go], sym[go], place[go], piece[go], rank[go], best[go]
-            if not len(rows):
+            finals.append(sym[done]), sizes.append(size[done])
+            name = leaves + np.cumsum(done) - 1
+            leaves += len(sizes[-1])
+            ends = done[node]
+            leaf[open_[ends]] = name[node[ends]]
+            open_, node, occurrence = open_[~ends], node[~ends], occurrence[~ends]
+            if not len(node):
                 break
-        own = np.arange(len(rows))
-        sym[own, best] = piece[own, best]
-        shift = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
-        sym, place = np.take_along_axis(sym, shift, 1), np.take_along_axis(place, shift, 1)
-        if width > 2:
-            gap = np.arange(width - 2) + (np.arange(width - 2) >= best[:, None])
-            piece, rank = np.take_along_axis(piece, gap, 1), np.take_along_axis(rank, gap, 1)
-            for ok, col in ((best > 0, best - 1), (best < width - 2, best)):
-                r, c = own[ok], col[ok]
-                piece[r, c], rank[r, c] = candidates(sym[r, c], sym[r, c + 1], variant[r], place[r, c])
-    return final, sizes
-
-
-def merge_word(v: Vocabulary, sym: list[int], variant: int, seed: int, rate: float) -> list[int]:
+        after = 2 * node
+        if rate > 0:
+            draw = _draw(seed, sym[own, best], sym[own, np.minimum(best + 1, last)], place[own, best])
+            after += _skipped(rate, occurrence, draw[node])
+        taken = np.zeros(2 * len(sym), bool)
+        taken[after] = True
+        node = (np.cumsum(taken) - 1)[after]
+        rows = np.flatnonzero(taken)
+        skip, rows = rows % 2 == 1, rows // 2
+        best = best[rows]
+        sym, place, piece, rank, size = sym[rows], place[rows], piece[rows], rank[rows], size[rows] - ~skip
+        rank[skip, best[skip]] = -np.inf
+        own = np.flatnonzero(~skip)
+        if not len(own):
+            continue
+        at = best[own]
+        joined = sym[own]
+        joined[np.arange(len(own)), at] = piece[own, at]
+        shift = np.minimum(np.arange(length) + (np.arange(length) > at[:, None]), last)
+        sym[own], place[own] = np.take_along_axis(joined, shift, 1), np.take_along_axis(place[own], shift, 1)
+        if last > 1:
+            gap = np.minimum(np.arange(last) + (np.arange(last) >= at[:, None]), last - 1)
+            piece[own], rank[own] = np.take_along_axis(piece[own], gap, 1), np.take_along_axis(rank[own], gap, 1)
+        rank[own, last - 1] = -np.inf
+        for ok, col in ((at > 0, at - 1), (at < size[own] - 1, at)):
+            r, c = own[ok], col[ok]
+            piece[r, c], rank[r, c] = candidates(sym[r, c], sym[r, c + 1])
+    return np.concatenate(finals), np.concatenate(sizes), leaf
+
+
+def merge_word(v: Vocabulary, sym: list[int], occurrence: np.uint64, seed: int, rate: float) -> list[int]:
     """One word by an agenda: a heap of candidates, best score first, then leftmost."""
     size = {i: s for i, s in enumerate(sym)}
     after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
@@ -130,7 +160,7 @@ def merge_word(v: Vocabulary, sym: list[int], variant: int, seed: int, rate: flo
     def offer(i: int) -> None:
         j = after[i]
         if j < len(sym) and size[i] >= 0 and size[j] >= 0:
-            piece = int(v.joined(np.array([size[i]]), np.array([size[j]]))[0])
+            piece = v.pairs.get(size[i] * v.size + size[j], -1)
             if piece >= 0:
                 heapq.heappush(agenda, (-v.scores[piece], i, size[i], size[j], piece))
 
@@ -141,7 +171,7 @@ def merge_word(v: Vocabulary, sym: list[int], variant: int, seed: int, rate: flo
         j = after[i] if i in size else len(sym)
         if j >= len(sym) or size[i] != a or size[j] != b:
             continue
-        if rate > 0 and _skipped(seed, rate, variant, a, b, i)[0]:
+        if rate > 0 and _skipped(rate, occurrence, _draw(seed, a, b, i))[0]:
             continue
         size[i] = piece
         del size[j]
@@ -162,27 +192,36 @@ def _chars(v: Vocabulary, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray
     return np.array(known, np.int64)[back] if len(chars) else np.zeros(0, np.int64), off
 
 
-def merge_words(v: Vocabulary, words: pa.StringArray, pick: np.ndarray, variants: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of ``words[pick]`` with the given variants, ragged."""
-    sym, off = gathered(*_chars(v, words), pick)
+def merge_words(v: Vocabulary, words: pa.StringArray, pick: np.ndarray, occurrences: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the outcomes of ``words[pick]``, ragged, and the outcome of each of ``pick``. Without dropout a word has one."""
+    sym, off = _chars(v, words)
     lens = np.diff(off)
-    parts, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for length in np.unique(lens[lens > 0]).tolist():
-        same = np.flatnonzero(lens == length)
+    parts, owner, outcome, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(pick), np.int64), 1
+    order = np.argsort(pick, kind="stable")
+    order = order[np.argsort(np.minimum(lens, MATRIX_CHARS + 1).astype(np.int16)[pick[order]], kind="stable")]
+    sizes_of = np.minimum(lens[pick[order]], MATRIX_CHARS + 1)
+    for length in np.unique(sizes_of[sizes_of > 0]).tolist():
+        same = order[np.searchsorted(sizes_of, length) : np.searchsorted(sizes_of, length, side="right")]
         if length > MATRIX_CHARS:
+            before = -1
             for i in same.tolist():
-                ids = merge_word(v, sym[off[i] : off[i + 1]].tolist(), int(variants[i]), seed, rate)
-                parts.append(np.array(ids, np.int64))
-                owner.append(np.full(len(ids), i))
+                if rate > 0 or pick[i] != before:
+                    before = pick[i]
+                    ids = merge_word(v, sym[off[before] : off[before + 1]].tolist(), occurrences[i], seed, rate)
+                    parts.append(np.array(ids, np.int64))
+                    owner.append(np.full(len(ids), count))
+                    count += 1
+                outcome[i] = count - 1
             continue
         for at in range(0, len(same), MATRIX_ROWS):
             some = same[at : at + MATRIX_ROWS]
-            final, sizes = _merge_matrix(v, sym[off[some][:, None] + np.arange(length)], variants[some], seed, rate)
-            parts.append(final[np.arange(length) < sizes[:, None]])
-            owner.append(np.repeat(some, sizes))
+            new = np.concatenate(([True], pick[some][1:] != pick[some][:-1]))
+            final, sizes, leaf = _merge_matrix(v, sym[off[pick[some][new]][:, None] + np.arange(length)], np.cumsum(new) - 1, occurrences[some], seed, rate)
+            parts.append(final[np.arange(length) < sizes[:, None]].astype(np.int64))
+            owner.append(np.repeat(count + np.arange(len(sizes)), sizes))
+            outcome[some] = count + leaf
+            count += len(sizes)
     flat, own = np.concatenate(parts), np.concatenate(owner)
-    order = np.argsort(own, kind="stable")
-    flat, own = flat[order], own[order]
     unknown = np.flatnonzero(flat < 0)
     if len(unknown):
         spelt = [v.bytes[np.frombuffer(chr(-1 - c).encode(), np.uint8)] for c in flat[unknown].tolist()]
@@ -191,22 +230,19 @@ def merge_words(v: Vocabulary, words: pa.StringArray, pick: np.ndarray, variants
         first = np.cumsum(times) - times
         flat, own = np.repeat(flat, times), np.repeat(own, times)
         flat[np.concatenate([first[i] + np.arange(len(s)) for i, s in zip(unknown.tolist(), spelt)])] = np.concatenate(spelt)
-    return flat.astype(np.int32), np.searchsorted(own, np.arange(len(pick) + 1))
+    return flat.astype(np.int32), np.searchsorted(own, np.arange(count + 1)), outcome
 
 
 def _encode_words(v: Vocabulary, words: pa.StringArray, counts: np.ndarray, names: np.ndarray, seed: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of rows given as words with their leading blanks, ``counts`` words each."""
     coded = words.dictionary_encode()
     ends = np.cumsum(counts)
+    occurrence = np.zeros(len(words), np.uint64)
     if rate > 0:
         ordinal = np.arange(len(words)) - np.repeat(ends - counts, counts)
-        h = np.repeat(names, counts) + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        variant = (mixed(h) % np.uint64(VARIANTS)).astype(np.int64)
-    else:
-        variant = np.zeros(len(words), np.int64)
-    cases, back = np.unique(coded.indices.to_numpy().astype(np.int64) * VARIANTS + variant, return_inverse=True)
-    flat, off = merge_words(v, coded.dictionary, cases // VARIANTS, cases % VARIANTS, seed, rate)
-    ids, at = gathered(flat, off, back)
+        occurrence = mixed(np.repeat(names, counts) + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    flat, off, outcome = merge_words(v, coded.dictionary, coded.indices.to_numpy().astype(np.int64), occurrence, seed, rate)
+    ids, at = gathered(flat, off, outcome)
     return ids, at[np.concatenate(([0], ends))]
 
 

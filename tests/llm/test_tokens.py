@@ -95,6 +95,10 @@ def test_packed_documents(spark, given_texts):
     assert again.count() == 3
 
 
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+PIECE_IDS = {LIBRARY.id_to_piece(i): i for i in range(LIBRARY.get_piece_size())}
+
+
 def encoded(texts, rate, seed=1):
     v = pieces.vocabulary(PIECES)
     flat, off = pieces.encode_rows(v, pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), seed, rate)
@@ -137,6 +141,31 @@ def test_dropout_varies_with_seed_place_and_document(given_texts):
     assert len(encoded([text], 1.0)[1]) == len(text) + 1
 
 
+def test_each_occurrence_draws_its_own_dropout():
+    word, rate, n = "thanedble", 0.1, 20_000
+    v, flat, off = encoded([" ".join([word] * 200)] * (n // 200), rate)
+    cut = np.flatnonzero(np.isin(flat, [i for p, i in PIECE_IDS.items() if p.startswith(pieces.BLANK)]))
+    seen = {tuple(x.tolist()) for x in np.split(flat, cut[1:])}
+    assert len(cut) == n and len(seen) > 16
+
+    # every (pair, place) is skipped at about the rate, none never and none in whole sixteenths
+    occurrence = pieces.mixed(np.arange(n, dtype=np.uint64))
+    pairs = np.random.default_rng(1).integers(0, v.size, (300, 2))
+    shares = [pieces._skipped(rate, occurrence, pieces._draw(1, a, b, place)).mean() for place, (a, b) in enumerate(pairs.tolist())]
+    assert 0.085 < min(shares) and max(shares) < 0.115
+
+
+def test_first_merge_is_skipped_at_the_rate():
+    """A word of two characters that form a piece comes apart in about ``rate`` of its occurrences."""
+    v = pieces.vocabulary(PIECES)
+    letters = [p[1] for p in PIECE_IDS if len(p) == 2 and p[0] == pieces.BLANK and p[1].isascii() and p[1].isalpha()]
+    assert len(letters) >= 5
+    for c in letters:
+        _, flat, _ = encoded([" ".join([c] * 500)] * 20, 0.1)
+        apart = np.count_nonzero(flat == v.single[pieces.BLANK]) / 10_000
+        assert 0.085 < apart < 0.115, (c, apart)
+
+
 def test_encode_and_decode_frames(spark, given_texts):
     texts = ODD + given_texts[:50]
     df = spark.createDataFrame([(i, t, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, ids int")
