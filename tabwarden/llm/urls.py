@@ -2,11 +2,13 @@
 
 A rule is a host with an optional path prefix; it fits its host and all subdomains, and the longest
 fitting rule decides. URLs that a rule decides are the labelled ones: trees fitted on a bounded sample
-of them judge all others.
+of the distinct ones judge all others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tabwarden.sources.storage import checkpointed
 
-#: Training reads about this many labelled URLs of each verdict.
+#: Training reads at most this many distinct labelled URLs of each verdict.
 PER_VERDICT = 4_000
+#: More than the error of the estimated number of distinct URLs.
+MARGIN = 1.5
 #: The sample is that small that its many passes run in few tasks.
 SAMPLE_PARTITIONS = 8
 FEATURES = ("length", "host_length", "host_parts", "depth", "digit_share", "entropy", "parameters", "value_length", "hyphens", "encoded", "fragment", "secure", "suffix_share", "suffix_blocked")
@@ -80,6 +84,23 @@ def lexical(pages: DataFrame) -> DataFrame:
     ).drop("_url", "_query")
 
 
+def bounded_sample(rows: DataFrame, per_verdict: int) -> DataFrame:
+    """The first ``per_verdict`` distinct URLs of each label by a hash of the URL, or all if there are fewer.
+
+    All columns but _id must follow from the URL. Hashes under a bound, from the estimated number of
+    distinct URLs, are made distinct; copies of a URL fall together before the shuffle.
+    """
+    labelled = rows.where(F.col("label").isNotNull())
+    distinct = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
+    order = F.shiftrightunsigned(F.xxhash64("url"), 11)
+    parts = []
+    for label, n in sorted(distinct.items()):
+        bound = int(min(1.0, MARGIN * max(per_verdict, 100) / max(n, 1)) * (1 << 53))
+        urls = labelled.where((F.col("label") == label) & (order < F.lit(bound))).drop("_id").distinct()
+        parts.append(urls.orderBy(order, "url").limit(per_verdict))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", per_verdict: int = PER_VERDICT, rounds: int = 12, seed: int = 5) -> DataFrame:
     """One row per page: ``id_col``, host, path, rule, verdict, score (chance of block; null where a rule decides).
 
@@ -101,10 +122,9 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
         return final(rows, F.lit("block" if bad else "allow"), F.lit(1.0 if bad else 0.0))
     rate = bad / (good + bad)
     stats = checkpointed(stats.select("suffix", (F.col("n") / float(total["n"])).alias("suffix_share"), ((F.col("bad") + rate * 10) / (F.col("known") + 10)).alias("suffix_blocked")))
-    full = rows.join(stats, "suffix")
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
-    share = F.when(F.col("label") == 1, min(1.0, per_verdict / bad)).otherwise(min(1.0, per_verdict / good))
-    drawn = vectors.where(F.col("label").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)).select("features", "label")
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    drawn = assembler.transform(bounded_sample(rows, per_verdict).join(stats, "suffix")).select("features", "label")
+    vectors = assembler.transform(rows.join(stats, "suffix"))
     model = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed).fit(checkpointed(drawn.repartition(SAMPLE_PARTITIONS)))
     judged = model.transform(vectors)
     p = vector_to_array("probability")[1]

@@ -183,3 +183,23 @@ def test_urls_learn_from_the_rules(spark):
     rows += [(500, "http://new.org/b"), (501, f"http://new.org/es/{'8' * 20}?a=1&b=1&c=3")]
     out = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), queries.URL_RULES).collect()}
     assert (out[500], out[501]) == ("allow", "block")
+
+
+def test_training_urls_are_distinct_and_bounded(spark):
+    """A URL on many pages counts once and does not push the others of its verdict out of the sample."""
+    hot = "http://hot.net/es/x"
+    rows = [(hot, 1.0)] * 20_000 + [(f"http://h{i}.net/es/{i}", 1.0) for i in range(2_000)] + [(f"http://h{i}.com/{i}", 0.0) for i in range(300)] + [("http://new.org", None)]
+    df = spark.createDataFrame(rows, "url string, label double").repartition(4)
+    drawn = [tuple(r) for r in urls.bounded_sample(df, 400).collect()]
+    assert len(drawn) == len(set(drawn)) == 700 and sum(y for _, y in drawn) == 400
+    assert sorted(drawn) == sorted(tuple(r) for r in urls.bounded_sample(df.distinct(), 400).collect())
+
+
+def test_a_frequent_blocked_url_does_not_hide_the_others(spark):
+    """200,000 copies of one blocked URL beside 300 other blocked ones: an undecided URL like those is still blocked."""
+    rows = spark.range(300).selectExpr("id", "concat('http://h', id, '.com/a') AS url")
+    rows = rows.unionByName(spark.range(300).selectExpr("id + 1000 AS id", "concat('http://k', id, '.net/es/', repeat('9', 20), '?a=', id, '&b=1&c=2') AS url"))
+    rows = rows.unionByName(spark.range(200_000).selectExpr("id + 10000 AS id", "'http://hot.net/es/x' AS url"))
+    rows = rows.unionByName(spark.createDataFrame([(5000, "http://new.org/b"), (5001, f"http://new.org/es/{'8' * 20}?a=1&b=1&c=3")], "id bigint, url string"))
+    out = urls.judge(rows.withColumnRenamed("id", "page_id"), queries.URL_RULES, per_verdict=100).where("page_id in (5000, 5001)")
+    assert {r.page_id: r.verdict for r in out.collect()} == {5000: "allow", 5001: "block"}
