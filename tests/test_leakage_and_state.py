@@ -189,3 +189,22 @@ def test_problem_examples(spark):
     got = {r["dataset"]: r for r in narrative.problem_examples(profiles, datasets).collect()}
     assert {d: r["problem"] for d, r in got.items()} == {"a": "high_missingness", "b": "multi_issue", "c": "healthy", "d": "duplicate_contamination"}
     assert "'x'" in got["b"]["output"] and got["a"]["input"].startswith("Dataset Name: a\n") and "50.0% missing" in got["a"]["input"]
+
+
+def test_registered_runs_notice_near_copies_alone(spark, tmp_path):
+    """The only leak is that test rows nearly repeat train rows: the quick check and the issue list must say so."""
+    import __spark_entry__ as entry
+    from tabwarden.queries.leakage import split_run
+    from tabwarden.queries.registry import Tables
+
+    rng = np.random.default_rng(3)
+    price, net = rng.uniform(100, 1000, 400), rng.uniform(1, 90, 400)
+    row = pd.DataFrame({"l_orderkey": rng.integers(1, 10**6, 400), "l_partkey": rng.integers(1, 10**6, 400), "l_extendedprice": price, "l_discount": 1 - net / price})
+    days = pd.to_timedelta(rng.permutation(400) % 100, unit="D")
+    pdf = pd.concat([row.assign(l_shipdate=pd.Timestamp(start) + days) for start in ("1992-01-01", "1998-06-01")])
+    spark.createDataFrame(pdf).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    others = leakage.detector_status(split_run(Tables(spark, str(tmp_path)), run=("target", "feature", "temporal")))
+    assert others.where("status = 'detected'").isEmpty()
+    queries = entry.queries()
+    assert queries["l17_quick_check"](spark, str(tmp_path)).first().has_leakage
+    assert "near_duplicate_contamination" in {r.entry for r in queries["l18_issues_and_recommendations"](spark, str(tmp_path)).collect()}
