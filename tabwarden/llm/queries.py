@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwarden.llm import identifiers, language, near_text, packing, pieces, quality, toxicity, urls, vectors
+from tabwarden.llm import audit, fim, identifiers, language, lines, near_text, packing, pieces, quality, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,64 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode(docs, model, keep=("text_crc32",)).withColumn("n_ids", F.size("ids").cast("bigint")).withColumn("ids_crc32", F.crc32(F.array_join("ids", " ")))
     back = pieces.decode(coded, model, keep=("text_crc32", "n_ids", "ids_crc32"))
     return back.select("doc_id", "n_ids", "ids_crc32", (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+@_query(
+    "op11_quality_rules",
+    rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+       g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+       again AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+       repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM again GROUP BY doc_id),
+       l AS (SELECT doc_id, host, text, line, {_WORDS.format(f"translate(line, '{_UPPER}0123456789', '{_LOWER}0000000000')")} AS lw
+         FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+       full_lines AS (SELECT *, array_to_string(lw, ' ') AS norm FROM l WHERE len(lw) > 0),
+       frequent AS (SELECT host, norm FROM full_lines GROUP BY host, norm HAVING count(DISTINCT text) > 10),
+       per AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(len(lw)) FILTER (WHERE f.norm IS NOT NULL), 0) AS gone
+         FROM full_lines LEFT JOIN frequent f USING (host, norm) GROUP BY doc_id),
+       r AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS removed_words FROM d LEFT JOIN per USING (doc_id) LEFT JOIN repeated USING (doc_id))
+       SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * (n_words - removed_words) < 50 * n_words AS kept FROM r""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op12_filter_audit",
+    rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+       f AS (SELECT part, CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM d LEFT JOIN labels USING (doc_id)),
+       cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+       letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+       orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+       met AS (SELECT *, coalesce(list_min(list_filter(range(1, 6), lambda s: contains(fails, filter_order[s]))), 6) AS hit FROM cells, orders),
+       steps AS (SELECT part, filter_order, step, filter_order[step] AS x, fails, hit, n, good, toxic FROM met, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+       r AS (SELECT part, filter_order, step, x, sum(n) FILTER (WHERE hit > step) AS kept, sum(n) FILTER (WHERE hit = step) AS removed, sum(n) FILTER (WHERE hit < step AND contains(fails, x)) AS redundant,
+         sum(n) FILTER (WHERE fails = x) AS unique_fails, sum(good) FILTER (WHERE hit = step) AS good_lost, sum(toxic) FILTER (WHERE hit = step) AS toxic_lost FROM steps GROUP BY ALL)
+       SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+         CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM r""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(
+    "op13_fill_in_middle",
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+       h AS (SELECT doc_id, text, t, len(t) AS n, list_transform([1, 9, 17, 25], lambda a: CAST('0x' || x[a:a + 7] AS BIGINT)) AS h FROM d),
+       c AS (SELECT doc_id, text, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+       p AS (SELECT doc_id, text, n, form, array_to_string(t[1:low], '') AS p, array_to_string(t[low + 1:high], '') AS m, array_to_string(t[high + 1:n], '') AS s FROM c)
+       SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+         sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(_table(spark, sf_dir, "documents"))
+    back = fim.restore(made.withColumn("output_sha256", F.sha2("output", 256)))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2("text", 256).alias("restored_sha256"))

@@ -59,7 +59,7 @@ def test_stages_on_no_documents(spark):
 
 def test_registry(spark):
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     name = "op5_topk_search"
     sf = os.environ.get("TEST_SF_DIR", SF)
     why, _, _ = tools_check.compare(entry.queries()[name](spark, sf), tools_check.duck(sf), entry.oracle_sql()[name])
