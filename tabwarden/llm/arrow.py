@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def flat_bytes(text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +46,18 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[
             at = to
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving memory that Arrow keeps for later back at a task's end: workers serve task after task."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return to_the_end
+
+
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
@@ -81,18 +94,24 @@ def with_text_columns(df: DataFrame, text_col: str, keep: Sequence[str], added:
     """The columns ``keep`` of ``df`` and those of the schema ``added``, computed from the text.
 
     ``per_slice`` is called once in each task and returns the function from a slice of texts to its columns.
+    A column of ``keep`` with the name of an added one gives way to it.
     """
-    src = df.select(F.lit(0).alias("_none"), F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in keep))
+    new = StructType.fromDDL(added)
+    taken = {n.lower() for n in new.names}
+    kept = [c for c in keep if c.lower() not in taken]
+    src = df.select(F.lit(0).alias("none"), df[text_col].cast("string").alias("text"), *(df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(kept)))
+    fields = [StructField(c, f.dataType, f.nullable) for c, f in zip(kept, src.schema.fields[2:])]
+    names = [*kept, *new.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn, names = per_slice(), [*keep, *(c.split()[0] for c in added.split(", "))]
+        fn = per_slice()
         for batch in batches:
             at = 0
             for _, text in slices([batch], max_bytes):
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, len(text)).columns[2:], *fn(text)], names=names)
                 at += len(text)
 
-    return src.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), added]))
+    return src.mapInArrow(released(run), StructType([*fields, *new.fields]))
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:

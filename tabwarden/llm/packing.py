@@ -6,7 +6,9 @@ open window with the least room that still holds them. A segment tree over the r
 
 from __future__ import annotations
 
+import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,14 +18,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.arrow import gathered, slices
+from tabwarden.llm.arrow import gathered, released, slices
 
 WINDOW = 4096
 #: A pack, within which rests share windows, ends with the document that reaches this many tokens.
 PACK_TOKENS = 6_000_000
 #: Room below this is left as padding; larger room is filled with a cut of another rest.
 LEAST_CUT = 64
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 20
+#: Looked-up words are forgotten when they fill about so much memory.
+KNOWN_BYTES = 24 << 20
+_ENTRY_BYTES = 220
 _SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
@@ -35,7 +40,7 @@ class WordTokens:
     others through its whole chain.
     """
 
-    def __init__(self, path: str, keep: int = 200_000) -> None:
+    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,16 +49,20 @@ class WordTokens:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.keep, self.known = keep, {}
+        self.known: dict[str, bytes] = {}
+        self.known_bytes, self.held = known_bytes, 0
         spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelt = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
 
-    def _ids(self, word: str) -> list[int]:
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word, four bytes each."""
         ids = self.known.get(word)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelt))]
-            if len(self.known) >= self.keep:
+            ids = array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelt))]).tobytes()
+            self.held += _ENTRY_BYTES + len(word) + len(ids)
+            if self.held > self.known_bytes:
                 self.known.clear()
+                self.held = 0
             self.known[word] = ids
         return ids
 
@@ -62,18 +71,18 @@ class WordTokens:
         parts = pc.extract_regex(stretches, _SIMPLE)
         simple = pc.and_(parts.is_valid(), pc.invert(pc.match_substring(stretches, "<|")))
         plain = simple.to_numpy(zero_copy_only=False)
-        out: list = [None] * len(stretches)
+        out: list[bytes] = [b""] * len(stretches)
         pick = pa.array(np.flatnonzero(plain))
         words, marks = pc.utf8_lower(parts.field("word").take(pick)).to_pylist(), parts.field("marks").take(pick).to_pylist()
         ids = self._ids
         for i, w, m in zip(np.flatnonzero(plain).tolist(), words, marks):
-            out[i] = (ids(w) + ids(m) if m else ids(w)) if w else (ids(m) if m else [])
+            out[i] = (ids(w) + ids(m) if m else ids(w)) if w else (ids(m) if m else b"")
         odd = np.flatnonzero(~plain)
         if len(odd):
             for i, e in zip(odd.tolist(), self.whole.encode_batch_fast(stretches.take(pa.array(odd)).to_pylist(), add_special_tokens=False)):
-                out[i] = e.ids
-        off = np.concatenate(([0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))))
-        return np.fromiter((x for ids_ in out for x in ids_), np.uint32, off[-1]), off
+                out[i] = array("I", e.ids).tobytes()
+        off = np.concatenate(([0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)) >> 2)))
+        return np.frombuffer(b"".join(out), np.uint32), off
 
     def encode(self, text: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows (uint32), and n + 1 offsets."""
@@ -85,6 +94,12 @@ class WordTokens:
         return ids, at[ends]
 
 
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, whatever the number of its tasks."""
+    return WordTokens(path)
+
+
 class Rooms:
     """Open windows by the room they have left: a segment tree counts them, a stack per room names them."""
 
@@ -187,30 +202,54 @@ def pack(sizes: list[int], window: int = WINDOW, least_cut: int = LEAST_CUT) ->
     return pieces
 
 
+class _Held:
+    """Tokens of the documents of a pack: one flat array per slice, and where each document lies."""
+
+    def __init__(self) -> None:
+        self.names, self.sizes, self.starts, self.slices, self.flats, self.tokens = [], [], [], [], [], 0
+
+    def add(self, names: list, flat: np.ndarray, off: np.ndarray) -> None:
+        self.names += names
+        self.starts += off[:-1].tolist()
+        self.sizes += np.diff(off).tolist()
+        self.slices += [len(self.flats)] * len(names)
+        self.flats.append(flat)
+        self.tokens += int(off[-1] - off[0])
+
+    def crc32(self, d: int, start: int, length: int) -> int:
+        at = self.starts[d] + start
+        return zlib.crc32(self.flats[self.slices[d]][at : at + length].data)
+
+
 def _pack_map(path: str, end_id: int, window: int, pack_tokens: int):
     schema = pa.schema([("id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
-    def packed(part: int, group: int, names: list, tokens: list[np.ndarray]) -> pa.RecordBatch:
-        pieces = pack([len(t) for t in tokens], window)
-        cols = zip(*((names[d], start, n, zlib.crc32(tokens[d][start : start + n].data), len(tokens[d]), (part << 40) + (group << 24) + s, at) for d, start, n, s, at in pieces))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], schema=schema)
+    def packed(part: int, group: int, held: _Held) -> pa.RecordBatch:
+        d, start, length, sequence, offset = zip(*pack(held.sizes, window))
+        crc = [held.crc32(*piece) for piece in zip(d, start, length)]
+        first = (part << 40) + (group << 24)
+        cols = [held.names[k] for k in d], start, length, crc, [held.sizes[k] for k in d], [first + s for s in sequence], offset
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, group = WordTokens(path), TaskContext.get().partitionId(), 0
-        names, tokens, held = [], [], 0
+        words, part, group, held = word_tokens(path), TaskContext.get().partitionId(), 0, _Held()
         for ids, text in slices(batches, SLICE_BYTES):
             flat, off = words.encode(text)
-            for name, a, b in zip(ids.to_pylist(), off[:-1], off[1:]):
-                tokens.append(np.append(flat[a:b], np.uint32(end_id)).astype("<u4"))
-                names.append(name)
-                held += len(tokens[-1])
-                if held >= pack_tokens:
-                    yield packed(part, group, names, tokens)
-                    names, tokens, held, group = [], [], 0, group + 1
-        if tokens:
-            yield packed(part, group, names, tokens)
-
-    return run
+            flat = np.insert(flat, off[1:], np.uint32(end_id)).astype("<u4", copy=False)
+            off = off + np.arange(len(off))
+            names, at = ids.to_pylist(), 0
+            while at < len(names):
+                # the document that reaches the limit is the pack's last
+                to = min(len(names), max(at + 1, int(np.searchsorted(off, off[at] + pack_tokens - held.tokens))))
+                held.add(names[at:to], flat, off[at : to + 1])
+                at = to
+                if held.tokens >= pack_tokens:
+                    yield packed(part, group, held)
+                    held, group = _Held(), group + 1
+        if held.names:
+            yield packed(part, group, held)
+
+    return released(run)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, window: int = WINDOW, pack_tokens: int = PACK_TOKENS) -> DataFrame:

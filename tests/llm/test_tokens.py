@@ -29,7 +29,7 @@ def word_ids(texts):
 
 def test_word_ids_are_the_librarys(given_texts):
     texts = ODD + given_texts
-    flat, off = packing.WordTokens(WORDS, keep=50).encode(pa.array(texts, pa.string()))
+    flat, off = packing.WordTokens(WORDS, known_bytes=10_000).encode(pa.array(texts, pa.string()))
     assert [flat[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == word_ids(texts)
 
 
