@@ -112,9 +112,56 @@ def test_search_few_rows_large_components_and_repeats(spark):
     big = table(spark, [(0, [4e5, 1e300]), (1, [4e5, -3.0]), (2, [4e5, -4.0])])
     out = vectors.top_k(big, big.where("vec_id = 0")).collect()
     assert [r.vec_id for r in sorted(out, key=lambda r: r.rank)] == [1, 2]
+    assert [tuple(r)[1:] for r in sorted(out)] == [(1, 1, -(2**63)), (2, 2, -(2**63))]  # such scores fit no long
     again = table(spark, [(0, [1.0]), (0, [1.0]), (1, [1.0]), (1, [1.0])])
     assert sorted((r["rank"], r.vec_id) for r in vectors.top_k(again, again.where("vec_id = 0")).collect()) == [(1, 1), (2, 1)]
 
 
 def test_number_of_tables_follows_recall():
     assert vectors.tables_for(12, 0.95, 0.9999) > vectors.tables_for(12, 0.95, 0.99) > vectors.tables_for(8, 0.95, 0.99)
+
+
+def whole(x):
+    from fractions import Fraction
+
+    return math.floor(Fraction(x) * 256)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e6, 1e12, 1e200, 1e-200, 1.5e308])
+def test_search_is_exact_for_all_finite_sizes(spark, size):
+    """One vector in three is multiplied by ``size``; ranks and scores follow Python's integers."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, 6) * (size if i % 3 == 0 else 1)]) for i in range(120)] + [(500, [1.0, 0.0]), (501, [1e6, 0.0]), (502, [6e5, 0.0])]
+    df = table(spark, rows)
+    got = sorted(tuple(r) for r in vectors.top_k(df, df.where("vec_id % 50 = 0")).collect())
+    ints = {i: [whole(x) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in ints if i % 50 == 0):
+        found = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:5]
+        want += [(q, n + 1, i, min(max(-low, -(2**63)), 2**63 - 1)) for n, (low, i) in enumerate(found)]
+    assert got == sorted(want)
+
+
+def test_scores_of_the_axis_vectors(spark):
+    df = table(spark, [(0, [1.0, 0.0]), (1, [1e6, 0.0]), (2, [6e5, 0.0])])
+    assert sorted(tuple(r) for r in vectors.top_k(df, df.where("vec_id = 0")).collect()) == [(0, 1, 1, 65_536_000_000), (0, 2, 2, 39_321_600_000)]
+
+
+def test_keys_compare_like_integers():
+    values = sorted({s * (2**e + d) for e in (0, 1, 62, 63, 64, 70, 128, 700) for d in (-1, 0, 1) for s in (-1, 1)})
+    assert sorted(values, key=vectors.sort_key) == values
+
+
+def test_wide_vectors_take_smaller_shards(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_BYTES", 8 * 40 * 10)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(40)]) for i in range(60)]
+    df = table(spark, rows)
+    assert sorted(tuple(r) for r in vectors.top_k(df, df.where("vec_id % 50 = 0")).collect()) == brute_top(rows)
+
+
+@pytest.mark.parametrize("size", [1e12, 1e200, 1e-200, 1e308, 1e-307])
+def test_links_of_all_finite_sizes(spark, size):
+    near = [(1, [size, size]), (2, [size, 1.0001 * size]), (3, [-size, size]), (4, [1.0, 1.0]), (5, [1.0, -1.0001])]
+    out = vectors.near_duplicates(table(spark, near)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1), (5, 0, 5)]
