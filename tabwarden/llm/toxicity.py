@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-N-grams of 3 to 5 letters are hashed into buckets; a feature is the presence of a bucket in a text. Each
+N-grams of 4 to 6 letters are hashed into buckets; a feature is the presence of a bucket in a text. Each
 feature's value is its naive Bayes log-count ratio r between toxic and clean texts; logistic regression
 is fitted on these values, so a bucket's final weight is coefficient times r.
 """
@@ -13,7 +13,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +22,14 @@ from tabwarden.llm.arrow import flat_chars, lists, slices, with_text_columns
 from tabwarden.llm.language import _letters
 from tabwarden.sources.storage import checkpointed
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
 #: Most features the classifier keeps, the most telling first.
-FEATURES = 8_192
+FEATURES = 3_072
 #: Training reads at most this many labelled rows of each class.
 PER_CLASS = 4_000
 SLICE_BYTES = 1 << 20
-_MULT = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint32)
+_MULT = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -109,8 +110,8 @@ def bounded_sample(labels: DataFrame, id_col: str, label_col: str, per_class: in
     return rows.where("label = 1").orderBy(order, id_col).limit(per_class).unionByName(rows.where("label = 0").orderBy(order, id_col).limit(per_class))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES, reg: float = 0.02) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class. With one class only, or none, the model says its share."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES, reg: float = 0.001) -> Model:
+    """Fit on at most ``per_class`` labelled rows of each class, both weighing alike. With one class only, or none, the model says its share."""
     picked = F.broadcast(bounded_sample(labels, id_col, label_col, per_class))
     rows = checkpointed(docs.select(F.col(id_col).cast("bigint").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(picked, id_col).select("label", "text"))
     sizes = {r["label"]: r["c"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -124,9 +125,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = pos * gain(rate_p, both) + neg * gain(rate_q, both)
     top = counted.select("bucket", F.log(rate_p / rate_q).alias("r"), told.alias("told")).orderBy(F.desc("told"), "bucket").limit(features).collect()
     buckets, r = [t["bucket"] for t in top], [t["r"] for t in top]
-    vector = F.udf(lambda f: Vectors.sparse(len(r), sorted(f), [r[i] for i in sorted(f)]), VectorUDT())
-    data = checkpointed(rows.mapInArrow(_present_map(buckets), "label bigint, features array<int>")).select(F.col("label").cast("double"), vector("features").alias("features"))
-    fit = LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=60).fit(data)
+    # presence of each bucket, then its log-count ratio in its place
+    named = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(r))], inputCol="features", outputCol="present").setBinary(True)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(r), inputCol="present", outputCol="scaled")
+    weight = F.when(F.col("label") == 1, (pos + neg) / (2.0 * pos)).otherwise((pos + neg) / (2.0 * neg))
+    data = rows.mapInArrow(_present_map(buckets), "label bigint, features array<int>").select(F.col("label").cast("double").alias("label"), F.col("features").cast("array<string>").alias("features"), weight.alias("weight"))
+    data = checkpointed(scaled.transform(named.transform(data)).select("label", "weight", "scaled"))
+    fit = LogisticRegression(featuresCol="scaled", weightCol="weight", regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=100).fit(data)
     return Model(buckets, [float(w) * x for w, x in zip(fit.coefficients.toArray(), r)], float(fit.intercept))
 
 
@@ -149,6 +154,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[
     """One row per document: the columns ``keep``, score (0 to 1), predicted (1 from 0.5 on).
 
     Null and empty texts have no feature and get the score of the bias. Repeated rows keep a row each; other
-    columns are ignored.
+    columns are ignored, and columns in ``keep`` with the name of a result give way to it.
     """
     return with_text_columns(docs, text_col, keep, "score double, predicted int", _scorer(model), SLICE_BYTES)

@@ -3,6 +3,10 @@
 A rule is a host with an optional path prefix; it fits its host and all subdomains, and the longest
 fitting rule decides. URLs that a rule decides are the labelled ones: trees fitted on a bounded sample
 of the distinct ones judge all others.
+
+The share of blocked URLs among those with the same suffix could stand for the label itself. A training
+URL therefore gets it from the other folds only, and each is shown a second time with its suffix hidden,
+so that the trees also learn to judge by the other features; that is how they see unknown suffixes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,12 @@ PER_VERDICT = 4_000
 MARGIN = 1.5
 #: The sample is that small that its many passes run in few tasks.
 SAMPLE_PARTITIONS = 8
-FEATURES = ("length", "host_length", "host_parts", "depth", "digit_share", "entropy", "parameters", "value_length", "hyphens", "encoded", "fragment", "secure", "suffix_share", "suffix_blocked")
+FEATURES = ("length", "host_length", "host_parts", "depth", "digit_share", "entropy", "parameters", "value_length", "hyphens", "encoded", "fragment", "secure", "suffix_share", "suffix_known", "suffix_blocked")
+#: Suffixes with a smaller share of the URLs count as unknown, so there are at most 1 / LEAST_SHARE others.
+LEAST_SHARE = 1e-4
+#: Labelled URLs of the average verdict that a suffix's own ones are weighed against.
+SMOOTHING = 10
+FOLDS = 5
 
 
 def _lower(c: Column) -> Column:
@@ -101,31 +110,59 @@ def bounded_sample(rows: DataFrame, per_verdict: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _with_suffix(rows: DataFrame, stats: DataFrame, rate: float) -> DataFrame:
+    """Add suffix_share, suffix_known and suffix_blocked from ``stats`` (at most 1 / LEAST_SHARE suffixes); others are unknown."""
+    got = rows.join(F.broadcast(stats), "suffix", "left")
+    return got.withColumns({
+        "suffix_share": F.coalesce("share", F.lit(0.0)),
+        "suffix_known": (F.coalesce("known", F.lit(0)) > 0).cast("double"),
+        "suffix_blocked": (F.coalesce("bad", F.lit(0.0)) + rate * SMOOTHING) / (F.coalesce("known", F.lit(0)) + SMOOTHING),
+    })
+
+
+def training_rows(drawn: DataFrame, folds: DataFrame, stats: DataFrame, rate: float) -> DataFrame:
+    """Each drawn URL with its suffix's labels in the other folds, and again with its suffix hidden."""
+    own = folds.join(F.broadcast(stats.select("suffix")), "suffix", "left_semi").select("suffix", "fold", F.col("known").alias("own_known"), F.col("bad").alias("own_bad"))
+    seen = drawn.withColumn("fold", _fold("url")).join(F.broadcast(stats), "suffix", "left").join(F.broadcast(own), ["suffix", "fold"], "left")
+    other = seen.withColumns({"known": F.col("known") - F.coalesce("own_known", F.lit(0)), "bad": F.col("bad") - F.coalesce("own_bad", F.lit(0.0))})
+    known = F.coalesce("known", F.lit(0))
+    shown = other.withColumns({"suffix_share": F.coalesce("share", F.lit(0.0)), "suffix_known": (known > 0).cast("double"), "suffix_blocked": (F.coalesce("bad", F.lit(0.0)) + rate * SMOOTHING) / (known + SMOOTHING)})
+    hidden = drawn.withColumns({"suffix_share": F.lit(0.0), "suffix_known": F.lit(0.0), "suffix_blocked": F.lit(float(rate))})
+    return shown.select(*FEATURES, "label").unionByName(hidden.select(*FEATURES, "label"))
+
+
+def _fold(url: str) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
 def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", per_verdict: int = PER_VERDICT, rounds: int = 12, seed: int = 5) -> DataFrame:
     """One row per page: ``id_col``, host, path, rule, verdict, score (chance of block; null where a rule decides).
 
     Host and path of a null url, or one without ``://``, are empty. If the rules decide no URL, or always
     alike, there is nothing to learn: the rest gets that one verdict, or ``allow``. Suffix statistics are
     the share of all URLs with the host's last label, and the smoothed share of blocks among its labelled
-    ones. Repeated rows keep a row each; other columns are ignored.
+    ones; both verdicts weigh alike in training. Repeated rows keep a row each; other columns are ignored.
     """
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocked = F.col("rule").isin([r for r, v in rules.items() if v == "block"])
     label = F.when(F.col("rule").isNotNull(), blocked.cast("double"))
     rows = checkpointed(lexical(base).withColumn("label", label))
-    stats = checkpointed(rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("known"), F.sum(F.coalesce("label", F.lit(0.0))).alias("bad")))
-    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).first()
+    folds = checkpointed(rows.groupBy("suffix", _fold("url").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("known"), F.sum(F.coalesce("label", F.lit(0.0))).alias("bad")))
+    total = folds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).first()
     good, bad = total["known"] - total["bad"], total["bad"]
     final = lambda df, verdict, score: df.select(F.col("_id").alias(id_col), "host", "path", "rule", F.when(F.col("label") == 1, "block").when(F.col("label") == 0, "allow").otherwise(verdict).alias("verdict"), F.when(F.col("label").isNull(), score).alias("score"))
     if not good or not bad:
         return final(rows, F.lit("block" if bad else "allow"), F.lit(1.0 if bad else 0.0))
     rate = bad / (good + bad)
-    stats = checkpointed(stats.select("suffix", (F.col("n") / float(total["n"])).alias("suffix_share"), ((F.col("bad") + rate * 10) / (F.col("known") + 10)).alias("suffix_blocked")))
+    sums = folds.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    stats = checkpointed(sums.where(F.col("n") >= LEAST_SHARE * total["n"]).select("suffix", "known", "bad", (F.col("n") / float(total["n"])).alias("share")))
+    drawn = checkpointed(training_rows(bounded_sample(rows, per_verdict), folds, stats, rate).repartition(SAMPLE_PARTITIONS))
+    sizes = {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, sum(sizes.values()) / (2.0 * sizes[1.0])).otherwise(sum(sizes.values()) / (2.0 * sizes[0.0]))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    drawn = assembler.transform(bounded_sample(rows, per_verdict).join(stats, "suffix")).select("features", "label")
-    vectors = assembler.transform(rows.join(stats, "suffix"))
-    model = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed).fit(checkpointed(drawn.repartition(SAMPLE_PARTITIONS)))
-    judged = model.transform(vectors)
+    data = checkpointed(assembler.transform(drawn).select("features", "label", weight.alias("weight")))
+    model = GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed, weightCol="weight").fit(data)
+    judged = model.transform(assembler.transform(_with_suffix(rows, stats, rate)))
     p = vector_to_array("probability")[1]
     return final(judged, F.when(p >= 0.5, "block").otherwise("allow"), p)
