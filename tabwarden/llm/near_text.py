@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tabwarden.llm.arrow import constants, flat_bytes, gathered, lists, mixed, rows_as_lists, runs, slices
 from tabwarden.llm.components import connected_components
@@ -37,6 +38,8 @@ ROUNDS = 8
 WORTH = 20
 #: Up to so many ids (16 bytes each) are broadcast to pick out their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs of one leader that are checked in one task.
+LEADER_ROWS = 256
 SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -110,11 +113,9 @@ def _feature_map(width: int, bands: int, band_rows: int, seed: int):
             some = np.flatnonzero(n)
             at = off[:-1][some]
             rows = len(some)
-            f1, f2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            f1, f2 = _prints(sets, off)
             keys, sketch = np.zeros((len(n), bands), np.uint64), np.zeros((len(n), SKETCH_WORDS), np.uint64)
             if rows:
-                f1[some] = np.add.reduceat(mixed(sets * np.uint64(3) + np.uint64(1)), at)
-                f2[some] = np.add.reduceat(mixed(sets * np.uint64(5) + np.uint64(7)), at)
                 sig = np.empty((k, rows), np.uint64)
                 for j in range(k):
                     sig[j] = np.minimum.reduceat(sets * mul[j] + add[j], at)
@@ -130,19 +131,31 @@ def _feature_map(width: int, bands: int, band_rows: int, seed: int):
                     for i in range(band_rows):
                         h += sig[b * band_rows + i] * fold[i]
                     keys[some, b] = mixed(h)
-            cols = [ids.cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), rows_as_lists(keys.view(np.int64)), rows_as_lists(sketch.view(np.int64))]
+            cols = [ids.cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), rows_as_lists(keys.view(np.int64)), rows_as_lists(sketch.view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
 
 
+def _prints(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set; 0 for an empty one."""
+    f1, f2 = np.zeros(len(off) - 1, np.uint64), np.zeros(len(off) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        at = off[:-1][some]
+        f1[some] = np.add.reduceat(mixed(sets * np.uint64(3) + np.uint64(1)), at)
+        f2[some] = np.add.reduceat(mixed(sets * np.uint64(5) + np.uint64(7)), at)
+    return f1.view(np.int64), f2.view(np.int64)
+
+
 def _set_map(width: int):
-    schema = pa.schema([("node", pa.int64()), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("n", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, text in slices(batches, SLICE_BYTES * 4):
             sets, off = shingle_sets(text, width)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), lists(sets.view(np.int64), off)], schema=schema)
+            f1, f2 = _prints(sets, off)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(f1), pa.array(f2), pa.array(np.diff(off).astype(np.int64)), lists(sets.view(np.int64), off)], schema=schema)
 
     return run
 
@@ -164,24 +177,37 @@ def _differing(a: str, b: str):
     return F.expr("+".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_WORDS)))
 
 
-def _sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, broadcast_ids: int, write: Tables) -> Callable[[DataFrame], DataFrame]:
-    """The function from (node) to a written table (node, members) of their full sets."""
+def _sets_of(docs: DataFrame, id_col: str, text_col: str, width: int, broadcast_ids: int, classes: DataFrame, repeated: DataFrame | None, write: Tables) -> Callable[[DataFrame], DataFrame]:
+    """The function from (node) to a written table (node, members) of their full sets.
+
+    A class is read from the text of its smallest id. Ids of several rows may stand for several sets, so
+    texts are told apart by the set they give.
+    """
+    of = classes.select("node", F.col("node_id").alias("id"), "f1", "f2", "n")
 
     def sets(nodes: DataFrame) -> DataFrame:
-        need = write(nodes, "need")
+        need = write(nodes.join(of, "node"), "need")
         few = need.count() <= broadcast_ids
-        texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(need) if few else need, "node", "left_semi")
-        return write(texts.mapInArrow(_set_map(width), "node bigint, members array<bigint>"), "sets")
+        sized = F.broadcast if few else lambda x: x
+        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(sized(need.select("id").distinct()), "id", "left_semi")
+        made = texts.mapInArrow(_set_map(width), "id bigint, f1 bigint, f2 bigint, n bigint, members array<bigint>")
+        if repeated is not None:
+            made = made.dropDuplicates(["id", "f1", "f2", "n"])
+        return write(made.join(sized(need), ["id", "f1", "f2", "n"]).select("node", "members"), "sets")
 
     return sets
 
 
-def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, write: Tables) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. A hot ``a`` is split by Spark's skew join."""
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, write: Tables, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. The set of an ``a`` of many pairs is copied, so that its pairs spread over tasks."""
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sa = sets.select(F.col("node").alias("a"), F.col("members").alias("sa"))
+    heads = write(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEADER_ROWS).cast("int").alias("parts")).where("parts > 1"), "leaders")
+    heads = F.broadcast(heads) if heads.count() <= broadcast_ids else heads
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(heads, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    sa = sets.join(heads.withColumnRenamed("a", "node"), "node", "left").select(F.col("node").alias("a"), F.col("members").alias("sa"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     sb = sets.select(F.col("node").alias("b"), F.col("members").alias("sb"))
-    both = pairs.join(sb, "b").join(sa, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("common"), (F.size("sa") + F.size("sb")).cast("bigint").alias("total"))
+    both = dealt.join(sb, "b").join(sa, ["a", "part"]).select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("common"), (F.size("sa") + F.size("sb")).cast("bigint").alias("total"))
     return write(both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))).select("a", "b").distinct(), "links")
 
 
@@ -307,25 +333,35 @@ def near_duplicates(
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| on their full sets; ``component_id``
     is the smallest id reachable. A null or blank text has no shingle and links with nothing; a text with
-    fewer than ``width`` words is one shingle. Rows that repeat an id are one document in the graph and
-    keep a row each. A null id links with nothing: component_id is null and kept is true. Other columns
-    are ignored. A pair at the threshold is missed by all bands with a chance of 5e-6.
+    fewer than ``width`` words is one shingle. Rows that repeat an id are documents of their own, with
+    that id; several may be kept if their texts differ. A null id links with nothing: component_id is
+    null and kept is true. Other columns are ignored. A pair at the threshold is missed by all bands with
+    a chance of 5e-6.
 
     Buckets are never expanded into all pairs. In each round every document outside its bucket's largest
     component is checked with one member of that component, the nearest by sketch of those its buckets
     offer; links are contracted. When a round finds few, buckets that still span several components are
     searched whole, in tiles.
     """
+    out = _marked(docs, id_col, text_col, width, percent, bands, band_rows, rounds, broadcast_ids, seed)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS, rounds: int = ROUNDS, broadcast_ids: int = BROADCAST_IDS, seed: int = 1) -> DataFrame:
+    """(id, n, f1, f2, component_id, kept) of every row; n, f1 and f2 tell its set."""
     write = Tables(docs.sparkSession, "near-text")
     limit = sketch_limit(percent, max(SAMPLES, bands * band_rows))
     feats = write(features(docs, id_col, text_col, width, bands, band_rows, seed), "features")
-    grouped = feats.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
-    classes = write(grouped.select("f1", "f2", "n", "node", "x.bands", "x.sketch"), "classes")
+    grouped = feats.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("node_id"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
+    # written before it is read, so a class keeps its number
+    classes = write(grouped.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", "node_id", "x.bands", "x.sketch"), "classes")
+    repeated = write(feats.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "repeated")
+    repeated = None if repeated.isEmpty() else repeated
     keyed = classes.select("node", F.explode("bands").alias("key"))
     shared = write(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"), "shared")
     rows = keyed.join(shared, "key")
     comps = write(classes.limit(0).select("node", F.col("node").alias("component")), "comps")
-    sets_of = _sets_of(docs, id_col, text_col, width, broadcast_ids, write)
+    sets_of = _sets_of(docs, id_col, text_col, width, broadcast_ids, classes, repeated, write)
     looks = classes.select("node", "n", "sketch")
     look = lambda c: looks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
     for turn in range(rounds):
@@ -333,7 +369,7 @@ def near_duplicates(
         pairs = rows.where("comp <> major").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(look("b"), "b").join(look("a"), "a")
         pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", _differing("ka", "kb").alias("apart")).where(f"apart <= {limit}")
         pairs = write(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "pairs")
-        links = verified(pairs, sets_of, percent, write)
+        links = verified(pairs, sets_of, percent, write, broadcast_ids)
         tried, found = pairs.count(), links.count()
         if found:
             comps = _contracted(comps, links, write)
@@ -343,19 +379,53 @@ def near_duplicates(
     links = _across(rows, classes.select("node", "n", "sketch", "bands"), sets_of, limit, percent, write)
     if not links.isEmpty():
         comps = _contracted(comps, links, write)
-    named = write(classes.select("f1", "f2", "n", "node").join(comps, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id")), "classes-named")
+    named = write(classes.select("f1", "f2", "n", "node", "node_id").join(comps, "node", "left").select("f1", "f2", "n", "node_id", F.coalesce("component", "node").alias("component")), "classes-named")
+    low = write(named.groupBy("component").agg(F.min("node_id").alias("component_id")), "smallest")
+    named = write(named.join(low, "component").select("f1", "f2", "n", "component_id"), "classes-marked")
     own = feats.select("id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    return own.select("id", "n", "f1", "f2", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+
 
+def _with_set_map(fields: list[StructField], width: int):
+    names = [f.name for f in fields]
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
-    """The kept documents with all their columns, one row for each id; rows with a null id all stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, text in slices([batch], SLICE_BYTES):
+                sets, off = shingle_sets(text, width)
+                f1, f2 = _prints(sets, off)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off).astype(np.int64)), pa.array(f1), pa.array(f2), *batch.slice(at, len(ids)).columns[2:]], names=names)
+                at += len(ids)
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_ids: int = BROADCAST_IDS, width: int = SHINGLE, **options) -> DataFrame:
+    """The kept documents with all their columns; rows with a null id all stay.
+
+    Of rows that repeat an id and are near each other one stays, the first by a hash of the row; others
+    with that id stay if they are kept on their own.
+    """
     write = Tables(docs.sparkSession, "near-text-drop")
-    marks = near_duplicates(docs, id_col, text_col, broadcast_ids=broadcast_ids, **options).where(F.col(id_col).isNotNull())
-    per = marks.groupBy(id_col).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1")
-    per = write(per.select(F.col(id_col).alias("_id"), "kept"), "marks")
+    marks = write(_marked(docs, id_col, text_col, width, broadcast_ids=broadcast_ids, **options).where("id is not null"), "marks")
+    per = marks.groupBy("id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("not kept or rows > 1")
+    name = "marked_id"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    per = write(per.select(F.col("id").alias(name), (F.col("rows") > 1).alias(f"{name}_rows")), "ids")
     sized = F.broadcast if per.count() <= broadcast_ids else lambda x: x
-    own = F.col(id_col).cast("bigint") == F.col("_id")
-    repeated = docs.join(sized(per.where("kept").select("_id")), own, "left_semi").dropDuplicates([id_col])
-    return docs.join(sized(per.select("_id")), own, "left_anti").unionByName(repeated)
+    own = docs[id_col].cast("bigint") == F.col(name)
+    single = docs.join(sized(per.select(name)), own, "left_anti")
+    several = per.where(F.col(f"{name}_rows")).select(name)
+    if several.isEmpty():
+        return single
+    # rows that share an id are told apart by their sets
+    row = F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    src = docs.join(sized(several), own, "left_semi").select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"), row.alias("row"))
+    fields = [src.schema["id"], *(StructField(c, LongType()) for c in ("n", "f1", "f2")), src.schema["row"]]
+    rows = src.mapInArrow(_with_set_map(fields, width), StructType(fields))
+    kept = marks.where("kept").select("id", "n", "f1", "f2", "component_id").distinct()
+    first = rows.join(kept, ["id", "n", "f1", "f2"]).groupBy("id", F.when(F.col("n") > 0, F.col("component_id")).alias("component")).agg(F.min_by("row", F.struct(F.xxhash64("row"), "n", "f1", "f2")).alias("row"))
+    return single.unionByName(first.select(*(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns))))

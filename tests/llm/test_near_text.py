@@ -114,3 +114,36 @@ def test_components(spark):
             parent[hi] = lo
     assert out == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def brute_rows(rows):
+    """As ``brute`` with every row a document of its own: (id, size, smallest id reachable, kept) of each."""
+    named = [(k, t) for k, (_, t) in enumerate(rows)]
+    group = {}
+    for k, _, root, _ in brute(named):
+        group.setdefault(root, []).append(rows[k][0])
+    return sorted((rows[k][0], n, min(group[root]), rows[k][0] == min(group[root])) for k, n, root, _ in brute(named))
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    """They are documents of their own: none is lost, and they join no groups."""
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    one, two, three, four = (text() for _ in range(4))
+    near = lambda t: t + " tail"
+    rows = [(5, one), (5, two), (5, near(one)), (3, near(two)), (9, three), (9, three), (9, four), (2, None), (2, ""), (7, near(one) + " more"), (8, four)]
+    df = spark.createDataFrame([(i, t, k, "m") for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, place int, marked_id string").repartition(3)
+    assert got(near_text.near_duplicates(df)) == brute_rows(rows)
+    kept = near_text.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    out = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    assert len(out) == 5 and {i for i, _ in out} == {2, 3, 5, 8, 9}
+    assert (9, three) in out and (8, four) in out and (3, near(two)) in out and dict(out)[5] in (one, near(one))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in near_text.drop_near_duplicates(df).collect())
+
+
+def test_a_leader_of_many_pairs_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "LEADER_ROWS", 3)
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert got(near_text.near_duplicates(df)) == brute(rows)
