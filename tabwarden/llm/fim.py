@@ -127,8 +127,8 @@ def restore(rows: DataFrame, form_col: str = "form", output_col: str = "output")
     A null output gives a null text; a null form counts as plain. A column named text of ``rows`` gives way.
     """
     others = [c for c in rows.columns if c not in (output_col, "text")]
-    src = rows.select(rows[output_col].cast("string").alias("_output"), F.coalesce(rows[form_col].cast("string"), F.lit(PLAIN)).alias("_form"), *(rows[c] for c in others))
-    fields = [StructField("text", StringType()), *src.schema.fields[2:]]
+    src = rows.select(rows[output_col].cast("string").alias("_output"), F.coalesce(rows[form_col].cast("string"), F.lit(PLAIN)).alias("_form"), *(rows[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(others)))
+    fields = [StructField("text", StringType()), *(StructField(c, f.dataType) for c, f in zip(others, src.schema.fields[2:]))]
     names = [f.name for f in fields]
 
     def run(batches):

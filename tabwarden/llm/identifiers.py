@@ -98,9 +98,10 @@ def learn_patterns(spans: DataFrame, rounds: int = ROUNDS, confidence: float = C
 
 
 def _marked(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that may hold identifiers with a key ``rid``, and (rid, spans): all spans, by start."""
-    hot = docs.where(F.col(text_col).cast("string").rlike(ANY)).withColumns({"rid": F.monotonically_increasing_id(), "_text": F.col(text_col).cast("string")})
-    hot = checkpointed(hot)
+    """(rid, _text, row) of the rows that may hold identifiers, ``row`` with all their columns, and (rid, spans): all spans, by start."""
+    text = docs[text_col].cast("string")
+    row = F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    hot = checkpointed(docs.where(text.rlike(ANY)).select(F.monotonically_increasing_id().alias("rid"), text.alias("_text"), row.alias("row")))
     spans = checkpointed(_spans(hot.select("rid", "_text")))
     patterns = checkpointed(learn_patterns(spans))
     base = spans.where("kind <> 'token'").select("rid", "kind", "start", "end", F.lit(True).alias("base"))
@@ -121,9 +122,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     exclusive) by start; ``n_found`` counts those the bootstrap added. Null and empty texts hold none.
     Repeated rows keep a row each; other columns are ignored.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("_t"))
+    src = docs.select(docs[id_col].cast("bigint").alias(id_col), docs[text_col].cast("string").alias("_t"))
     hot, per = _marked(src, "_t")
-    marked = hot.select("rid", id_col).join(per, "rid", "left").select(id_col, F.coalesce("spans", F.array().cast(per.schema["spans"].dataType)).alias("s"))
+    marked = hot.select("rid", F.col("row.c0").alias(id_col)).join(per, "rid", "left").select(id_col, F.coalesce("spans", F.array().cast(per.schema["spans"].dataType)).alias("s"))
     base = F.filter("s", lambda s: s["base"])
     count = lambda k: F.size(F.filter("s", lambda s: s["base"] & (s["kind"] == k))).cast("bigint").alias(f"n_{k}")
     full = marked.select(id_col, *(count(k) for k in KINDS), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("s")).alias("spans"), F.size(F.filter("s", lambda s: ~s["base"])).cast("bigint").alias("n_found"))
@@ -148,8 +149,15 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
         F.substring(F.col("_text"), (F.element_at("_spans", i)["end"] + 1).cast("int"), F.when(i < F.size("_spans"), F.get("_spans", i)["start"] - F.element_at("_spans", i)["end"]).otherwise(F.length("_text")).cast("int")),
     ))
     clean = F.when(F.col("_spans").isNotNull(), F.array_join(parts, "")).otherwise(F.col("_text"))
-    got = got.withColumn(text_col, clean)
-    if length_col:
-        got = got.withColumn(length_col, F.when(F.col("_spans").isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    calm = docs.where(~F.coalesce(F.col(text_col).cast("string").rlike(ANY), F.lit(False)))
-    return got.select(docs.columns).unionByName(calm)
+    got = got.withColumn("_clean", clean)
+
+    def column(i: int, c: str) -> Column:
+        if c == text_col:
+            return F.col("_clean").alias(c)
+        own = F.col("row").getField(f"c{i}")
+        if c == length_col:
+            own = F.when(F.col("_spans").isNotNull(), F.length("_clean")).otherwise(own).cast(docs.schema[c].dataType)
+        return own.alias(c)
+
+    calm = docs.where(~F.coalesce(docs[text_col].cast("string").rlike(ANY), F.lit(False)))
+    return got.select(*(column(i, c) for i, c in enumerate(docs.columns))).unionByName(calm)

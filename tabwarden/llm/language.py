@@ -137,6 +137,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
 
     ``score`` is how much farther the second nearest profile is, relative to its distance: 0 (a tie, won by
     the name that sorts first) to 1. A text that is null or holds no letter is ``und`` with score 0; so is
-    every text if there is no profile. Repeated rows keep a row each; other columns are ignored.
+    every text if there is no profile. Repeated rows keep a row each; other columns are ignored, and columns
+    in ``keep`` with the name of a result give way to it.
     """
-    return with_text_columns(docs.drop("lang_pred", "score"), text_col, keep, "lang_pred string, score double", _identifier(profiles, size), SLICE_BYTES)
+    return with_text_columns(docs, text_col, keep, "lang_pred string, score double", _identifier(profiles, size), SLICE_BYTES)

@@ -180,7 +180,7 @@ def _without_map(fields: list[StructField]):
 
 def cleaned(docs: DataFrame, text_col: str = "text", host_col: str = "source", *, most_documents: int = MOST_DOCUMENTS, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns, and without the frequent lines of their host."""
-    rows = docs.select(docs[text_col].cast("string").alias("text"), _host(docs, host_col).alias("host"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = docs.select(docs[text_col].cast("string").alias("text"), _host(docs, host_col).alias("host"), F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("row"))
     kept = _judged(rows, most_documents, least_percent).where("kept")
     src = kept.select(F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"), F.col("row").getField(text_col).cast("string").alias("text"), "row")
     fields = [src.schema["text"], src.schema["row"]]

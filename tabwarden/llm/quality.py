@@ -150,7 +150,9 @@ def score(docs: DataFrame, model: Rules, text_col: str = "text", keep: Sequence[
     """One row per document: the columns ``keep``, score (0 to 1), predicted (1 from 0.5 on).
 
     Null and empty texts are scored like any other: their statistics are 0, with one line. Repeated rows
-    keep a row each; other columns are ignored.
+    keep a row each; other columns are ignored, and columns in ``keep`` with the name of a result give way to it.
     """
-    out = with_statistics(docs, text_col, keep).select(*keep, compiled(model).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kept = [c for c in keep if c.lower() not in ("score", "predicted")]
+    row = F.struct(F.lit(0).alias("none"), *(docs[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(kept)))
+    out = with_statistics(docs.select(docs[text_col].alias("text"), row.alias("row")), "text", ["row"]).withColumn("score", compiled(model))
+    return out.select(*(F.col("row").getField(f"k{i}").alias(c) for i, c in enumerate(kept)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

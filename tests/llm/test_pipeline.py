@@ -51,6 +51,22 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
     assert {r.doc_id for r in docs.collect()} <= {4} and docs.count() <= 1
 
 
+def test_stages_pass_clashing_columns_through(spark, tmp_path):
+    """Columns named like the operators' own, and names that need quoting, come through every stage with their values."""
+    given = "lang_pred string, score double, predicted int, stat_words double, rid bigint, _text string, _spans string, _clean string, row string, _id bigint, id bigint, node bigint, kept boolean, `odd name` string, none array<struct<`a b`:int>>"
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 500").select("doc_id", "text", "lang", "source", "n_chars").limit(40)
+    extra = spark.createDataFrame([("x", 0.5, 7, 1.5, 99, "t", "s", "c", "r", 5, 6, 8, False, "o", [(3,)])], given)
+    docs = good.crossJoin(extra)
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, "/root/testdata/sf0.01")
+        assert out.columns == columns
+        out.write.parquet(path := str(tmp_path / str(k)))
+        docs = spark.read.parquet(path)
+        assert docs.select(*[f"`{c}`" for c in extra.columns]).distinct().collect() == extra.collect() and docs.count() > 10
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_stages_on_no_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
