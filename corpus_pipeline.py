@@ -16,16 +16,25 @@ from tabwarden.sources.storage import scratch_path
 LEAST_MARGIN = 0.02
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The texts, each with its whole row in one column, so that no name of a row meets one of an operator."""
+    return docs.select(docs["text"].alias("text"), F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("document"))
+
+
+def _released(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col("document").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognizable language go: no letter (or null), or two profiles as near as each other."""
-    marked = language.identify(docs, language.learn_profiles(docs), keep=docs.columns)
-    return marked.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_MARGIN)).select(docs.columns)
+    marked = language.identify(_carried(docs), language.learn_profiles(docs), keep=["document"])
+    return _released(marked.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_MARGIN)), docs)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the rules score under 0.5 go."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return quality.score(docs, quality.train(docs, labels), keep=docs.columns).where("predicted = 1").select(docs.columns)
+    return _released(quality.score(_carried(docs), quality.train(docs, labels), keep=["document"]).where("predicted = 1"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
