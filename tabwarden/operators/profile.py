@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tabwarden.functions.expr import fingerprint, md5_order, ratio, value_identity
 from tabwarden.functions.longform import long_values, names_table, with_bin
+from tabwarden.functions.moments import pair_products
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import (
     as_double,
@@ -229,23 +230,18 @@ def category_histogram(df: DataFrame, columns: Sequence[str] | None = None, k: i
 def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], values: dict[str, Column]) -> DataFrame:
     """(feature_a, feature_b, n, value): Pearson over the complete rows of each pair.
 
-    All pairs go through one grouped aggregate over (pair, x, y) entries: the
-    code stays small however many pairs there are, and the partial aggregate of
-    each task is one row per pair. ``value`` is NULL without spread, or where a value is infinite.
+    All pairs come from cross products of blocks of rows, so a row is never copied per pair. ``value`` is
+    NULL without spread, or where a value is infinite.
     """
     schema = "feature_a string, feature_b string, n long, value double"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    entries = [F.struct(F.lit(i).alias("p"), values[a].alias("x"), values[b].alias("y")) for i, (a, b) in enumerate(pairs)]
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    grouped = (
-        df.select(F.inline(F.array(*entries)))
-        .where("x is not null and y is not null")
-        .groupBy("p")
-        .agg(F.count("*").alias("n"), F.nanvl(F.try_divide(F.covar_pop("x", "y"), spread), F.lit(None)).alias("value"))
-    )
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, feature_a string, feature_b string")
-    joined = F.broadcast(names).join(grouped, "p", "left")
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(names)}
+    products = pair_products(df, [values[c] for c in names], [(at[a], at[b]) for a, b in pairs])
+    value = F.when((F.col("odd") == 0) & (F.col("cxx") > 0) & (F.col("cyy") > 0), F.col("cxy") / (F.sqrt("cxx") * F.sqrt("cyy")))
+    named = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, feature_a string, feature_b string")
+    joined = F.broadcast(named).join(products.select("p", "n", F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias("value")), "p", "left")
     return joined.select("feature_a", "feature_b", F.coalesce("n", F.lit(0)).alias("n"), "value")
 
 
