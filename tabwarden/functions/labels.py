@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabwarden.functions.attach import attached
 from tabwarden.functions.ordering import running_totals
 from tabwarden.functions.selection import MAX_DISTINCT
 from tabwarden.functions.types import as_double, clean, numeric_columns
@@ -32,7 +33,7 @@ def code_table(df: DataFrame, column: str, max_rows: int = MAX_DISTINCT) -> Data
 def label_codes(df: DataFrame, column: str, out: str, max_rows: int = MAX_DISTINCT) -> DataFrame:
     """The table with the code of each label; missing labels get -1."""
     codes = code_table(df, column, max_rows).select(F.col("value").alias("__v"), F.col("code").alias("__c"))
-    joined = df.join(codes, clean(df, column) == F.col("__v"), "left")
+    joined = attached(df.withColumn("__v", clean(df, column)), codes, ["__v"], "left")
     return joined.withColumn(out, F.coalesce("__c", F.lit(-1).cast("long"))).drop("__v", "__c")
 
 

@@ -12,11 +12,12 @@ from pyspark.sql.window import Window
 
 from tabwarden.functions.expr import ratio, value_identity
 from tabwarden.functions.longform import long_values, names_table, with_bin
-from tabwarden.functions.ordering import running_totals, value_buckets
+from tabwarden.functions.ordering import MAX_BROADCAST, running_totals, value_buckets
 from tabwarden.functions.selection import exact_quantiles
 from tabwarden.functions.types import as_double, categorical_columns, clean, common_columns, numeric_columns
 from tabwarden.operators.profile import bin_edges, bounds, finite
 from tabwarden.plans.schemas import DEFAULTS
+from tabwarden.sources.storage import checkpointed
 
 # Fixed values of the index: number of quantile bins and smallest share.
 PSI_BINS = 10
@@ -142,13 +143,14 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, columns: Sequence[str] | None =
     up, down = ratio(F.col("n0"), F.col("N0_")), ratio(F.col("n1"), F.col("N1_"))
     t = t.withColumn("edge", F.abs(left + up - down)).withColumn("reach", F.greatest(F.abs(left + up), F.abs(left - down)))
     t = t.withColumn("best", F.max("edge").over(everything))
-    t = ref.sparkSession.createDataFrame(t.collect(), t.schema)  # one row per feature and bucket, used three times
+    t = checkpointed(t)  # one row per feature and bucket, used three times
     open_ = t.where(F.col("reach") > F.col("best")).select("feature", "b", "p0", "p1", "N0_", "N1_")
+    sized = F.broadcast if open_.count() <= MAX_BROADCAST else lambda x: x
     inner = Window.partitionBy("feature", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     fine = (
-        rows.join(F.broadcast(open_.select("feature", "b")), ["feature", "b"], "left_semi").groupBy("feature", "b", "v").agg(n0, n1)
+        rows.join(sized(open_.select("feature", "b")), ["feature", "b"], "left_semi").groupBy("feature", "b", "v").agg(n0, n1)
         .withColumn("u0", F.sum("n0").over(inner)).withColumn("u1", F.sum("n1").over(inner))
-        .join(F.broadcast(open_), ["feature", "b"])
+        .join(sized(open_), ["feature", "b"])
     )
     gap = F.abs(ratio(F.col("u0") + F.col("p0"), F.col("N0_")) - ratio(F.col("u1") + F.col("p1"), F.col("N1_")))
     inside = fine.groupBy("feature").agg(F.max(gap).alias("inside"))

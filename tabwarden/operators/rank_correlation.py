@@ -2,25 +2,27 @@
 
 Rows are first collapsed to (pair, x, y, n). Ranks then come from running
 totals over the distinct values, and Kendall's concordant pairs are counted by
-running totals between halves of the x range, so no pair of rows is formed.
+running totals between the parts of the x range that a digit of the rank tells
+apart, so no pair of rows is formed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.functions.attach import attached
 from tabwarden.functions.longform import long_values
 from tabwarden.functions.ordering import running_totals, value_buckets
 from tabwarden.functions.types import as_double, numeric_columns
 from tabwarden.operators.profile import correlation_pairs, pair_moments
+from tabwarden.sources.storage import checkpointed
 
-# Distinct values up to which a rank table (16 bytes a row) is broadcast.
-MAX_BROADCAST = 200_000
+# Bits of a rank that one pass over the joint counts tells apart.
+DIGIT = 3
 
 
 def _joint_counts(df: DataFrame, columns: Sequence[str] | None, target_rows: int | None) -> tuple[DataFrame, int]:
@@ -51,7 +53,8 @@ def _spearman_complete(flat: DataFrame, names: Sequence[str], distinct: Sequence
     """Pairs of columns without missing values: each column is ranked once.
 
     A rank table is broadcast only when the column has few distinct values;
-    otherwise it is joined by value, where a frequent value is one row.
+    otherwise frequent values get their ranks where their rows are, and the
+    other rows by a join.
     """
     cut, buckets = value_buckets(flat, [f"c{i}" for i in range(len(names))], target_rows)
     out = flat
@@ -60,7 +63,7 @@ def _spearman_complete(flat: DataFrame, names: Sequence[str], distinct: Sequence
         totals = running_totals(counts, ["one"], f"c{i}", "b", ["m"], split=buckets > 1)
         # Average rank of a tied value: rows before it, plus half of its own and a half.
         ranks = totals.select(f"c{i}", (F.col("upto_m") - (F.col("m") - 1) / 2.0).alias(f"r{i}"))
-        out = out.join(F.broadcast(ranks) if distinct[i] <= MAX_BROADCAST else ranks, f"c{i}")
+        out = attached(out, ranks, [f"c{i}"], size=distinct[i])
     values = {n: F.col(f"r{i}") for i, n in enumerate(names)}
     return pair_moments(out, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]], values).drop("n").fillna(0.0, ["value"])
 
@@ -99,55 +102,42 @@ def _spearman_with_missing(df: DataFrame, columns: Sequence[str], target_rows: i
     )
 
 
-def dominated_weight(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Sum of w_i * w_j over pairs with x_i < x_j and y_i < y_j, by merging halves."""
-    order = np.lexsort((-y, x))  # ties in x descend in y, so they never count
-    y, w = y[order], w[order].astype("float64")
-    total, width = 0.0, 1
-    while width < len(y):
-        for at in range(0, len(y) - width, 2 * width):
-            left, right = slice(at, at + width), slice(at + width, min(at + 2 * width, len(y)))
-            before = np.concatenate(([0.0], np.cumsum(w[left])))
-            total += float(np.dot(before[np.searchsorted(y[left], y[right], "left")], w[right]))
-            both = slice(left.start, right.stop)
-            merged = np.argsort(y[both], kind="stable")
-            y[both], w[both] = y[both][merged], w[both][merged]
-        width *= 2
-    return total
+def _dense_ranks(joint: DataFrame, pair: Sequence[str], buckets: int) -> DataFrame:
+    """(pair, x, r): the place of each distinct x of a pair, from 0."""
+    distinct = joint.select(*pair, "x", "xb").distinct().withColumn("one", F.lit(1).cast("long"))
+    return running_totals(distinct, [*pair], "x", "xb", ["one"], split=buckets > 1).select(*pair, "x", (F.col("upto_one") - 1).alias("r"))
 
 
-def _stripe(pdf: pd.DataFrame) -> pd.DataFrame:
-    head = pdf.iloc[0]
-    total = dominated_weight(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy())
-    return pd.DataFrame({"feature_a": [head["feature_a"]], "feature_b": [head["feature_b"]], "p": [total]})
+def concordant_weight(ranked: DataFrame, pair: Sequence[str], bits: int, buckets: int) -> DataFrame:
+    """(pair, p): sum of n_i * n_j over pairs of rows with r_i < r_j and y_i < y_j; ranks have at most ``bits`` bits.
 
+    Two ranks part at exactly one digit of DIGIT bits: above it they agree, and there one has the smaller
+    digit. For each digit, rows that agree above it are a node; along a node's y, running totals of every
+    digit's weight say how much of the smaller digits lies below a row. A node is cut by y into buckets,
+    so no window holds more than a bucket of one node, down to nodes of single values.
+    """
+    digits = range(math.ceil(max(bits, 1) / DIGIT))
+    at = ranked.withColumn("level", F.explode(F.array(*map(F.lit, digits))))
+    at = at.select(*pair, "level", F.expr(f"shiftright(r, (level + 1) * {DIGIT})").alias("node"), F.expr(f"shiftright(r, level * {DIGIT}) & {(1 << DIGIT) - 1}").alias("digit"), "yb", "y", "n")
+    node = [*pair, "level", "node"]
+    each = [f"w{d}" for d in range(1 << DIGIT)]
+    sides = at.groupBy(*node, "yb", "y").agg(*(F.sum(F.when(F.col("digit") == d, F.col("n")).otherwise(0)).alias(w) for d, w in enumerate(each)))
+    # a node of one digit holds no such pair
+    run = running_totals(sides, node, "y", "yb", each[:-1], split=buckets > 1)
+    below = [F.col(f"upto_{w}") - F.col(w) for w in each[:-1]]
+    weight = sum((F.col(each[d]).cast("double") * sum(below[1:d], below[0]) for d in range(1, len(each))), F.lit(0.0))
+    return run.groupBy(*pair).agg(F.sum(weight).alias("p"))
 
-def kendall_pairs(df: DataFrame, columns: Sequence[str] | None = None, target_rows: int | None = None) -> DataFrame:
-    """Kendall's tau-b per pair.
 
-    Two rows with x1 < x2 either share an x bucket, which is small enough to
-    count in one task, or part at exactly one halving of the bucket range. For
-    each halving, the concordant weight is a running total over y of the left
-    half, read off at the rows of the right half.
-    """
+def kendall_pairs(df: DataFrame, columns: Sequence[str] | None = None, target_rows: int | None = None) -> DataFrame:
+    """Kendall's tau-b per pair, from the weight of its concordant pairs and its ties."""
     joint, buckets = _joint_counts(df, columns, target_rows)
+    joint = checkpointed(joint)
     pair = ["feature_a", "feature_b"]
-    out = "feature_a string, feature_b string, p double"
-    # A bucket of one x value (a frequent value has its own) holds no such pair.
-    varied = joint.groupBy(*pair, "xb").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select(*pair, "xb")
-    concordant = joint.join(varied, [*pair, "xb"], "left_semi").groupBy(*pair, "xb").applyInPandas(_stripe, out)
-    if buckets > 1:
-        levels = F.array(*[F.lit(i) for i in range((buckets - 1).bit_length())])
-        at = joint.groupBy(*pair, "xb", "yb", "y").agg(F.sum("n").alias("n")).withColumn("level", F.explode(levels))
-        half = F.expr("(xb >> level) & 1")
-        sides = at.groupBy(*pair, "level", F.expr("xb >> (level + 1)").alias("node"), "yb", "y").agg(
-            F.sum(F.when(half == 0, F.col("n")).otherwise(0)).alias("below"),
-            F.sum(F.when(half == 1, F.col("n")).otherwise(0)).alias("above"),
-        )
-        run = running_totals(sides, [*pair, "level", "node"], "y", "yb", ["below"])
-        weight = F.col("above").cast("double") * (F.col("upto_below") - F.col("below"))
-        concordant = concordant.unionByName(run.groupBy(*pair).agg(F.sum(weight).alias("p")))
-    concordant = concordant.groupBy(*pair).agg(F.sum("p").alias("p"))
+    ranks = _dense_ranks(joint, pair, buckets)
+    most = ranks.agg(F.max("r")).first()[0]
+    ranked = joint.join(ranks, [*pair, "x"]).select(*pair, "r", "y", "yb", "n")
+    concordant = concordant_weight(ranked, pair, int(most or 0).bit_length(), buckets)
 
     def ties(keys: list[str], name: str) -> DataFrame:
         m = joint.groupBy(*pair, *keys).agg(F.sum("n").cast("double").alias("m"))
