@@ -7,16 +7,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabwarden.functions.attach import attached
 from tabwarden.functions.expr import fingerprint, ratio
 from tabwarden.functions.types import as_double, common_columns, numeric_columns
 from tabwarden.operators import leakage
+from tabwarden.operators.near_vectors import RECALL, Matcher
 from tabwarden.plans.schemas import DEFAULTS
 
 DETECTOR = "contamination"
 # Train vectors compared in one join group before the group is salted.
 GROUP_ROWS = 50_000
-MIN_GRID_DIMS = 3
+# Up to so many columns near rows are found on an exact grid; every further one would triple a row's neighbouring cells.
+GRID_COLUMNS = 4
 
 
 def check_columns(
@@ -67,11 +71,13 @@ def duplicated_test_rows(train: DataFrame, test: DataFrame, target: str | None =
     """The test rows that also occur in train.
 
     Train is reduced to distinct identities first; a semi join then keeps each
-    test row at most once.
+    test row at most once. Test rows of a frequent identity are not moved.
     """
     names = check_columns(train, test, target, columns)
     known = train.select(fingerprint(names).alias("__row")).distinct()
-    return test.withColumn("__row", fingerprint(names)).join(known, "__row", "left_semi").drop("__row")
+    both = ["__row.a", "__row.b"]
+    rows = test.withColumn("__row", fingerprint(names)).withColumns({"__a": F.col(both[0]), "__b": F.col(both[1])}).drop("__row")
+    return attached(rows, known.select(F.col(both[0]).alias("__a"), F.col(both[1]).alias("__b")), ["__a", "__b"], "left_semi").drop("__a", "__b")
 
 
 def _unit_vector(df: DataFrame, names: Sequence[str]) -> Column:
@@ -80,33 +86,55 @@ def _unit_vector(df: DataFrame, names: Sequence[str]) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))  # zero vectors match nothing
 
 
-def _cell(unit: Column, width: float, dims: Sequence[int] | None = None) -> Column:
-    if dims is None:
-        return F.transform(unit, lambda x: F.floor(x / F.lit(width)))
-    return F.array(*[F.floor(unit[i] / F.lit(width)) for i in dims])
+def _cell(unit: Column, width: float) -> Column:
+    return F.transform(unit, lambda x: F.floor(x / F.lit(width)))
 
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def vector_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Those of the columns that hold arrays of numbers."""
+    return [c for c in columns if isinstance(t := df.schema[c].dataType, T.ArrayType) and isinstance(t.elementType, T.NumericType)]
+
+
 def near_duplicate_rows(
-    train: DataFrame, test: DataFrame, columns: Sequence[str], threshold: float = DEFAULTS["near_duplicate_threshold"], group_rows: int = GROUP_ROWS
+    train: DataFrame, test: DataFrame, columns: Sequence[str], threshold: float = DEFAULTS["near_duplicate_threshold"],
+    group_rows: int = GROUP_ROWS, recall: float = RECALL,
 ) -> DataFrame:
     """(unit, n): test vectors with some train vector at cosine >= threshold, with row counts.
 
-    Exact, without comparing all pairs. On unit vectors the threshold is a
-    distance r = sqrt(2(1-t)).
+    ``columns`` are numeric columns, which together make a row's vector, or one column of arrays. A missing
+    component counts as 0; a vector that is null, zero or holds an infinity matches nothing, nor do vectors
+    of different lengths. Up to GRID_COLUMNS columns are searched on a grid that misses no pair; wider
+    vectors by sign hashing, where a pair just at the threshold is missed with a chance of 1 - ``recall``
+    and every pair found is checked exactly.
+    """
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must lie between 0 and 1")
+    arrays = vector_columns(train, columns)
+    if not arrays and len(columns) <= GRID_COLUMNS:
+        return _near_on_grid(train, test, columns, threshold, group_rows)
+    if arrays and len(columns) > 1:
+        raise ValueError("near copies take numeric columns or one column of arrays")
+
+    def side(df: DataFrame) -> DataFrame:
+        return df.select((F.col(f"`{columns[0]}`") if arrays else F.array(*[as_double(df, c) for c in columns])).alias("v"))
+
+    return Matcher(side(train), side(test), threshold, recall).matched().select("unit", "n")
+
+
+def _near_on_grid(train: DataFrame, test: DataFrame, columns: Sequence[str], threshold: float, group_rows: int) -> DataFrame:
+    """Near rows of few columns, exactly. On unit vectors the threshold is a distance r = sqrt(2(1-t)).
 
     1. Space is cut into cells of diameter r. A test row in a cell that holds a
        train row is matched, whatever the cell's size; this settles the dense,
        heavily repeated regions by one equi-join on distinct cells.
     2. The other test vectors look at the neighbouring cells of a grid of width
-       r over the coordinates that vary most. A semi join stops at the first
-       match; cells with many train vectors are salted.
+       r. A semi join stops at the first match; cells with many train vectors
+       are salted.
     """
-    if not 0 < threshold < 1:
-        raise ValueError("threshold must lie between 0 and 1")
     d = len(columns)
     r = math.sqrt(2 * (1 - threshold))
     fine = r / math.sqrt(d) * (1 - 1e-9)
@@ -118,19 +146,14 @@ def near_duplicate_rows(
     matched = te.join(occupied, "cell", "left_semi").select("unit", "n")
     rest = te.join(occupied, "cell", "left_anti").select("unit", "n")
 
-    # Any choice of coordinates is exact; more of them make smaller cells but more neighbours.
-    raw = train.select(_unit_vector(train, columns).alias("unit"))
-    spread = raw.agg(F.count("unit").alias("n"), *[F.stddev_pop(F.col("unit")[i]).alias(f"s{i}") for i in range(d)]).first()
-    by_spread = sorted(range(d), key=lambda i: -(spread[f"s{i}"] or 0.0))
-    dims = by_spread[: min(d, MIN_GRID_DIMS + (spread["n"] > 10**7) + (spread["n"] > 10**10))]
-    train_cells = tr.withColumn("g", _cell(F.col("unit"), r, dims))
+    train_cells = tr.withColumn("g", _cell(F.col("unit"), r))
     salts = train_cells.groupBy("g").agg(F.ceil(F.count("*") / F.lit(float(group_rows))).alias("salts"))
     train_cells = train_cells.join(salts, "g").withColumn("salt", F.pmod(F.xxhash64("unit"), F.col("salts"))).select("g", "salt", F.col("unit").alias("other"))
     near = rest
-    for j, i in enumerate(dims):
+    for i in range(d):
         here = F.floor(F.col("unit")[i] / F.lit(r))
-        near = near.withColumn(f"g{j}", F.explode(F.array(here - 1, here, here + 1)))
-    looks = near.select("unit", "n", F.array(*[f"g{j}" for j in range(len(dims))]).alias("g")).join(salts, "g").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        near = near.withColumn(f"g{i}", F.explode(F.array(here - 1, here, here + 1)))
+    looks = near.select("unit", "n", F.array(*[f"g{i}" for i in range(d)]).alias("g")).join(salts, "g").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     a, b = looks.alias("a"), train_cells.alias("b")
     hit = (F.col("a.g") == F.col("b.g")) & (F.col("a.salt") == F.col("b.salt")) & (_dot(F.col("a.unit"), F.col("b.other")) >= threshold)
     found = a.join(b, hit, "left_semi").select("unit", "n").distinct()
@@ -141,9 +164,16 @@ def near_duplicates(
     train: DataFrame, test: DataFrame, target: str | None = None, columns: Sequence[str] | None = None,
     threshold: float = DEFAULTS["near_duplicate_threshold"],
 ) -> DataFrame | None:
-    """One row: near-duplicate test rows and test rows; None below two numeric columns."""
-    names = [c for c in check_columns(train, test, target, columns) if c in numeric_columns(train) and c in numeric_columns(test)]
-    if len(names) < 2:
+    """One row: near-duplicate test rows and test rows; None below two numeric columns.
+
+    Asked for one column of arrays alone, compares these vectors.
+    """
+    shared = check_columns(train, test, target, columns)
+    names = [c for c in shared if c in numeric_columns(train) and c in numeric_columns(test)]
+    arrays = [c for c in vector_columns(train, shared) if c in vector_columns(test, shared)]
+    if columns and len(shared) == len(arrays) == 1:
+        names = arrays
+    elif len(names) < 2:
         return None
     found = near_duplicate_rows(train, test, names, threshold)
     total = test.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -154,7 +184,7 @@ def detect(
     train: DataFrame, test: DataFrame | None, target: str | None = None, columns: Sequence[str] | None = None,
     threshold: float = DEFAULTS["near_duplicate_threshold"], check_near: bool = True,
 ) -> DataFrame:
-    """Findings: exact copies; near copies only when there are no exact ones."""
+    """Findings: exact copies, and near copies whether or not there are exact ones."""
     spark = train.sparkSession
     if test is None:
         return leakage.rows(spark, [leakage.skipped(DETECTOR, "no test data")])
@@ -170,7 +200,7 @@ def detect(
                 "Remove duplicate rows from train set or use group-aware splitting",
             )])
         )
-    elif check_near:
+    if check_near:
         near = near_duplicates(train, test, target, columns, threshold)
         if near is not None:
             hits = near.where("near_duplicates > 0")
