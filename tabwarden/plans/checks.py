@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tabwarden.plans.schemas import CHECK_RESULTS
 
-# Aggregates in one select; beyond this the generated code stops compiling well.
-MAX_AGGREGATES = 300
+# Aggregates side by side in one select; beyond this the generated code stops compiling well, and rows name the checks they raise.
+SIDE_BY_SIDE = 300
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,9 @@ _FACTS = "i int, validator string, check string, column string, severity string,
 
 
 def _fused(df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame:
-    """(i, violations, total) of checks that are plain aggregates: one scan."""
+    """(i, violations, total) of checks that are no frames: one scan, whatever their number."""
+    if len(checks) > SIDE_BY_SIDE:
+        return _named_by_rows(df, checks)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in checks:
         aggs.append(c.violations.cast("long").alias(f"v{i}"))
@@ -93,10 +95,34 @@ def _fused(df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(pairs).alias("x")).select("x.i", "x.m.violations", "x.m.total")
 
 
+def _named_by_rows(df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame:
+    """As ``_fused``, with the row checks as numbers: every row lists those it violates, and -1 once.
+
+    The numbers are counted by one grouped aggregate, combined in each task before its tiny shuffle. The
+    group of -1 has every row once, so the other aggregates are read from it.
+    """
+    by_row = [(i, c) for i, c in checks if c.row_predicate is not None]
+    other = [(f"v{i}", c.violations) for i, c in checks if c.row_predicate is None] + [(f"t{i}", c.total) for i, c in checks if c.total is not None]
+    raised = F.array_compact(F.array(F.lit(-1), *[F.when(c.row_predicate, F.lit(i)) for i, c in by_row]))
+    key = "raised"
+    while key in {c.lower() for c in df.columns}:
+        key += "_"
+    counts = df.select("*", F.explode(raised).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[c.cast("long").alias(name) for name, c in other])
+    whole = F.col(key) == -1
+    once = lambda name: F.max(F.when(whole, F.col(name))).alias(name)
+    row = counts.agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias("by"), once("n"), *[once(name) for name, _ in other])
+    zero = F.lit(0).cast("long")
+    violations = [F.coalesce(F.try_element_at("by", F.lit(i)), zero) if c.row_predicate is not None else F.col(f"v{i}") for i, c in checks]
+    totals = [F.col(f"t{i}") if c.total is not None else F.coalesce("n", zero) for i, c in checks]
+    found = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("violations"), t.alias("total")) for (i, _), v, t in zip(checks, violations, totals)])
+    return row.select(F.explode(found).alias("x")).select("x.*")
+
+
 def _tried(df: DataFrame, checks: list[Check]) -> list[Check]:
     """Checks with users' expressions that raise on some value become failed rows.
 
-    All of them are tried in one scan; only if that fails is each tried alone.
+    All of them are tried in one scan. While one fails, halves are tried, so a few bad expressions among
+    many cost a few scans each.
     """
     def error(some: list[Check]) -> str | None:
         try:
@@ -105,10 +131,16 @@ def _tried(df: DataFrame, checks: list[Check]) -> list[Check]:
         except PySparkException as e:
             return e.getCondition() or type(e).__name__
 
-    doubtful = [c for c in checks if c.may_fail]
-    if not doubtful or error(doubtful) is None:
-        return checks
-    found = {id(c): error([c]) for c in doubtful}
+    def failing(some: list[Check]) -> dict[int, str]:
+        why = error(some) if some else None
+        if why is None:
+            return {}
+        if len(some) == 1:
+            return {id(some[0]): why}
+        half = len(some) // 2
+        return failing(some[:half]) | failing(some[half:])
+
+    found = failing([c for c in checks if c.may_fail])
     return [note(c.validator, c.check, c.column, "error", True, found[id(c)]) if found.get(id(c)) else c for c in checks]
 
 
@@ -118,7 +150,7 @@ def run(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
     if not numbered:
         return df.sparkSession.createDataFrame([], CHECK_RESULTS)
     plain = [(i, c) for i, c in numbered if c.frame is None]
-    parts = [_fused(df, plain[at : at + MAX_AGGREGATES]) for at in range(0, len(plain), MAX_AGGREGATES)]
+    parts = [_fused(df, plain)] if plain else []
     for i, c in numbered:
         if c.frame is not None:
             parts.append(c.frame.select(F.lit(i).alias("i"), F.col("violations").cast("long").alias("violations"), F.col("total").cast("long").alias("total")))

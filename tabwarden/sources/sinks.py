@@ -37,23 +37,37 @@ def append_events(events: DataFrame, path: str, time_column: str) -> None:
     days.write.mode("append").partitionBy("day").parquet(path)
 
 
+def newest_days(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The days of a history table, newest first, until they hold ``n`` rows; older days are not read.
+
+    Rows per day come from the files' footers: no column is read for them.
+    """
+    table = spark.read.parquet(path)
+    held, first = 0, None
+    for row in table.groupBy("day").agg(F.count(F.lit(1)).alias("n")).where("day is not null").orderBy(F.desc("day")).collect():  # one row per day
+        held, first = held + row["n"], row["day"]
+        if held >= n:
+            return table.where(F.col("day") >= F.lit(first)).drop("day")
+    return table.drop("day")
+
+
 def retained_scans(spark: SparkSession, path: str, n: int = history.MAX_SCANS) -> DataFrame:
     """The n newest scans of a history table."""
-    return history.newest(spark.read.parquet(path).drop("day"), n)
+    return history.newest(newest_days(spark, path, n), n)
 
 
 def retained_alerts(spark: SparkSession, path: str, n: int = history.MAX_ALERTS) -> DataFrame:
-    return alerts.retained(spark.read.parquet(path).drop("day"), n)
+    return alerts.retained(newest_days(spark, path, n), n)
 
 
 def retained_regressions(spark: SparkSession, path: str, n: int = history.MAX_SCAN_ALERTS) -> DataFrame:
     """The n newest regression alerts of a history table."""
-    return alerts.retained(spark.read.parquet(path).drop("day"), n)
+    return alerts.retained(newest_days(spark, path, n), n)
 
 
 def compact(spark: SparkSession, path: str, into: str, n: int, time_column: str, tie: str) -> None:
     """Rewrite the n newest rows of a history table to a new path."""
-    kept = spark.read.parquet(path).drop("day").orderBy(F.desc(time_column), F.desc(tie)).limit(n)
+    kept = newest_days(spark, path, n).orderBy(F.desc(time_column), F.desc(tie)).limit(n)
     append_events(kept, into, time_column)
 
 
