@@ -85,10 +85,22 @@ def _(t):
     return ks.withColumn("ks", F.round("ks", 8))
 
 
+# Upper tail of the chi-squared distribution: one minus the series of the lower incomplete gamma function, far past its largest term.
+_TAIL = """CASE WHEN chi2 <= 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, CAST(chi2 / 2 + 40 * sqrt(chi2) + 200 AS BIGINT)),
+   lambda n: exp((dof / 2.0 + n) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2.0 + n + 1))))) END"""
+
+@query("d3_nested_buckets", f"SELECT feature, n0, n1, round(ks, 8) AS ks FROM {ks_sql('value', OLD, NEW)}")
+def _(t):
+    """The value buckets of 8 rows, cut in two levels."""
+    old, new = priced(t)
+    return drift.ks_statistic(old, new, ["value"], target_rows=8).withColumn("ks", F.round("ks", 8))
+
+
 _CHI = """(WITH c AS (SELECT x, count(*) FILTER (WHERE s = 0) AS a, count(*) FILTER (WHERE s = 1) AS b FROM (SELECT {c} AS x, 0 AS s FROM {ref} UNION ALL SELECT {c}, 1 FROM {cur}) GROUP BY x),
-   e AS (SELECT *, (a + 1) / ((SELECT sum(a) FROM c) + (SELECT count(*) FROM c)) * (SELECT sum(b) FROM c) AS x0 FROM c)
-   SELECT '{c}' AS feature, round(sum((b - x0) * (b - x0) / x0), 6) AS chi2, count(*) - 1 AS dof, count(*) FILTER (WHERE a > 0) AS train_categories,
-     count(*) FILTER (WHERE b > 0) AS test_categories, count(*) FILTER (WHERE a = 0) AS new_categories FROM e)"""
+   e AS (SELECT *, (a + 1) / ((SELECT sum(a) FROM c) + (SELECT count(*) FROM c)) * (SELECT sum(b) FROM c) AS x0 FROM c),
+   q AS (SELECT sum((b - x0) * (b - x0) / x0) AS chi2, count(*) - 1 AS dof, count(*) FILTER (WHERE a > 0) AS train_categories, count(*) FILTER (WHERE b > 0) AS test_categories, count(*) FILTER (WHERE a = 0) AS new_categories FROM e),
+   p AS (SELECT *, """ + _TAIL + """ AS p FROM q)
+   SELECT '{c}' AS feature, round(chi2, 6) AS chi2, dof, train_categories, test_categories, new_categories, round(p, 6) AS p_value, p < 0.05 AS has_drift, 'tested' AS status, CAST(NULL AS VARCHAR) AS reason FROM p)"""
 
 
 @query("d5_d9_category_drift", all_of(*[f"SELECT * FROM {_CHI.format(c=c, ref=REF, cur=CUR)}" for c in ("l_returnflag", "l_linestatus")], "SELECT * FROM " + _CHI.format(c="x", ref="(SELECT event_type || CASE WHEN value > 300 THEN '!' ELSE '' END AS x FROM " + OLD + ")", cur="(SELECT event_type || CASE WHEN value > 300 THEN '!' ELSE '' END AS x FROM " + NEW + ")")))
@@ -97,7 +109,7 @@ def _(t):
     old, new = priced(t)
     tag = F.concat("event_type", F.when(F.col("value") > 300, "!").otherwise("")).alias("x")
     out = drift.chi2_drift(ref, cur, ["l_returnflag", "l_linestatus"]).unionByName(drift.chi2_drift(old.select(tag), new.select(tag), ["x"]))
-    return rounded(out.drop("p_value", "has_drift", "status", "reason"), 6)
+    return rounded(out, 6)
 
 
 @query("d6_density_histograms", all_of(*[f"""SELECT '{c}' AS feature, CAST(g.bin AS INT) AS bin, round(coalesce(a, 0) / (SELECT count(*) FROM {OLD}) / ((hi - lo) / 20), 8) AS reference,
@@ -121,7 +133,7 @@ def _(t):
 
 @query(
     "d8_split_drift",
-    "SELECT p.feature, round(ks, 4) AS ks, round(psi, 4) AS psi, (" + _P + ") < 0.05 OR psi > 0.2 AS has_drift, round(train_mean, 4) AS train_mean, round(test_mean, 4) AS test_mean, round(train_std, 4) AS train_std, round(test_std, 4) AS test_std FROM ("
+    "SELECT p.feature, round(ks, 4) AS ks, round(" + _P + ", 4) AS p_value, 'tested' AS status, CAST(NULL AS VARCHAR) AS reason, round(psi, 4) AS psi, (" + _P + ") < 0.05 OR psi > 0.2 AS has_drift, round(train_mean, 4) AS train_mean, round(test_mean, 4) AS test_mean, round(train_std, 4) AS train_std, round(test_std, 4) AS test_std FROM ("
     + all_of(*[f"SELECT * FROM {psi_closed_sql(c, OLD, NEW)}" for c in ("value", "user_id", "event_id")]) + ") p JOIN ("
     + all_of(*[f"SELECT * FROM {ks_sql(c, OLD, NEW)}" for c in ("value", "user_id", "event_id")]) + ") k USING (feature) JOIN ("
     + all_of(*[f"SELECT '{c}' AS feature, (SELECT avg({c}) FROM {OLD}) AS train_mean, (SELECT avg({c}) FROM {NEW}) AS test_mean, (SELECT stddev_samp({c}) FROM {OLD}) AS train_std, (SELECT stddev_samp({c}) FROM {NEW}) AS test_std" for c in ("value", "user_id", "event_id")])
@@ -129,7 +141,7 @@ def _(t):
 )
 def _(t):
     old, new = priced(t)
-    return rounded(drift.numeric_drift(old, new).drop("p_value", "reason", "status"))
+    return rounded(drift.numeric_drift(old, new))
 
 
 @query("d10_drift_summary", f"""SELECT count(*) FILTER (WHERE d) > 0 AS drift_detected, count(*) FILTER (WHERE d) AS drifted_features_count, count(*) AS total_features_analyzed,

@@ -52,10 +52,10 @@ SCANS = """(SELECT md5(event_type || '|' || h) AS scan_id, event_type AS dataset
     "v1_v2_v3_dataset_version",
     """WITH s AS (SELECT count(*) AS n, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS total, CAST(bit_xor(h) AS VARCHAR) AS mixed FROM (SELECT CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority || '|' || o_orderstatus), 1, 15) AS BIGINT) AS h FROM orders)),
        k AS (SELECT substr(sha256('{"columns": ["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"], "dtypes": {"o_custkey": "int", "o_orderkey": "int", "o_orderpriority": "string", "o_orderstatus": "string"}}'), 1, 16) AS sh)
-       SELECT substr(sha256(sh || '|' || CAST(n AS VARCHAR) || '|' || total || '|' || mixed), 1, 16) AS version_hash, sh AS schema_hash, n AS row_count, CAST(4 AS BIGINT) AS column_count, ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority'] AS column_names FROM s, k""",
+       SELECT substr(sha256(sh || '|' || CAST(n AS VARCHAR) || '|' || total || '|' || mixed), 1, 16) AS version_hash, sh AS schema_hash, n AS row_count, CAST(4 AS BIGINT) AS column_count, ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority'] AS column_names, '{"o_custkey":"int","o_orderkey":"int","o_orderpriority":"string","o_orderstatus":"string"}' AS column_dtypes FROM s, k""",
 )
 def _(t):
-    return history.dataset_version(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), portable=True).drop("column_dtypes")
+    return history.dataset_version(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), portable=True).withColumn("column_dtypes", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("column_dtypes")))))
 
 
 @query("v4_scan_history", f"SELECT scan_id, dataset_name, total_issues, \"timestamp\" FROM {SCANS} WHERE scan_type = 'quality' ORDER BY \"timestamp\" DESC, scan_id DESC LIMIT 50")

@@ -61,6 +61,27 @@ def _(t):
     return contamination.near_duplicates(train, test, columns=["p_size", "p_retailprice", "p_partkey"], threshold=0.9999999)
 
 
+# Every second vector is train. Test holds the others, and of every tenth train vector two copies: one whose components are
+# turned a little (cosine near 0.96) and one turned more (near 0.93).
+_TURN = "list_transform(e, lambda x, i: x * (1 + {} * (i % 3 - 1)))"
+
+
+@query(
+    "l3_near_duplicates_embeddings",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+       tr AS (SELECT e FROM v WHERE vec_id % 2 = 0),
+       te AS (SELECT e FROM v WHERE vec_id % 2 = 1 UNION ALL SELECT {_TURN.format(0.35)} FROM v WHERE vec_id % 10 = 0 UNION ALL SELECT {_TURN.format(0.5)} FROM v WHERE vec_id % 10 = 0),
+       tu AS (SELECT list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM tr), eu AS (SELECT list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM te)
+       SELECT count(*) AS near_duplicates, (SELECT count(*) FROM te) AS test_rows FROM eu WHERE EXISTS (SELECT 1 FROM tu WHERE list_dot_product(tu.u, eu.u) >= 0.95)""",
+)
+def _(t):
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    turned = lambda k: F.transform("e", lambda x, i: x * (1 + k * ((i + 1) % 3 - 1)))
+    some = rows.where("vec_id % 10 = 0")
+    test = rows.where("vec_id % 2 = 1").select("e").unionByName(some.select(turned(0.35).alias("e"))).unionByName(some.select(turned(0.5).alias("e")))
+    return contamination.near_duplicates(rows.where("vec_id % 2 = 0").select("e"), test, columns=["e"])
+
+
 _NO_PRICE = [c for c in LINE_NUM if c != "l_extendedprice"]
 # A feature computed from the target: its share of the order price after discount.
 LEAKY = "(SELECT *, l_extendedprice * (1 - l_discount) AS net_price, l_linestatus = 'F' AS is_final FROM lineitem)"
@@ -146,6 +167,13 @@ def _(t):
     return feature.feature_importance(leaky(t).select(*_NO_PRICE, "net_price", "l_extendedprice"), "l_extendedprice")
 
 
+@query("l9_top_feature", f"SELECT feature FROM ({all_of(*[f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS r FROM {LEAKY}" for c in [*_NO_PRICE, 'net_price']])}) ORDER BY r DESC LIMIT 1")
+def _(t):
+    """The most important feature of the forest: the one most correlated with the target, computed from it."""
+    found = feature.feature_importance(leaky(t).select(*_NO_PRICE, "net_price", "l_extendedprice"), "l_extendedprice")
+    return found.orderBy(F.desc("importance"), "feature").limit(1).select("feature")
+
+
 @query("l11_time_ranges", f"SELECT 'train' AS side, min(l_shipdate) AS earliest, max(l_shipdate) AS latest, count(*) AS rows FROM {REF} UNION ALL SELECT 'test', min(l_shipdate), max(l_shipdate), count(*) FROM {CUR}")
 def _(t):
     return temporal.time_ranges(*periods(t), "l_shipdate")
@@ -175,15 +203,21 @@ def _(t):
     return leakage.issues(temporal.detect(df, None, look_ahead=["o_custkey"], sequence="o_orderkey")).select("feature", "leakage_type")
 
 
-@query(
-    "l15_time_order",
-    """SELECT count(*) AS rows, count(*) FILTER (WHERE ts < p) AS steps_down, count(*) FILTER (WHERE ts > p) AS steps_up,
-       count(*) FILTER (WHERE ts < p) = 0 OR count(*) FILTER (WHERE ts > p) = 0 AS is_time_sorted FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS p FROM events)""",
-)
+_TIME_ORDER = """SELECT count(*) AS rows, count(*) FILTER (WHERE ts < p) AS steps_down, count(*) FILTER (WHERE ts > p) AS steps_up,
+       count(*) FILTER (WHERE ts < p) = 0 OR count(*) FILTER (WHERE ts > p) = 0 AS is_time_sorted FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS p FROM events)"""
+
+
+@query("l15_time_order", _TIME_ORDER)
 def _(t):
     return temporal.time_order(t.events, "ts", "event_id")
 
 
+@query("l15_time_order_nested", _TIME_ORDER)
+def _(t):
+    """The same in buckets of 8 rows, cut in two levels."""
+    return temporal.time_order(t.events, "ts", "event_id", target_rows=8)
+
+
 def net_periods(t):
     return (df.withColumn("net_price", F.col("l_extendedprice") * (1 - F.col("l_discount"))) for df in periods(t))
 
@@ -192,49 +226,60 @@ def split_run(t, **kw):
     return engine.leakage_run(*net_periods(t), engine.LeakageConfig(target="l_extendedprice", check_importance=False, **kw))
 
 
-_RUN = f"""(SELECT 'contamination' AS detector, CASE WHEN (SELECT count(*) FROM (SELECT * EXCLUDE (l_extendedprice), l_extendedprice * (1 - l_discount) FROM {REF} INTERSECT SELECT * EXCLUDE (l_extendedprice), l_extendedprice * (1 - l_discount) FROM {CUR})) > 0 THEN 'detected' ELSE 'clean' END AS status
-   UNION ALL SELECT 'target', CASE WHEN (SELECT round(abs(corr(l_extendedprice * (1 - l_discount), l_extendedprice)), 4) FROM {REF}) >= 0.95 THEN 'detected' ELSE 'clean' END
-   UNION ALL SELECT 'feature', 'clean'
-   UNION ALL SELECT 'temporal', CASE WHEN (SELECT min(l_shipdate) FROM {CUR}) < (SELECT max(l_shipdate) FROM {REF}) THEN 'detected' ELSE 'clean' END)"""
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice * (1 - l_discount)"]
+
 
+def _units(src: str) -> str:
+    """The numeric features of a run as vectors of length 1."""
+    v = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in _NUMERIC) + "]"
+    return f"(SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT {v} AS v FROM {src}))"
 
-@query("l16_detector_status", f"SELECT detector, status FROM {_RUN}")
+
+_FEATURES = "* EXCLUDE (l_extendedprice), l_extendedprice * (1 - l_discount)"
+_COPIES = f"(SELECT count(*) FROM (SELECT {_FEATURES} FROM {REF} INTERSECT SELECT {_FEATURES} FROM {CUR}))"
+_NEAR = f"(SELECT count(*) FROM (SELECT 1 FROM {_units(REF)} a, {_units(CUR)} b WHERE list_dot_product(a.u, b.u) >= 0.95 LIMIT 1))"
+_CORRELATED = "(" + " + ".join(f"(coalesce((SELECT round(abs(corr({c}, l_extendedprice)), 4) FROM {REF}), 0) >= 0.95)::INT" for c in _NUMERIC) + ")"
+_BEFORE = f"(SELECT count(*) FROM {CUR} WHERE l_shipdate < (SELECT max(l_shipdate) FROM {REF}))"
+_CONSTANT = "(SELECT " + " + ".join(f"(count(DISTINCT {c}) <= 1)::INT" for c in [*_NUMERIC, "l_returnflag", "l_linestatus", "l_shipdate"]) + f" FROM {REF})"
+#: Findings of each kind: a detector has found something if one of them is more than information.
+_FOUND = f"""(SELECT 'contamination' AS detector, 1 AS k, 'train_test_contamination' AS leakage_type, ({_COPIES} > 0)::INT AS n, true AS counts
+   UNION ALL SELECT 'contamination', 1, 'near_duplicate_contamination', ({_NEAR} > 0)::INT, true
+   UNION ALL SELECT 'target', 2, 'target_leakage', {_CORRELATED}, true
+   UNION ALL SELECT 'feature', 3, 'constant_feature', {_CONSTANT}, false
+   UNION ALL SELECT 'temporal', 4, 'temporal_overlap', ({_BEFORE} > 0)::INT, true)"""
+_RUN = f"(SELECT detector, k, CASE WHEN sum(n) FILTER (WHERE counts) > 0 THEN 'detected' ELSE 'clean' END AS status, CAST(sum(n) AS BIGINT) AS issues FROM {_FOUND} GROUP BY detector, k)"
+
+
+@query("l16_detector_status", f"SELECT detector, status, issues FROM {_RUN}")
 def _(t):
-    found = split_run(t, columns=[c for c in t.lineitem.columns if c != "l_extendedprice"] + ["net_price"], run=("contamination", "target", "feature", "temporal"))
-    return leakage.detector_status(found.where("leakage_type not like 'near%'")).select("detector", "status")
+    return leakage.detector_status(split_run(t))
 
 
 @query(
     "l17_l18_report_summary",
-    f"""SELECT CASE WHEN count(*) FILTER (WHERE status = 'detected') > 0 THEN 'leakage_detected' ELSE 'clean' END AS status, count(*) FILTER (WHERE status = 'detected') > 0 AS has_leakage,
-       count(*) AS detectors_run, count(*) FILTER (WHERE status = 'clean') AS detectors_clean, count(*) FILTER (WHERE status = 'detected') AS detectors_detected FROM {_RUN} WHERE detector <> 'contamination'""",
+    f"""SELECT CASE WHEN count(*) FILTER (WHERE status = 'detected') > 0 THEN 'leakage_detected' ELSE 'clean' END AS status, count(*) FILTER (WHERE status = 'detected') > 0 AS has_leakage, CAST(sum(issues) AS BIGINT) AS total_issues,
+       count(*) AS detectors_run, count(*) FILTER (WHERE status = 'clean') AS detectors_clean, count(*) FILTER (WHERE status = 'detected') AS detectors_detected FROM {_RUN}""",
 )
 def _(t):
-    return leakage.report_summary(split_run(t, run=("target", "feature", "temporal"))).drop("total_issues")
+    return leakage.report_summary(split_run(t))
 
 
-@query("l18_issues_and_recommendations")
+@query("l18_issues_and_recommendations", f"SELECT leakage_type, CAST(n AS BIGINT) AS issues FROM {_FOUND} WHERE n > 0")
 def _(t):
-    found = split_run(t)
-    return leakage.issues_by_type(found).withColumnRenamed("leakage_type", "entry").unionByName(leakage.recommendations(found).select(F.col("recommendation").alias("entry"), F.lit(0).cast("long").alias("issues")))
+    return leakage.issues_by_type(split_run(t))
 
 
-@query("l17_quick_check", f"SELECT count(*) > 0 AS has_leakage FROM {_RUN} WHERE status = 'detected' AND detector <> 'contamination'")
+@query("l17_quick_check", f"SELECT count(*) > 0 AS has_leakage FROM {_RUN} WHERE status = 'detected'")
 def _(t):
-    """All default detectors; on the given tables the target alone decides, which is what the SQL reads."""
     cfg = engine.LeakageConfig(target="l_extendedprice", check_importance=False)
     found = engine.quick_check(*net_periods(t), cfg)
     return t.spark.createDataFrame([(found,)], "has_leakage boolean")
 
 
-@query(
-    "l19_fail_fast_run",
-    f"""WITH r AS (SELECT k, detector, status FROM {_RUN} JOIN (VALUES ('target', 1), ('feature', 2), ('temporal', 3)) AS o(detector, k) USING (detector))
-       SELECT detector, status FROM r WHERE k <= coalesce((SELECT min(k) FROM r WHERE status = 'detected'), 3)""",
-)
+@query("l19_fail_fast_run", f"SELECT detector, status FROM {_RUN} WHERE k <= coalesce((SELECT min(k) FROM {_RUN} WHERE status = 'detected'), 4)")
 def _(t):
     """Stops after the first detector that finds something."""
-    return leakage.detector_status(split_run(t, run=("target", "feature", "temporal"), fail_fast=True)).select("detector", "status")
+    return leakage.detector_status(split_run(t, fail_fast=True)).select("detector", "status")
 
 
 @query(

@@ -751,12 +751,12 @@ _OVERALL = f"""(SELECT CASE WHEN count(*) FILTER (WHERE status = 'failed') > 0 T
 
 @query(
     "g2_g3_g4_g6_report_summary",
-    f"""SELECT *, CAST(CASE status WHEN 'failed' THEN 0 WHEN 'warning' THEN 1 - least(0.5, 0.05 * total_issues) ELSE 1 END AS DOUBLE) AS quality_score,
+    f"""SELECT *, total_issues AS scored_issues, CAST(6 AS BIGINT) AS data_columns, CAST(CASE status WHEN 'failed' THEN 0 WHEN 'warning' THEN 1 - least(0.5, 0.05 * total_issues) ELSE 1 END AS DOUBLE) AS quality_score,
       CAST(greatest(0, CASE status WHEN 'warning' THEN 80 WHEN 'failed' THEN 45 ELSE 100 END -
         least(CASE status WHEN 'warning' THEN 30 WHEN 'failed' THEN 45 ELSE 15 END, 2 * total_issues)) AS DOUBLE) AS tiered_score FROM {_OVERALL}""",
 )
 def _(t):
-    return rollup.report_summary(orders_report(t), t.orders).drop("scored_issues", "data_columns")
+    return rollup.report_summary(orders_report(t), t.orders)
 
 
 @query("g5_issues_by_severity", f"SELECT CASE worst WHEN 'failed' THEN 'error' ELSE worst END AS severity, CAST(sum(bad) AS BIGINT) AS issues FROM {_VALIDATORS} WHERE bad > 0 GROUP BY 1")

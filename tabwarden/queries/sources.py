@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tabwarden.operators import history, impact
 from tabwarden.operators.rules import Rule, rules_checks
-from tabwarden.plans import checks
+from tabwarden.plans import checks, rollup
 from tabwarden.queries.history import ALERTS, SCANS, scan_alerts, scans
-from tabwarden.queries.quality import all_of, brief, expect, n_if, orders_report
+from tabwarden.queries.quality import _STATUS, all_of, brief, expect, n_if, orders_report
 from tabwarden.queries.registry import query
 from tabwarden.sources import readers, sampling, sinks
 from tabwarden.sources.storage import scratch_path
@@ -100,7 +100,25 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("s12_experiment_report")
+@query("s11_report_status", f"SELECT 'scan-1' AS scan_id, TIMESTAMP '2001-08-02' AS created_at, validator, status, issues FROM {_STATUS}")
+def _(t):
+    """Status of each validator, from the report that was written and read again."""
+    path = scratch_path(t.spark, "reports")
+    sinks.write_reports(orders_report(t), path, "scan-1", "2001-08-02 00:00:00")
+    back = t.spark.read.parquet(path)
+    return rollup.validator_status(back).select(F.lit(back.first()["scan_id"]).alias("scan_id"), F.lit(back.first()["created_at"]).alias("created_at"), "validator", "status", "issues")
+
+
+@query(
+    "s12_experiment_report",
+    """WITH m AS (SELECT o_orderstatus = 'F' AS before, avg((o_totalprice > 200000)::INT) AS a, avg((o_totalprice > 150000)::INT) AS c FROM orders GROUP BY 1),
+       d AS (SELECT b.a - f.a AS d, b.c - b.a AS gb, f.c - f.a AS ga FROM (SELECT * FROM m WHERE before) b, (SELECT * FROM m WHERE NOT before) f),
+       v AS (SELECT *, CASE WHEN d > 0.1 THEN 'significant' WHEN d > 0.02 THEN 'moderate' ELSE 'minimal' END AS v FROM d)
+       SELECT unnest(['verdict: ' || v, printf('accuracy drop: %.4f', d), printf('generalization gap: %.4f before, %.4f after', gb, ga), 'advice: ' || CASE v
+         WHEN 'significant' THEN 'Remove identified leaky features; Review feature engineering pipeline; Audit data collection process'
+         WHEN 'moderate' THEN 'Review suspicious features; Monitor model performance in production; Consider partial removal'
+         ELSE 'Features appear clean; Maintain monitoring; Document findings' END]) AS value FROM v""",
+)
 def _(t):
     path = scratch_path(t.spark, "experiment")
     over = lambda v: F.avg((F.col("o_totalprice") > v).cast("double"))

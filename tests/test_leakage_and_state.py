@@ -208,3 +208,21 @@ def test_registered_runs_notice_near_copies_alone(spark, tmp_path):
     queries = entry.queries()
     assert queries["l17_quick_check"](spark, str(tmp_path)).first().has_leakage
     assert "near_duplicate_contamination" in {r.entry for r in queries["l18_issues_and_recommendations"](spark, str(tmp_path)).collect()}
+
+
+def test_retention_reads_the_newest_days_only(spark, tmp_path):
+    """Ten days of four rows: the newest ten rows lie in three days, and no older day is listed in the plan."""
+    from pyspark.sql import functions as F
+
+    from tabwarden.sources import sinks
+
+    path = str(tmp_path / "history")
+    rows = spark.range(40).select(F.col("id").alias("k"), F.timestamp_seconds(F.col("id") * 21_600).cast("timestamp_ntz").alias("timestamp"))
+    sinks.append_events(rows, path, "timestamp")
+    got = sinks.newest_days(spark, path, 10)
+    assert sorted(r.k for r in got.collect()) == list(range(28, 40))
+    days = {f.split("day=")[1][:10] for f in got.inputFiles()}
+    assert len(days) == 3 and "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
+    assert sinks.newest_days(spark, path, 1_000).count() == 40
+    sinks.compact(spark, path, str(tmp_path / "kept"), 10, "timestamp", "k")
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == list(range(30, 40))

@@ -7,10 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabwarden.functions import selection
+from tabwarden.functions import attach, moments, ordering, selection
 from tabwarden.functions.labels import code_table, label_codes
 from tabwarden.functions.ordering import order_buckets, running_totals, value_buckets
-from tabwarden.operators import contamination, drift, impact, rank_correlation, risk, temporal, timeliness
+from tabwarden.operators import contamination, drift, impact, near_vectors, profile, rank_correlation, risk, temporal, timeliness
+from tabwarden.plans import checks
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,45 @@ def test_order_statistics_of_large_longs(spark):
     assert got == {("v", r): base + r for r in (0, 1, 1499, 2999)}
 
 
+ADVERSARIAL = {
+    "neighbours": [2.0**53 + 2 * k for k in range(400)] + [2.0**53 - k for k in range(400)],
+    "cluster": [1e300, -1e300] + [1e-300 * (1 + k * 2.0**-52) for k in range(700)],
+    "one_value": [0.1] * 900 + [math.nextafter(0.1, 1)] * 30 + [-0.1] * 7,
+    "powers": [s * 2.0**e * m for e in range(-1074, 1024, 7) for s in (-1, 1) for m in (1.0, 1.0 - 2.0**-53)],
+    "zeros_and_infinities": [0.0, -0.0] * 100 + [math.inf, -math.inf] * 50 + [5e-324, -5e-324, 1.7976931348623157e308] * 9,
+    "full_range": [float(x) for x in np.random.default_rng(2).integers(0, 2**64, 800, dtype=np.uint64).view(np.float64) if x == x],
+}
+
+
+@pytest.mark.parametrize("name", ADVERSARIAL)
+def test_radix_selection_of_adversarial_values(spark, name, monkeypatch):
+    """Every rank asked for is exact, every class that is ordered is under the limit, and 64 / BITS rounds do."""
+    values = np.array(ADVERSARIAL[name])
+    sizes, rounds = [], []
+    picked, digits = selection._picked, selection._Columns.digits
+    monkeypatch.setattr(selection, "_picked", lambda cols, classes: (sizes.extend(c.count for cs in classes.values() for c in cs), picked(cols, classes))[1])
+    monkeypatch.setattr(selection._Columns, "digits", lambda self, classes: (rounds.append(1), digits(self, classes))[1])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (math.nan,)], "v double").repartition(3)
+    ranks = sorted({0, 1, len(values) // 3, len(values) // 2, len(values) - 2, len(values) - 1})
+    got = selection.order_statistics(df, {"v": F.col("v")}, {"v": ranks}, 20)
+    assert [got["v", r] for r in ranks] == np.sort(values)[ranks].tolist()
+    assert max(sizes, default=0) <= 20 and len(rounds) <= 64 // selection.BITS
+
+
+def test_radix_selection_of_longs_and_decimals_over_their_whole_range(spark):
+    longs = [-(2**63), 2**63 - 1, 2**53, 2**53 + 1, 2**53 + 2, -1, 0, 1] * 40
+    df = spark.createDataFrame([(v, str(v % 10**15)) for v in longs], "v long, t string").withColumn("d", F.col("t").cast("decimal(30,3)"))
+    got = selection.order_statistics(df, {"v": F.col("v"), "d": F.col("d")}, {"v": [0, 40, 200, 319], "d": [0, 160, 319]}, 10)
+    assert got == {**{("v", r): sorted(longs)[r] for r in (0, 40, 200, 319)}, **{("d", r): float(sorted(v % 10**15 for v in longs)[r]) for r in (0, 160, 319)}}
+
+
+def test_keys_order_like_doubles(spark):
+    values = sorted({float(v) for vs in ADVERSARIAL.values() for v in vs})
+    rows = selection.order_keys(spark.createDataFrame([(v, v) for v in values], "v double, k double"), ["k"]).collect()
+    by = sorted((r["v"], r["k"]) for r in rows)
+    assert all(a[1] < b[1] for a, b in zip(by, by[1:])) and all(selection.value_of(k) == v for v, k in by)
+
+
 def test_quantiles_of_empty_and_null(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert selection.exact_quantiles(df, {"v": F.col("v")}, [0.5]) == {"v": None}
@@ -65,6 +105,25 @@ def test_hot_order_value_is_split_by_key(skewed):
     assert all(a["hi"] < b["lo"] for a, b in zip(ordered, ordered[1:]))
 
 
+def test_nested_buckets_are_small_ordered_and_deterministic(spark, monkeypatch):
+    """Two and more levels: 5,000 rows, a third of them one value, in buckets of about 8 by passes of 20 parts."""
+    monkeypatch.setattr(ordering, "FAN", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, float(v)) for i, v in enumerate(np.where(rng.random(5000) < 0.34, 5.0, rng.normal(5, 1e-6, 5000)))]
+    df = spark.createDataFrame(rows, "id long, x double").repartition(4)
+    cut = order_buckets(df, "x", "id", target_rows=8)
+    got = cut.collect()
+    assert sorted((r["id"], r["x"]) for r in got) == rows and sorted(map(tuple, got)) == sorted(map(tuple, cut.collect()))
+    sizes = pd.Series([r["bucket"] for r in got]).value_counts()
+    assert sizes.max() <= 16 and len(sizes) > 20 * 20
+    ends = cut.groupBy("bucket").agg(F.min(F.struct("x", "id")).alias("lo"), F.max(F.struct("x", "id")).alias("hi")).orderBy("bucket").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:]))
+    counts, ids = value_buckets(df.select("x"), ["x"], target_rows=8)
+    assert ids > 400
+    per = counts.groupBy("x__b").agg(F.count("*").alias("n"), F.countDistinct("x").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("x__b").collect()
+    assert all(r["n"] <= 16 or r["d"] == 1 for r in per) and all(a["hi"] < b["lo"] for a, b in zip(per, per[1:]))
+
+
 def test_next_value_across_buckets(skewed):
     df, pdf = skewed
     got = risk.with_next(df.select("id", "x", "z"), "z", "x", "id", "nxt", target_rows=300).select("id", "nxt").toPandas().set_index("id")["nxt"].sort_index()
@@ -195,3 +254,126 @@ def test_results_do_not_depend_on_partitioning(skewed):
     one = drift.psi_open(df.where("id < 2000"), df.where("id >= 2000"), ["x", "y"]).orderBy("feature").collect()
     other = drift.psi_open(df.where("id < 2000").repartition(1), df.where("id >= 2000").repartition(13), ["x", "y"]).orderBy("feature").collect()
     assert [round(r["psi"], 12) for r in one] == [round(r["psi"], 12) for r in other]
+
+
+def test_kendall_of_a_million_distinct_values(spark):
+    """Ranks of a known order: y falls in blocks of 8 and rises between them, so the share of discordant pairs is known."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).selectExpr("cast(id as double) as a", "cast(id - id % 8 + 7 - id % 8 as double) as b")
+    value = rank_correlation.kendall_pairs(df, ["a", "b"], target_rows=200_000).first()["value"]
+    assert math.isclose(value, 1 - 2 * (n / 8 * 28) / (n * (n - 1) / 2), abs_tol=1e-12)
+    text = rank_correlation.concordant_weight(spark.createDataFrame([("a", "b", 0, 1.0, 0, 1)], "feature_a string, feature_b string, r long, y double, yb long, n long"), ["feature_a", "feature_b"], 3, 1)._jdf.queryExecution().toString()
+    assert "Pandas" not in text and "Python" not in text
+
+
+def test_moments_of_many_columns(spark, monkeypatch):
+    """200 columns with gaps, one constant, one infinite, one far from zero: no row is copied per pair."""
+    monkeypatch.setattr(moments, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(900, 200)) + np.arange(200) * 1e3
+    m[:, 1] = m[:, 0] * 2 + rng.normal(size=900)
+    m[:, 2], m[5, 3], m[:, 4] = 0.1, np.inf, 1e9 + m[:, 1]
+    pdf = pd.DataFrame(m, columns=[f"c{i}" for i in range(200)])
+    gaps = rng.random(m.shape) < 0.1
+    rows = [tuple(None if g else float(v) for v, g in zip(r, k)) for r, k in zip(m, gaps)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(200))).repartition(5)
+    out = profile.correlation_pairs(df, fill=None)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["feature_a"], r["feature_b"]): r["value"] for r in out.collect()}
+    assert len(got) == 200 * 199 // 2
+    known = pdf.where(~gaps).sub(pdf.median())
+
+    def want(a, b):
+        both = known[[a, b]].dropna().to_numpy()
+        return np.corrcoef(both[:, 0], both[:, 1])[0, 1]
+
+    for (a, b), value in got.items():
+        if {a, b} & {"c2", "c3"} and not (a == "c3" or b == "c3") or "c2" in (a, b):
+            assert value is None
+        elif "c3" in (a, b):
+            other = b if a == "c3" else a
+            assert (value is None) == (not gaps[5, int(other[1:])] and not gaps[5, 3])
+        else:
+            assert math.isclose(value, want(a, b), abs_tol=1e-9), (a, b)
+
+
+def test_two_thousand_checks_are_one_scan(spark):
+    df = spark.range(500).selectExpr("id", "id % 7 AS m", "if(id % 5 = 0, NULL, id) AS v", "1 AS raised").repartition(3)
+    many = [checks.row_check("rules", f"above_{k}", "id", "warning", F.col("id") > k) for k in range(1_990)]
+    many += [checks.row_check("rules", f"total_{k}", "v", "error", F.col("v") > k, total=F.count("v")) for k in (10, 400)]
+    many.append(checks.Check("rules", "sum", "m", "error", F.sum("m"), message="an aggregate that is no row check"))
+    out = checks.run(df, many)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+    got = {r["check"]: (r["violations"], r["total"]) for r in out.collect()}
+    assert all(got[f"above_{k}"] == (max(499 - k, 0), 500) for k in range(1_990))
+    assert got["total_10"] == (sum(1 for i in range(500) if i % 5 and i > 10), 400) and got["total_400"] == (sum(1 for i in range(500) if i % 5 and i > 400), 400)
+    assert got["sum"] == (sum(i % 7 for i in range(500)), 500)
+    assert {r["violations"] for r in checks.run(df.limit(0), many[:-1]).collect()} == {0}
+
+
+def test_failing_expressions_are_found_by_halves(spark, monkeypatch):
+    df = spark.range(50).withColumn("t", F.concat(F.lit("x"), F.col("id").cast("string")))
+    bad = {3, 40}
+    many = [checks.row_check("rules", f"r{k}", "t", "error", F.col("t").cast("int") > 0 if k in bad else F.col("id") < 0, may_fail=True) for k in range(64)]
+    got = {r["check"]: r["violations"] for r in checks.run(df, many).collect()}
+    assert {k for k, v in got.items() if v} == {f"r{k}" for k in bad}
+
+
+def brute_near(train, test, threshold):
+    def unit(v):
+        v = np.array([0.0 if x is None or x != x else x for x in v], float) if v is not None else None
+        return None if v is None or not np.any(v) or np.isinf(v).any() else v / np.linalg.norm(v / np.abs(v).max()) / np.abs(v).max()
+
+    known = [u for u in map(unit, train) if u is not None]
+    return sum(u is not None and any(len(u) == len(k) and u @ k >= threshold for k in known) for u in map(unit, test))
+
+
+@pytest.mark.parametrize("tile", [8, 1024])
+@pytest.mark.parametrize("threshold", [0.8, 0.95])
+def test_near_vectors_match_brute_force(spark, monkeypatch, tile, threshold):
+    monkeypatch.setattr(near_vectors, "TILE", tile)
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(6, 24))
+    near = lambda n, s: [list(map(float, centers[k % 6] + s * rng.normal(size=24))) for k in range(n)]
+    train = near(120, 0.3) + [[1e200] * 24, [0.0] * 24, [1.0, 2.0], None] + [near(1, 0.1)[0]] * 40
+    test = near(90, 0.5) + near(60, 1.0) + train[:5] + [[1e-200] * 24, [math.inf] + [1.0] * 23, [2.0, 4.0], [1.0, math.nan], [], None] + [list(map(float, rng.normal(size=24))) for _ in range(60)]
+    side = lambda rows: spark.createDataFrame([(v,) for v in rows], "v array<double>").repartition(3)
+    out = contamination.near_duplicates(side(train), side(test), columns=["v"], threshold=threshold).first()
+    assert out["near_duplicates"] == brute_near(train, test, threshold) and out["test_rows"] == len(test)
+    assert contamination.near_duplicates(side(train).limit(0), side(test), columns=["v"]).first()["near_duplicates"] == 0
+    wide = lambda rows: spark.createDataFrame([tuple(v) for v in rows if v is not None and len(v) == 24], ", ".join(f"c{i} double" for i in range(24)))
+    assert contamination.near_duplicates(wide(train), wide(test), threshold=threshold).first()["near_duplicates"] == brute_near([v for v in train if v and len(v) == 24], [v for v in test if v and len(v) == 24], threshold)
+
+
+def test_compared_pairs_of_near_vectors_grow_with_the_rows(spark):
+    """Random vectors, and a dense region of a third of both sides that its representatives settle: pairs in tiles per row stay level."""
+    def pairs(n):
+        rng = np.random.default_rng(n)
+        draw = lambda m: [list(map(float, v)) for v in np.concatenate((rng.normal(size=(2 * m // 3, 32)), 1 + 0.05 * rng.normal(size=(m // 3, 32))))]
+        side = lambda rows: spark.createDataFrame([(v,) for v in rows], "v array<double>").repartition(3)
+        m = near_vectors.Matcher(side(draw(n)), side(draw(n)), 0.95)
+        left = m.test.join(m.represented(m.test, m.shared(m.test, "a")), ["h1", "h2"], "left_anti")
+        return m.shared(left, "b").agg(F.sum(F.col("ct") * F.col("cr"))).first()[0] or 0
+
+    small, large = pairs(600), pairs(2_400)
+    assert large <= 8 * max(small, 600) and large < 0.05 * 2_400 * 2_400
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_facts_reach_a_frequent_key_without_moving_its_rows(spark, monkeypatch, how):
+    """One key holds half of 20,000 rows; no task after the join has more than its share."""
+    monkeypatch.setattr(attach, "MAX_BROADCAST", 10)
+    monkeypatch.setattr(attach, "HOT_ROWS", 500)
+    rows = spark.range(20_000, numPartitions=8).selectExpr("id", "if(id % 2 = 0, 7, if(id % 31 = 0, NULL, id)) AS k")
+    facts = spark.range(15_000).selectExpr("id AS k", "id * 10 AS fact")
+    assert [r.k for r in attach.frequent_keys(rows.where("k is not null"), ["k"]).collect()] == [7]
+    out = attach.attached(rows, facts, ["k"], how)
+    want = sorted(map(repr, rows.join(facts, "k", how).select(*out.columns).collect()))
+    assert sorted(map(repr, out.collect())) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in attach.attached(rows, facts, ["k"], how).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) <= 20_000 / 4
