@@ -329,8 +329,7 @@ def brute_near(train, test, threshold):
     return sum(u is not None and any(len(u) == len(k) and u @ k >= threshold for k in known) for u in map(unit, test))
 
 
-@pytest.mark.parametrize("tile", [8, 1024])
-@pytest.mark.parametrize("threshold", [0.8, 0.95])
+@pytest.mark.parametrize("tile, threshold", [(8, 0.95), (1024, 0.8)])
 def test_near_vectors_match_brute_force(spark, monkeypatch, tile, threshold):
     monkeypatch.setattr(near_vectors, "TILE", tile)
     rng = np.random.default_rng(4)
