@@ -251,11 +251,6 @@ def signals(df: DataFrame, target: str, key: str, time_column: str | None = None
     return out.select("feature", *[F.coalesce(s, F.lit(0.0)).alias(s) for s in SIGNALS], F.coalesce("cramers_v", F.lit(0.0)).alias("cramers_v"))
 
 
-def signals_long(wide: DataFrame) -> DataFrame:
-    """(feature, metric, value) form of the signal table."""
-    return wide.unpivot("feature", list(SIGNALS), "metric", "value")
-
-
 def training_set(spark: SparkSession, per_class: int = ROWS_PER_CLASS, seed: int = SEED) -> DataFrame:
     """Synthetic signal rows with a risk label, drawn from the ranges above."""
     rows = spark.range(3 * per_class, numPartitions=1).withColumn("label", (F.col("id") % 3).cast("double"))

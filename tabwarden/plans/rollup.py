@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.functions.expr import unranked, worst
-from tabwarden.plans.schemas import SEVERITY_RANK, STATUS_RANK
+from tabwarden.plans.schemas import STATUS_RANK
 
 
 def validator_status(results: DataFrame) -> DataFrame:
@@ -73,7 +73,3 @@ def report_summary(results: DataFrame, data: DataFrame) -> DataFrame:
 
 def issues_by_severity(results: DataFrame) -> DataFrame:
     return results.where("violations > 0").groupBy("severity").agg(F.count("*").alias("issues"))
-
-
-def severity_rank(label: Column) -> Column:
-    return worst(SEVERITY_RANK, label)
