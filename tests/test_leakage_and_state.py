@@ -221,7 +221,7 @@ def test_retention_reads_the_newest_days_only(spark, tmp_path):
     sinks.append_events(rows, path, "timestamp")
     got = sinks.newest_days(spark, path, 10)
     assert sorted(r.k for r in got.collect()) == list(range(28, 40))
-    days = {f.split("day=")[1][:10] for f in got.inputFiles()}
+    days = {r.f.split("day=")[1][:10] for r in got.select(F.input_file_name().alias("f")).collect()}
     assert len(days) == 3 and "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
     assert sinks.newest_days(spark, path, 1_000).count() == 40
     sinks.compact(spark, path, str(tmp_path / "kept"), 10, "timestamp", "k")
