@@ -44,6 +44,38 @@ def test_word_ids_of_any_text(texts):
 TOKENS = packing.WordTokens(WORDS)
 
 
+class Counted:
+    """A merge model that counts the words it is given."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, word):
+        self.calls += 1
+        return self.model.tokenize(word)
+
+
+def test_a_large_vocabulary_is_looked_up_once():
+    words = packing.WordTokens(WORDS)
+    words.model = Counted(words.model)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    names = ["".join(letters[[i % 26, i // 26 % 26, i // 676 % 26, i // 17576]]) for i in range(150_000)]
+    texts = pa.array([" ".join(names[i : i + 5000]).title() + "." for i in range(0, len(names), 5000)])
+    first = [words.encode(texts.slice(i, 5)) for i in range(0, len(texts), 5)]
+    calls, words.model.calls = words.model.calls, 0
+    again = [words.encode(texts.slice(i, 5)) for i in range(0, len(texts), 5)]
+    assert words.model.calls == 0 and calls == len(names) + 1 and words.held() <= packing.KNOWN_BYTES
+    assert all((a == b).all() for one, two in zip(first, again) for a, b in zip(one, two))
+
+
+def test_forgotten_words_come_back(given_texts):
+    words = packing.WordTokens(WORDS, known_bytes=10_000)
+    texts = ODD + given_texts[:40]
+    for _ in range(2):
+        got = [words.encode(pa.array([t], pa.large_string())) for t in texts]
+        assert [flat.tolist() for flat, _ in got] == word_ids(texts)
+
+
 def check_pieces(found, sizes, window=4096):
     """Each token lies in one piece; sequences have no gap and fit. Returns the padding."""
     docs, seqs = {}, {}
