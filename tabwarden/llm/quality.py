@@ -8,6 +8,7 @@ compiled into one Spark column expression.
 from __future__ import annotations
 
 import dataclasses
+import math
 import re
 from collections.abc import Sequence
 
@@ -29,6 +30,8 @@ STATISTICS = tuple("stat_" + s for s in (
     "lines", "line_length", "distinct_words", "top_word", "repeated_neighbours",
 ))
 PER_CLASS = 4_000
+#: Training rows of one task. Each iteration of the fit is a job, and its stages and broadcasts cost the driver memory, however few rows a task has.
+FIT_ROWS = 8_192
 SLICE_BYTES = 1 << 20
 #: Byte classes: letters, capitals, digits, blanks, line ends, marks of a sentence, shouts, symbols, bars, heads of longer characters, their rest.
 _CLASSES = 11
@@ -126,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pos, neg = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if not pos or not neg:
         return Rules([], 30.0 if pos else -30.0)
-    weighted = data.withColumn("weight", F.when(F.col("label") == 1, (pos + neg) / (2.0 * pos)).otherwise((pos + neg) / (2.0 * neg)))
+    weighted = data.coalesce(math.ceil((pos + neg) / FIT_ROWS)).withColumn("weight", F.when(F.col("label") == 1, (pos + neg) / (2.0 * pos)).otherwise((pos + neg) / (2.0 * neg)))
     vectors = checkpointed(VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(weighted).select("features", "label", "weight", *STATISTICS))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", featureSubsetStrategy="0.5", seed=seed).fit(vectors)
     paths = tree_paths(forest.toDebugString, STATISTICS)
