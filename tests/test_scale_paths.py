@@ -376,3 +376,52 @@ def test_facts_reach_a_frequent_key_without_moving_its_rows(spark, monkeypatch,
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(sizes) <= 20_000 / 4
+
+
+def _written(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("open_, task_cover, cover", [(8_192, 256, 1_024), (8_192, 3, 2), (0, 3, 2)])
+def test_near_vectors_after_the_cover_match_brute_force(spark, monkeypatch, open_, task_cover, cover):
+    """Settled by the cover, by a scan of train, and by hashing what the cover leaves; as rows and as a number."""
+    monkeypatch.setattr(near_vectors, "OPEN", open_)
+    monkeypatch.setattr(near_vectors, "TASK_COVER", task_cover)
+    monkeypatch.setattr(near_vectors, "COVER", cover)
+    rng = np.random.default_rng(8)
+    train = np.concatenate((rng.normal(size=(300, 12)), 1 + 0.1 * rng.normal(size=(300, 12))))
+    test = np.concatenate((train[:40] + 0.15 * rng.normal(size=(40, 12)), train[:5], train[:5], 1 + 0.3 * rng.normal(size=(200, 12)), rng.normal(size=(60, 12)), np.zeros((2, 12))))
+    names = [f"c{i}" for i in range(12)]
+    mk = lambda m: spark.createDataFrame(pd.DataFrame(m, columns=names)).repartition(3)
+    want = _brute_near(train, test, 0.95)
+    rows = contamination.near_duplicate_rows(mk(train), mk(test), names, 0.95).collect()
+    assert sum(r.n for r in rows) == want == contamination.near_duplicates(mk(train), mk(test)).first().near_duplicates
+    assert len({tuple(r.unit) for r in rows}) == len(rows) and {r.n for r in rows} >= {1, 2}
+
+
+def _line_rows(spark, folder):
+    """Keys beside prices, as in lineitem: 6,000 rows of two periods."""
+    rng = np.random.default_rng(6)
+    n = 6_000
+    pdf = pd.DataFrame({
+        "l_orderkey": rng.integers(1, 10**6, n), "l_partkey": rng.integers(1, 10**5, n), "l_suppkey": rng.integers(1, 10**4, n), "l_linenumber": rng.integers(1, 8, n), "l_quantity": rng.integers(1, 51, n) * 1.0,
+        "l_extendedprice": rng.uniform(900, 10**5, n).round(2), "l_discount": rng.integers(0, 11, n) / 100, "l_tax": rng.integers(0, 9, n) / 100, "l_returnflag": rng.choice(["A", "N", "R"], n), "l_linestatus": rng.choice(["F", "O"], n),
+        "l_shipdate": pd.Timestamp("1995-01-01") + pd.to_timedelta(rng.integers(0, 2_000, n), unit="D"),
+    })
+    spark.createDataFrame(pdf).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")).write.parquet(f"{folder}/lineitem.parquet")
+    early = (pdf["l_shipdate"] < "1998-01-01").to_numpy()
+    m = pdf.assign(net=pdf["l_extendedprice"] * (1 - pdf["l_discount"]))[["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "net"]].to_numpy(float)
+    return m[early], m[~early]
+
+
+@pytest.mark.parametrize("name", ["l16_detector_status"])
+def test_leakage_runs_keep_no_copy_of_their_vectors(spark, monkeypatch, tmp_path, name):
+    """The cover settles rows that lean one way: what the search for near copies writes is a small part of their 384 kB of vectors."""
+    import __spark_entry__ as entry
+
+    train, test = _line_rows(spark, tmp_path / "in")
+    assert _brute_near(train, test, 0.95) > 0
+    monkeypatch.setattr(near_vectors, "scratch_path", lambda *_: str(tmp_path / "kept"))
+    out = [r.asDict() for r in entry.queries()[name](spark, str(tmp_path / "in")).collect()]
+    assert 0 < _written(tmp_path / "kept") < 40_000
+    assert {"l16_detector_status": {"detector": "contamination", "status": "detected", "issues": 1}}[name] in out
