@@ -382,9 +382,10 @@ def _written(folder):
     return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
 
 
-@pytest.mark.parametrize("open_, task_cover, cover", [(8_192, 256, 1_024), (8_192, 3, 2), (0, 3, 2)])
-def test_near_vectors_after_the_cover_match_brute_force(spark, monkeypatch, open_, task_cover, cover):
-    """Settled by the cover, by a scan of train, and by hashing what the cover leaves; as rows and as a number."""
+@pytest.mark.parametrize("open_, task_cover, cover, candidates", [(8_192, 256, 1_024, 16), (8_192, 3, 2, 16), (0, 3, 2, 16), (0, 1, 1, 1)])
+def test_near_vectors_after_the_cover_match_brute_force(spark, monkeypatch, open_, task_cover, cover, candidates):
+    """Settled by the cover, by a scan of train, by sketches of what the cover leaves, and by tiles of what these leave; as rows and as a number."""
+    monkeypatch.setattr(near_vectors, "CANDIDATES", candidates, raising=False)
     monkeypatch.setattr(near_vectors, "OPEN", open_)
     monkeypatch.setattr(near_vectors, "TASK_COVER", task_cover)
     monkeypatch.setattr(near_vectors, "COVER", cover)
@@ -399,6 +400,20 @@ def test_near_vectors_after_the_cover_match_brute_force(spark, monkeypatch, open
     assert len({tuple(r.unit) for r in rows}) == len(rows) and {r.n for r in rows} >= {1, 2}
 
 
+def test_sparse_vectors_are_not_copied(spark, monkeypatch, tmp_path):
+    """Vectors that no cover settles are sketched: what the search writes is a small part of their 1.6 MB."""
+    for name in ("OPEN", "LISTED_BYTES"):
+        monkeypatch.setattr(near_vectors, name, 0, raising=False)
+    monkeypatch.setattr(near_vectors, "scratch_path", lambda *_: str(tmp_path / "kept"))
+    rng = np.random.default_rng(9)
+    train, test = rng.normal(size=(1_500, 64)), rng.normal(size=(1_600, 64))
+    test[:300] = train[:300] + rng.uniform(0.1, 0.5, (300, 1)) * rng.normal(size=(300, 64))
+    side = lambda m: spark.createDataFrame([(v.tolist(),) for v in m], "v array<double>").repartition(3)
+    want = _brute_near(train, test, 0.95)
+    assert 50 < want < 300 and contamination.near_duplicates(side(train), side(test), columns=["v"]).first().near_duplicates == want
+    assert 0 < _written(tmp_path / "kept") < 160_000
+
+
 def _line_rows(spark, folder):
     """Keys beside prices, as in lineitem: 6,000 rows of two periods."""
     rng = np.random.default_rng(6)
