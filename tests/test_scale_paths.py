@@ -434,6 +434,7 @@ _SAID = {
     "l16_detector_status": {"detector": "contamination", "status": "detected", "issues": 1},
     "l19_fail_fast_run": {"detector": "contamination", "status": "detected"},
     "l17_l18_report_summary": {"status": "leakage_detected", "has_leakage": True, "total_issues": 2, "detectors_run": 4, "detectors_clean": 2, "detectors_detected": 2},
+    "l17_quick_check": {"has_leakage": True},
 }
 
 
