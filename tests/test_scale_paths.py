@@ -435,6 +435,7 @@ _SAID = {
     "l19_fail_fast_run": {"detector": "contamination", "status": "detected"},
     "l17_l18_report_summary": {"status": "leakage_detected", "has_leakage": True, "total_issues": 2, "detectors_run": 4, "detectors_clean": 2, "detectors_detected": 2},
     "l17_quick_check": {"has_leakage": True},
+    "l18_issues_and_recommendations": {"leakage_type": "near_duplicate_contamination", "issues": 1},
 }
 
 
